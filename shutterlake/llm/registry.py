@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality, sql
+from . import near_dup, quality, sql
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
+    "op9_near_dedup": near_dup.op9,
 }
 
 ORACLE: dict = {
     "op1_quality_rules": sql.OP1,
+    "op9_near_dedup": sql.OP9,
 }
 
 

@@ -28,3 +28,19 @@ judged AS (SELECT q_fail.*, few_words OR repeats AS base_failed, NOT (few_words
 
 
 OP1 = f"WITH {quality_sql()} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, {', '.join('rate_' + r for r in _RULES)} FROM judged"
+
+
+def near_dup_sql(source: str = "documents") -> str:
+    """Recursive CTEs up to `components` (doc_id, n_shingles, component_id); doc_id must be unique."""
+    words = _WORDS.replace("coalesce(text, '')", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    return rf"""
+n_docs AS (SELECT doc_id, {words} AS ws FROM {source}),
+n_sets AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS s FROM n_docs, unnest(range(1, CASE WHEN len(ws) = 0 THEN 1 ELSE greatest(len(ws) - 3, 2) END)) AS u(i)),
+n_size AS (SELECT doc_id, count(*) AS n FROM n_sets GROUP BY doc_id),
+n_common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM n_sets a JOIN n_sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+n_link AS (SELECT a, b FROM n_common JOIN n_size x ON x.doc_id = a JOIN n_size y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+n_reach AS (SELECT doc_id AS node, doc_id AS seen FROM n_docs UNION SELECT r.node, l.b FROM n_reach r JOIN n_link l ON r.seen = l.a),
+components AS (SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingles, min(r.seen) AS component_id FROM n_docs d JOIN n_reach r ON r.node = d.doc_id LEFT JOIN n_size z ON z.doc_id = d.doc_id GROUP BY d.doc_id)"""
+
+
+OP9 = f"WITH RECURSIVE {near_dup_sql()} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM components"
