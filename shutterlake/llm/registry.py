@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import near_dup, quality, sql
+from . import near_dup, quality, sql, substring_dedup
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
+    "op4_substring_dedup": substring_dedup.op4,
     "op9_near_dedup": near_dup.op9,
 }
 
 ORACLE: dict = {
     "op1_quality_rules": sql.OP1,
+    "op4_substring_dedup": sql.OP4,
     "op9_near_dedup": sql.OP9,
 }
 

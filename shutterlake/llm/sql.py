@@ -44,3 +44,12 @@ components AS (SELECT d.doc_id, coalesce(any_value(z.n), 0)::BIGINT AS n_shingle
 
 
 OP9 = f"WITH RECURSIVE {near_dup_sql()} SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM components"
+
+
+OP4 = rf"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+w AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 49], ' ')) AS win FROM d, unnest(range(1, greatest(len(ws) - 48, 1))) AS u(i)),
+f AS (SELECT doc_id, i FROM w QUALIFY min(doc_id) OVER (PARTITION BY win) < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM f, range(50) AS r(k)),
+kept AS (SELECT d.doc_id, p, ws[p] AS word FROM d, unnest(range(1, len(ws) + 1)) AS u(p) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.p = u.p)),
+text AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM kept GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN text USING (doc_id)"""
