@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import near_dup, quality, sql, substring_dedup
+from . import near_dup, quality, secret_scan, sql, substring_dedup
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
     "op4_substring_dedup": substring_dedup.op4,
+    "op8_secret_scan": secret_scan.op8,
     "op9_near_dedup": near_dup.op9,
 }
 
 ORACLE: dict = {
     "op1_quality_rules": sql.OP1,
     "op4_substring_dedup": sql.OP4,
+    "op8_secret_scan": sql.OP8,
     "op9_near_dedup": sql.OP9,
 }
 

@@ -53,3 +53,36 @@ gone AS (SELECT DISTINCT doc_id, i + k AS p FROM f, range(50) AS r(k)),
 kept AS (SELECT d.doc_id, p, ws[p] AS word FROM d, unnest(range(1, len(ws) + 1)) AS u(p) WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = d.doc_id AND g.p = u.p)),
 text AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM kept GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN text USING (doc_id)"""
+
+
+def _found(kind: str, rank: int, regex: str, group: int, least: int, source: str) -> str:
+    return f"""SELECT rid, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+  SELECT rid, m[i] AS m, g[i] AS g, coalesce(list_sum(list_transform(p[1 : i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) AS start
+  FROM (SELECT rid, regexp_extract_all(text, $r${regex}$r$) AS m, regexp_extract_all(text, $r${regex}$r$, {group}) AS g, string_split_regex(text, $r${regex}$r$) AS p FROM {source}), unnest(range(1, len(m) + 1)) AS u(i)) WHERE length(g) >= {least}"""
+
+
+_ASSIGN = r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+_SECRETS = (
+    ("assign", _ASSIGN, 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1),
+    ("forge", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1),
+    ("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1),
+    ("maps", "AIza[A-Za-z0-9_-]{35}", 0, 1),
+    ("jwt", "eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}", 0, 1),
+)
+
+
+def secret_sql(source: str = "documents") -> str:
+    """CTEs up to s_spans (rid, rank, kind, start, stop); s_docs has rid, doc_id, text."""
+    return f"""
+s_docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM {source}),
+s_spans AS ({" UNION ALL ".join(_found(k, n, x, g, m, "s_docs") for n, (k, x, g, m) in enumerate(_SECRETS))})"""
+
+
+OP8 = f"""WITH {secret_sql()}
+SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+  sha256(coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (WHERE rank <= 2), '')) AS base_sha256,
+  coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank), '') AS spans
+FROM s_docs LEFT JOIN s_spans USING (rid) GROUP BY rid, doc_id"""
