@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import near_dup, quality, secret_scan, sql, substring_dedup
+from . import mixing, near_dup, quality, secret_scan, sql, substring_dedup
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
     "op4_substring_dedup": substring_dedup.op4,
+    "op5_source_mixing": mixing.op5,
     "op8_secret_scan": secret_scan.op8,
     "op9_near_dedup": near_dup.op9,
 }
