@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, near_dup, quality, secret_scan, sql, substring_dedup
+from . import chat_format, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
+    "op3_url_filter": url_filter.op3,
     "op4_substring_dedup": substring_dedup.op4,
+    "op6_chat_format": chat_format.op6,
     "op5_source_mixing": mixing.op5,
     "op8_secret_scan": secret_scan.op8,
     "op9_near_dedup": near_dup.op9,
@@ -16,6 +18,7 @@ ORACLE: dict = {
     "op1_quality_rules": sql.OP1,
     "op4_substring_dedup": sql.OP4,
     "op8_secret_scan": sql.OP8,
+    "op6_chat_format": sql.OP6,
     "op9_near_dedup": sql.OP9,
 }
 
