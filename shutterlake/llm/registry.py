@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat_format, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
+from . import chat_format, decontaminate, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
+    "op2_decontamination": decontaminate.op2,
     "op3_url_filter": url_filter.op3,
     "op4_substring_dedup": substring_dedup.op4,
     "op6_chat_format": chat_format.op6,
