@@ -52,10 +52,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
     both = written(both.union(both.select("v", "u")).distinct(), "cc-edges")
     labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "cc-labels")
+    # Up to a bound of 16 MB the labels are broadcast, so that a round is one shuffle.
+    small = F.broadcast if labels.count() <= 1_000_000 else lambda x: x
     for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+        near = both.join(small(labels.select(F.col("u").alias("v"), "label")), "v").groupBy("u").agg(F.min("label").alias("near"))
         jump = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        new = labels.join(near, "u").join(jump, "label", "left").select("u", F.least("label", "near", F.coalesce("up", "label")).alias("new"), "label")
+        new = labels.join(small(near), "u").join(small(jump), "label", "left").select("u", F.least("label", "near", F.coalesce("up", "label")).alias("new"), "label")
         new = written(new, "cc-labels")
         changed = new.where("new <> label").limit(1).count()
         labels = new.select("u", F.col("new").alias("label"))

@@ -223,32 +223,58 @@ def _finder(shared):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """HITS: the (document, item) pairs in which the document holds the item's question and answer."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+def _holder(shared):
+    def holds(texts: pa.Array) -> pa.Array:
+        out = np.zeros(len(texts), bool)
+        for f, _, data, offsets in K.slices(texts):
+            w = K.words(data, offsets)
+            for hit in passages_of(shared.value, w.hashes(True), w.of):
+                out[f + hit[0]] = True
+        return pa.array(out)
+
+    return holds
+
+
+def indexes(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[ItemIndex]:
+    """One index per block of items; words per item and items per word are those of the whole benchmark."""
     items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, ceil(chars / BLOCK_CHARS))
 
-    def block(k: int) -> list[tuple[int, str]]:
+    def block(k: int) -> list[tuple[int, str]]:  # the driver holds one block's texts at a time
         return [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
 
-    # Words per item and items per word over the whole benchmark; the driver holds one block's texts at a time.
     df, n_items, n_words = Counter(), 0, 0
     for k in range(blocks):
         for h in (_hashes(t) for _, t in block(k)):
             df.update(set(h.tolist()))
             n_items, n_words = n_items + bool(len(h)), n_words + len(h)
-    out = None
     for k in range(blocks if n_items else 0):
         index = ItemIndex(block(k), df, n_items, n_words / n_items)
         if len(index.ids):
-            hits = docs.mapInArrow(_finder(spark.sparkContext.broadcast(index)), HITS)
-            out = hits if out is None else out.unionByName(hits)
+            yield index
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """HITS: the (document, item) pairs in which the document holds the item's question and answer."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    out = None
+    for index in indexes(items, item_col, item_text):
+        hits = docs.mapInArrow(_finder(spark.sparkContext.broadcast(index)), HITS)
+        out = hits if out is None else out.unionByName(hits)
     return out if out is not None else spark.createDataFrame([], HITS)
 
 
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that hold no item, whole; nothing moves."""
+    small_batches(docs.sparkSession)
+    for index in indexes(items, item_col, item_text):
+        holds = F.arrow_udf(_holder(docs.sparkSession.sparkContext.broadcast(index)), "boolean")
+        docs = docs.where(~holds(F.col(text_col).cast("string")))
+    return docs
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -12,7 +12,7 @@ and any number of them is spread over the cluster. A round holds at most the sum
 
 A document's place within its source is a rank by hash of the id, taken in sub-buckets of a few thousand documents
 with offsets summed from their counts, so that a source with a third of all rows is not ranked in one task.
-No text moves.
+Only the id and source move, and what is to be carried along.
 
 Defined results: rows with a null source are a source of their own; null ids rank by an empty id; repeated rows are
 each placed; every row is placed exactly once (the last block of a source may be short); an empty table gives an
@@ -84,27 +84,27 @@ def schedule(sources: DataFrame) -> DataFrame:
 
 
 def places(docs: DataFrame, sources: DataFrame, block_docs: int) -> DataFrame:
-    """(id, source, block, rank) of every document."""
+    """docs (id, source and any others) with block and rank."""
     number = F.conv(F.substring(F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
     buckets = sources.select("source", F.ceil(F.col("n") / RANKED).alias("buckets"))
-    rows = docs.join(buckets, "source").select("id", "source", number.alias("h"), F.expr("buckets")).withColumn("sub", F.col("h") % F.col("buckets"))
+    rows = docs.join(buckets, "source").withColumn("h", number).withColumn("sub", F.col("h") % F.col("buckets"))
     counts = rows.groupBy("source", "sub").agg(F.count("*").alias("k"))
     before = counts.select("source", "sub", (F.sum("k").over(Window.partitionBy("source").orderBy("sub")) - F.col("k")).alias("before"))
     ranked = rows.withColumn("rn", F.row_number().over(Window.partitionBy("source", "sub").orderBy("h", F.col("id").asc_nulls_first())) - 1)
     at = F.col("before") + F.col("rn")
-    return ranked.join(before, ["source", "sub"]).select("id", "source", F.floor(at / block_docs).alias("block"), (at % block_docs).alias("rank"))
+    return ranked.join(before, ["source", "sub"]).select(*docs.columns, F.floor(at / block_docs).alias("block"), (at % block_docs).alias("rank"))
 
 
 _NULL = "\x00null"
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, parts: int = PARTS) -> DataFrame:
-    """(id, source, block, slot, rank, position): position orders the mix; slot is the block's place in it."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("source"))
-    sources = written(source_parts(rows, weights, block_docs, parts), "mix-sources")
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_docs: int = BLOCK_DOCS, parts: int = PARTS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, source, the carried columns, block, slot, rank, position): position orders the mix; slot is the block's place in it."""
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit(_NULL)).alias("source"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)))
+    sources = written(source_parts(rows.select("source"), weights, block_docs, parts), "mix-sources")
     plan = written(schedule(sources), "mix-schedule")
     placed = places(rows, sources, block_docs).join(plan, ["source", "block"])
-    return placed.select("id", F.when(F.col("source") != _NULL, F.col("source")).alias("source"), "block", "slot", "rank", (F.col("slot") * block_docs + F.col("rank")).alias("position"))
+    return placed.select("id", F.when(F.col("source") != _NULL, F.col("source")).alias("source"), *(F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)), "block", "slot", "rank", (F.col("slot") * block_docs + F.col("rank")).alias("position"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -11,10 +11,13 @@ the connected components of these links.
    as many pairs as it has rows.
 4. Links that do not pass through that id: in the buckets that still hold more than one component, every member
    outside the bucket's main component is compared with all members, sketch against sketch, in blocks of bounded
-   size inside a task; first its nearest few are confirmed, then all that are left. Nothing is capped: the last
-   round takes every pair of different components that size and sketch allow.
-5. Pairs pass if the sizes allow 0.75 (exact) and the sketches estimate at least 0.60 (4.5 standard deviations
-   below 0.75), and are then confirmed on the full sets computed from the texts.
+   size inside a task. Components with such candidate pairs between them form a family; a bucket reports only a
+   spanning forest of them, never all pairs.
+5. Within each family of several components, every text outside the largest component is compared with all its
+   texts, in blocks of bounded size: size and sketch first, then the full sets. Only links between components come
+   out. Nothing is capped: a family of any size is worked through, block by block.
+6. A pair is looked at if the sizes allow 0.75 (exact) and the sketches estimate at least 0.60 (4.5 standard
+   deviations below 0.75), and is confirmed on the full sets computed from the texts.
 
 Defined results: null or word-free texts have no shingles, are linked with nothing and form their own component;
 texts of one to four words have their whole sequence as the only shingle; rows that repeat an id are one node with
@@ -28,13 +31,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import textkernel as K
 from .common import connected_components, small_batches, table, written
 
-SHINGLE, BANDS, ROWS, BITS, BLOCK, NEAREST = 5, 48, 4, 1024, 4096, 4
+SHINGLE, BANDS, ROWS, BITS = 5, 48, 4, 1024
+#: Members of a bucket, and characters of a family, that a task holds at a time (twice: queries and members).
+BLOCK, BLOCK_CHARS = 4096, 4_000_000
 #: Similarity 3/4 as a fraction, and the sketch estimate below which a pair is not looked at.
 NUM, DEN, SIFT = 3, 4, 0.60
 _N = BANDS * ROWS
@@ -115,39 +122,78 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
 
-def _near_in_block(nearest: int):
-    """Pairs of different components in each run of equal (key, qb, mb) whose sizes and sketches allow a link."""
-
-    def compare(rows: pa.Table) -> np.ndarray:
-        col = {c: rows.column(c).to_numpy() for c in ("query", "id", "component", "n")}
-        sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
-        q, m = np.flatnonzero(col["query"]), np.flatnonzero(~col["query"])
-        found = []
-        for part in np.array_split(q, max(1, len(q) * len(m) // (1 << 19))):
-            if not len(part) or not len(m):
-                continue
-            gap = np.zeros((len(part), len(m)), np.int32)
-            for k in range(BITS // 64):
-                gap += np.bitwise_count(sketch[part, k][:, None] ^ sketch[m, k][None, :])
-            nq, nm = col["n"][part][:, None], col["n"][m][None, :]
-            ok = (gap <= SIFT_BITS) & (DEN * np.minimum(nq, nm) >= NUM * np.maximum(nq, nm)) & (col["component"][part][:, None] != col["component"][m][None, :])
-            if nearest and len(m) > nearest:
-                gap[~ok] = BITS + 1
-                cut = np.partition(gap, nearest - 1, axis=1)[:, nearest - 1 : nearest]
-                ok &= gap <= cut
-            i, j = np.nonzero(ok)
-            x, y = col["id"][part][i], col["id"][m][j]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+def _passing(q: dict, m: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query, the members of other components that sizes and sketches allow to be linked with it."""
+    step = max(1, (1 << 19) // max(1, len(m["n"])))
+    for lo in range(0, len(q["n"]), step):
+        part = slice(lo, lo + step)
+        gap = np.zeros((len(q["n"][part]), len(m["n"])), np.int32)
+        for k in range(BITS // 64):
+            gap += np.bitwise_count(q["sketch"][part, k][:, None] ^ m["sketch"][None, :, k])
+        nq, nm = q["n"][part][:, None], m["n"][None, :]
+        ok = (gap <= SIFT_BITS) & (DEN * np.minimum(nq, nm) >= NUM * np.maximum(nq, nm)) & (q["component"][part][:, None] != m["component"][None, :])
+        for i in np.flatnonzero(ok.any(axis=1)):
+            yield lo + i, np.flatnonzero(ok[i])
+
+
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _families(q: dict, m: dict) -> pa.RecordBatch:
+    """A spanning forest, over components, of the pairs that pass."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    a, b = [], []
+    for i, js in _passing(q, m):
+        x = int(q["component"][i])
+        for y in np.unique(m["component"][js]).tolist():
+            if root(x) != root(y):
+                up[root(x)] = root(y)
+                a.append(x)
+                b.append(y)
+    return _edges(a, b)
+
+
+def _links(q: dict, m: dict) -> pa.RecordBatch:
+    """Confirmed links: for each query, one to each other component that it is linked with."""
+    sets, whose = list(_text_sets(m["text"])), list(_text_sets(q["text"]))
+    a, b = [], []
+    for i, js in _passing(q, m):
+        mine, n = whose[i], np.array([len(sets[j]) for j in js])
+        both = np.concatenate([sets[j] for j in js])
+        at = np.minimum(np.searchsorted(mine, both), len(mine) - 1)
+        common = np.add.reduceat((mine[at] == both).astype(np.int64), np.concatenate([[0], np.cumsum(n)[:-1]]))
+        linked = js[DEN * common >= NUM * (len(mine) + n - common)]
+        for j in linked[np.unique(m["component"][linked], return_index=True)[1]]:
+            a.append(int(q["id"][i]))
+            b.append(int(m["id"][j]))
+    return _edges(a, b)
+
+
+def _in_blocks(compare):
+    """compare(queries, members) on each run of equal (key, qb, mb)."""
+
+    def columns(rows: pa.Table) -> dict:
+        out = {c: rows.column(c).to_numpy() for c in ("id", "component", "n")}
+        out["sketch"] = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS // 64)
+        if "text" in rows.column_names:
+            out["text"] = rows.column("text")
+        return out
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        asks = rows.column("query")
+        q, m = rows.filter(asks), rows.filter(pa.compute.invert(asks))
+        return compare(columns(q), columns(m)) if q.num_rows and m.num_rows else _edges([], [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def done(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pairs = compare(pa.Table.from_batches(parts))
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
         last = None
         for batch in batches:
             if not batch.num_rows:
@@ -156,16 +202,29 @@ def _near_in_block(nearest: int):
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if held and tuple(keys[lo]) != last:
-                    yield from done(held)
+                    yield done(held)
                     held = []
                 held.append(batch.slice(lo, hi - lo))
                 last = tuple(keys[lo])
         if held:
-            yield from done(held)
+            yield done(held)
 
     return run
 
 
+def _blocked(rows: DataFrame, compare, extra: list[str]) -> DataFrame:
+    """Edges (a, b) that compare finds between the rows of each key with asks, and all rows of that key.
+
+    rows: key, blocks, id, component, n, sketch, asks. A key's rows are dealt to its blocks by id; each block of
+    queries meets each block of members in a task."""
+    own, each = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    cols = ["key", "id", "component", "n", "sketch", *extra]
+    members = rows.select(*cols, F.lit(False).alias("query"), own.alias("mb"), each.alias("qb"))
+    queries = rows.where("asks").select(*cols, F.lit(True).alias("query"), own.alias("qb"), each.alias("mb"))
+    dealt = members.unionByName(queries).repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
+    return dealt.select(*cols, "query", "qb", "mb").mapInArrow(_in_blocks(compare), "a long, b long").distinct()
+
+
 def _gap():
     return F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
@@ -198,29 +257,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = pairs.join(suspects.select(F.col("id").alias(s), F.col("text").alias(f"text_{s}")), s)
         return written(pairs.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long, linked boolean"), "near-confirmed")
 
-    tried = confirmed(sifted(members.where("pivot < id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
-    labels = connected_components(tried.where("linked"))
-    for nearest in (NEAREST, 0):
-        of = labels.withColumnsRenamed({"node": "id"})
-        held = members.join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        main = labels.select(F.col("node").alias("pivot"), F.col("component").alias("main"))
-        held = held.join(main, "pivot", "left").withColumn("main", F.coalesce("main", "pivot"))
-        mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        held = held.join(mixed, "key", "left_semi").join(light, "id")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        own, each = F.pmod(F.xxhash64("id"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
-        cols = ["key", "id", "component", "n", "sketch"]
-        as_member = held.select(*cols, F.lit(False).alias("query"), own.alias("mb"), each.alias("qb"))
-        as_query = held.where("component <> main").select(*cols, F.lit(True).alias("query"), own.alias("qb"), each.alias("mb"))
-        rows = as_member.unionByName(as_query).repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
-        pairs = rows.select(*cols, "query", "qb", "mb").mapInArrow(_near_in_block(nearest), "a long, b long").distinct()
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        tried = written(tried.unionByName(confirmed(pairs)).distinct(), "near-tried")
-        labels = connected_components(tried.where("linked"))
+    links = confirmed(sifted(members.where("pivot < id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())).where("linked").select("a", "b")
+    labels = connected_components(links)
+
+    def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
+        found = labels.select(F.col("node").alias(key), F.col("component").alias(name))
+        return rows.join(found, key, "left").withColumn(name, F.coalesce(name, key))
+
+    held = labelled(labelled(members, "id", "component"), "pivot", "main")
+    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    held = held.join(mixed, "key", "left_semi").join(light, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("asks", F.col("component") != F.col("main"))
+    families = connected_components(_blocked(held, _families, []))
+
+    kin = labelled(suspects, "id", "component").join(families.select(F.col("node").alias("component"), F.col("component").alias("key")), "component")
+    kin = written(kin, "near-families")
+    sizes = kin.groupBy("key", "component").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars"))
+    sizes = sizes.groupBy("key").agg(F.max_by("component", F.struct("texts", "component")).alias("main"), F.ceil((F.sum("chars") + 1) / BLOCK_CHARS).alias("blocks"))
+    kin = kin.join(sizes, "key").withColumn("asks", F.col("component") != F.col("main"))
+    links = links.unionByName(_blocked(kin, _links, ["text"]))
+    labels = connected_components(links)
     of = labels.select(F.col("node").alias("rep"), "component")
     found = classes.join(of, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "id"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates: that of the smallest id (of rows with that id, one); null ids stay."""
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    one = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
+    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
+    one = one.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -114,6 +114,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     return joined.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
+def _fails_base(texts: pa.Array) -> pa.Array:
+    n_words, _, _, _, n_repeat, _ = measure(texts)
+    return pa.array((n_words < FEW_WORDS) | (100 * n_repeat > REPEAT_PERCENT * n_words))
+
+
+def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of docs that quality() keeps, whole. Texts do not move: they meet only the hosts' verdicts."""
+    hosts = written(host_verdicts(measures(docs, id_col, text_col, host_col), limit), "quality-hosts")
+    bad = hosts.where("host_rejected").select(F.col("host").alias("_bad_host"))
+    good = docs.where(~F.arrow_udf(_fails_base, "boolean")(F.col(text_col).cast("string")))
+    return good.join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("_bad_host")), "left_anti")
+
+
 def op1(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
