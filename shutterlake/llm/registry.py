@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
+from pyspark.sql import DataFrame, SparkSession
+
+from . import chat_format, decontaminate, html_extract, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """corpus_pipeline.py imports this package, so it is imported when it is called."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES: dict = {
     "op1_quality_rules": quality.op1,
     "op2_decontamination": decontaminate.op2,
     "op3_url_filter": url_filter.op3,
     "op4_substring_dedup": substring_dedup.op4,
-    "op6_chat_format": chat_format.op6,
     "op5_source_mixing": mixing.op5,
+    "op6_chat_format": chat_format.op6,
+    "op7_html_extract": html_extract.op7,
     "op8_secret_scan": secret_scan.op8,
     "op9_near_dedup": near_dup.op9,
+    "pipeline": pipeline,
 }
 
 ORACLE: dict = {
