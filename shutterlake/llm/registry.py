@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
+from . import chat_format, decontaminate, html_extract, lm_score, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ QUERIES: dict = {
     "op7_html_extract": html_extract.op7,
     "op8_secret_scan": secret_scan.op8,
     "op9_near_dedup": near_dup.op9,
+    "op10_lm_score": lm_score.op10,
     "pipeline": pipeline,
 }
 
