@@ -39,7 +39,7 @@ from . import textkernel as K
 from .common import small_batches, table, written
 
 #: Bytes of context (3 to 7), and bytes of text in a chunk.
-DEPTH, CHUNK = 4, 16 << 20
+DEPTH, CHUNK = 5, 32 << 20
 #: Trees are worked in tasks down from this depth.
 TOP = 3
 GRAM, WORD = 1, 2
