@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import library, search, storage
+
+_FAMILIES = (library, search, storage)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return {k: q for f in _FAMILIES for k, q in f.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(ORACLE)
+    return {k: q for f in _FAMILIES for k, q in f.ORACLE.items()}

@@ -1 +1 @@
-"""functions of the engine."""
+"""Column functions: text, places, dates and vectors."""

@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators over canonical tables, as DataFrame functions."""

@@ -1 +1 @@
-"""plans of the engine."""
+"""Registered queries by family, each beside its SQL."""

@@ -1 +1 @@
-"""sources of the engine."""
+"""Tables, files and the shared folder."""

@@ -1 +1 @@
-"""streaming of the engine."""
+"""The change feed as a stream."""
