@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
@@ -48,7 +48,11 @@ def resolve(mentions: DataFrame, places: DataFrame, column: str = "mention") ->
     by_word = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
     by_char = F.when(F.length(said) >= 2, F.transform(F.sequence(F.lit(2), F.greatest(F.length(said), F.lit(2))), lambda k: F.substring(said, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
     tiers = ((1, F.array(said)), (2, F.array(F.regexp_replace(said, ends, ""))), (3, F.concat(by_word, by_char)))
-    keys = F.flatten(F.array(*(F.transform(a, lambda k, t=t: F.struct(F.lit(t).alias("tier"), k.alias("key"))) for t, a in tiers)))
+
+    def tiered(tier: int, keys: Column) -> Column:
+        return F.transform(keys, lambda k: F.struct(F.lit(tier).alias("tier"), k.alias("key")))
+
+    keys = F.flatten(F.array(*(tiered(*t) for t in tiers)))
     asked = mentions.select(column).distinct().withColumn("_k", F.explode(keys)).select(column, "_k.tier", "_k.key").distinct()
     best = F.min_by(F.struct("place", "tier", "key", "latitude", "longitude", "radius"), F.struct("tier", -F.length("key"), "place"))
     found = asked.join(F.broadcast(places), "key").groupBy(column).agg(best.alias("b")).select(column, "b.*")  # gazetteer: a list in the program

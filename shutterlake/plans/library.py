@@ -59,7 +59,7 @@ _UNSORTED = "uns AS (SELECT * FROM assets WHERE NOT EXISTS (SELECT 1 FROM member
 
 
 def _journal(spark, sf):
-    return spark.sql("SELECT CAST(explode(array('1994-12-25', '1996-02-29', '1996-03-01', '2002-01-01')) AS DATE) AS day")
+    return spark.sql("SELECT CAST(d AS DATE) AS day FROM VALUES ('1994-12-25'), ('1996-02-29'), ('1996-03-01'), ('2002-01-01') AS t (d)")
 
 
 def _preview(df):
@@ -171,7 +171,7 @@ ORACLE = {
     "album_order": with_views("SELECT album_id, kind, lower(regexp_replace(title, '0+([0-9]{10})$', '\\1')) AS title_key FROM (SELECT album_id, kind, regexp_replace(title, '([0-9]+)', '0000000000\\1') AS title FROM albums)", "albums"),
     "empty_albums": with_views("SELECT album_id FROM albums WHERE kind = 'user' AND album_id NOT IN (SELECT album_id FROM members WHERE album_id % 2 = 0)", "albums", "members"),
     "pinned_albums": with_views("SELECT album_id, (CASE album_id WHEN 4 THEN 0 WHEN 2 THEN 1 ELSE 3 END)::BIGINT AS position FROM albums WHERE album_id IN (4, 2, 9)", "albums"),
-    "album_dock": with_views("SELECT album_id, max(ts) AS at FROM albums JOIN events ON user_id % 10 = album_id GROUP BY album_id ORDER BY at DESC, album_id LIMIT 5", "albums"),
+    "album_dock": with_views('SELECT album_id, max(ts) AS "at" FROM albums JOIN events ON user_id % 10 = album_id GROUP BY album_id ORDER BY max(ts) DESC, album_id LIMIT 5', "albums"),
     "album_dock_fallback": with_views("SELECT album_id FROM albums ORDER BY lower(title), album_id LIMIT 5", "albums"),
     "library_signature": with_views(f"SELECT 'full|' || count(*) || '|' || (SELECT asset_id FROM assets {NEW} LIMIT 1) || '|' || (SELECT asset_id FROM assets ORDER BY created, asset_id LIMIT 1) AS signature FROM assets", *_A),
     "readiness_gate": with_views("SELECT asset_id FROM assets WHERE asset_id < 50", *_A),
@@ -187,7 +187,7 @@ ORACLE = {
     "season_filter": with_views("SELECT asset_id FROM assets WHERE media_type = 1 AND created >= DATE '1997-12-01' AND created < DATE '1998-03-01'", *_A),
     "rolling_window_filter": with_views("SELECT asset_id FROM assets WHERE created >= DATE '2001-06-15' - 90 AND created < DATE '2001-06-15'", *_A),
     "week_filter": with_views("SELECT asset_id FROM assets WHERE created >= DATE '2001-06-04' AND created < DATE '2001-06-11'", *_A),
-    "recent_list_lru": "SELECT user_id % 10 AS album_id, max(ts) AS at FROM events GROUP BY 1 ORDER BY at DESC, album_id LIMIT 8",
+    "recent_list_lru": 'SELECT user_id % 10 AS album_id, max(ts) AS "at" FROM events GROUP BY 1 ORDER BY max(ts) DESC, album_id LIMIT 8',
     "lru_eviction": with_views(f"SELECT asset_id FROM (SELECT asset_id, sum(coalesce(bytes, 0)) OVER ({NEW} ROWS UNBOUNDED PRECEDING) AS t FROM assets) WHERE t <= 20000000000", *_A),
     "review_queue": with_views("SELECT asset_id, min(sequence) AS position FROM changes WHERE asset_id % 4 <> 0 AND asset_id IN (SELECT asset_id FROM assets) GROUP BY asset_id", "assets", "changes"),
     "decision_tallies": with_views("SELECT op AS decision, count(*) AS n FROM changes GROUP BY op", "changes"),

@@ -50,7 +50,7 @@ def _table(spark, sf):
     return S.changes(spark, sf).where("sequence % 10 = 0").groupBy("asset_id").agg(F.min("at").alias("at"), F.lit(0).cast("long").alias("bytes"))
 
 
-_FOLD = "folded AS (SELECT asset_id, CASE WHEN bool_or(op = 'delete') THEN 'delete' ELSE 'upsert' END AS op, arg_max(at, sequence) AS at, arg_max(bytes, sequence) AS bytes FROM feed GROUP BY asset_id)"
+_FOLD = '''folded AS (SELECT asset_id, CASE WHEN bool_or(op = 'delete') THEN 'delete' ELSE 'upsert' END AS op, arg_max("at", sequence) AS "at", arg_max(bytes, sequence) AS bytes FROM feed GROUP BY asset_id)'''
 
 
 def _feed(spark, sf):
@@ -137,7 +137,7 @@ ORACLE = {
     "defer_work": with_views("SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN asset_id % 4 = 0 THEN TIMESTAMP '2024-01-01' ELSE retry_at END AS retry_at FROM searchable", "searchable"),
     "requeue_all": with_views("SELECT asset_id, 'pending' AS status, 0 AS failures, NULL::TIMESTAMP AS retry_at FROM searchable", "searchable"),
     "change_fold": with_views(f", {_FEED}, {_FOLD} SELECT * FROM folded", "changes"),
-    "apply_changes": with_views(f", {_FEED}, {_FOLD}, t AS (SELECT asset_id, min(at) AS at, 0::BIGINT AS bytes FROM changes WHERE sequence % 10 = 0 GROUP BY asset_id) SELECT asset_id, at, bytes FROM t WHERE asset_id NOT IN (SELECT asset_id FROM folded) UNION ALL SELECT asset_id, at, bytes FROM folded WHERE op = 'upsert'", "changes"),
+    "apply_changes": with_views(f''', {_FEED}, {_FOLD}, t AS (SELECT asset_id, min("at") AS "at", 0::BIGINT AS bytes FROM changes WHERE sequence % 10 = 0 GROUP BY asset_id) SELECT asset_id, "at", bytes FROM t WHERE asset_id NOT IN (SELECT asset_id FROM folded) UNION ALL SELECT asset_id, "at", bytes FROM folded WHERE op = 'upsert'''', "changes"),
     "first_per_path": with_views(", p AS (SELECT sequence, CASE WHEN asset_id % 2 = 0 THEN asset_id END AS path, sequence AS ordinal FROM changes) SELECT * FROM p QUALIFY path IS NULL OR row_number() OVER (PARTITION BY path ORDER BY ordinal) = 1", "changes"),
     "compression_history": with_views(", h AS (SELECT asset_id, sequence, op = 'update' AS replaced FROM changes) SELECT * FROM h QUALIFY NOT replaced OR row_number() OVER (PARTITION BY asset_id, replaced ORDER BY sequence DESC) = 1", "changes"),
 }

@@ -16,7 +16,7 @@ def folder(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) ->
     named = files.withColumn("_parts", parts).withColumn("name", F.element_at("_parts", -1))
     ending = F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))
     shown = ending.isin(*endings) & ~F.exists("_parts", lambda p: p.startswith("."))
-    return named.where(shown).select("path", "name", F.array_join(F.slice("_parts", 1, F.size("_parts") - 1), "/").alias("folder"), "size", "modified")
+    return named.where(shown).select("path", "name", F.array_join(F.slice("_parts", 2, F.size("_parts") - 2), "/").alias("folder"), "size", "modified")
 
 
 def listing(files: DataFrame) -> DataFrame:
