@@ -81,7 +81,7 @@ VIEWS = {
   CASE WHEN vec_id % 6 <> 0 THEN text END AS text, CASE WHEN vec_id % 5 = 0 THEN 'pending' WHEN vec_id % 5 = 4 THEN 'failed' ELSE 'ready' END AS status, (vec_id % 5 * 3 % 8)::INT AS failures,
   CASE WHEN vec_id % 10 = 4 THEN TIMESTAMP '2023-12-01' + to_days((vec_id % 90)::INT) END AS retry_at, embedding::DOUBLE[] AS vector
   FROM embeddings JOIN documents ON vec_id = documents.doc_id LEFT JOIN labels ON labels.doc_id = vec_id""",
-    "changes": "SELECT event_id AS sequence, ts AS "at", user_id * 3 AS asset_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' THEN 'insert' ELSE 'update' END AS op, floor(value * 1000)::BIGINT AS bytes FROM events",
+    "changes": '''SELECT event_id AS sequence, ts AS "at", user_id * 3 AS asset_id, CASE WHEN event_type = 'error' THEN 'delete' WHEN event_type = 'signup' THEN 'insert' ELSE 'update' END AS op, floor(value * 1000)::BIGINT AS bytes FROM events''',
 }
 
 
