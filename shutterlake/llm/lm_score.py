@@ -50,7 +50,8 @@ HELD = 1 << 22
 _U = np.uint64
 _END_WORD = np.uint64(0x51A3_70C4_9E2B_86D1)
 
-_GATHERED = "chunk long, id long, train boolean, text string, kind int, bucket int, keys array<long>, counts array<long>"
+#: Texts travel in compressed blocks: their ids and flags, where each ends, and the bytes of all.
+_GATHERED = "chunk long, ids array<long>, train array<boolean>, ends array<long>, block binary, kind int, bucket int, keys array<long>, counts array<long>"
 _ANSWERS = "kind int, bucket int, keys array<long>, values array<double>, known long, total long"
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -128,22 +129,29 @@ class _Counter:
             return
         bucket, ends, keys, counts = _by_bucket(kind, *_merged(self.keys, self.counts), bits)
         n = len(bucket)
-        columns = [pa.array(np.full(n, chunk)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.string()), pa.array(np.full(n, kind, np.int32)), pa.array(bucket)]
+        columns = [pa.array(np.full(n, chunk)), *(pa.nulls(n, t) for t in _BLOCK), pa.array(np.full(n, kind, np.int32)), pa.array(bucket)]
         yield pa.RecordBatch.from_arrays([*columns, _lists(keys.view(np.int64), ends, pa.int64()), _lists(counts, ends, pa.int64())], names=[x.split()[0] for x in _GATHERED.split(", ")])
 
 
+_BLOCK = (pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+
+
+def _block(chunk: int, ids: list, train: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+    squeezed = pa.compress(data.tobytes(), "zstd", asbytes=True)
+    columns = [pa.array([x], t) for x, t in zip((ids, train.tolist(), offsets[1:].tolist(), squeezed), _BLOCK, strict=True)]
+    blank = [pa.nulls(1, t) for t in (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+    return pa.RecordBatch.from_arrays([pa.array([chunk]), *columns, *blank], names=[x.split()[0] for x in _GATHERED.split(", ")])
+
+
 def _gather(depth: int, bits: int, chunk_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, held = TaskContext.get().partitionId() << 24, 0
         found = {GRAM: _Counter(), WORD: _Counter()}
         for batch in batches:
-            n, train = batch.num_rows, batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            if not n:
-                continue
-            blank = [pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, chunk)), batch.column("id"), batch.column("train"), batch.column("text"), *blank], names=[x.split()[0] for x in _GATHERED.split(", ")])
+            ids, train = batch.column("id").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
             for f, last, data, offsets in K.slices(batch.column("text")):
                 own = train[f:last]
+                yield _block(chunk, ids[f:last], own, data, offsets)
                 key, start = grams(data, offsets, depth)
                 found[GRAM].add(key, np.repeat(own, np.diff(start)))
                 w = K.words(data, offsets)
@@ -413,22 +421,21 @@ def _score(depth: int, n_tokens: int, vocabulary: int):
                 if not find:
                     find = {kind: Lookup(*(np.concatenate(x) for x in zip(*rows, strict=True))) for kind, rows in got.items()}
                     got = {GRAM: [], WORD: []}
-                yield scored(batch.slice(a, b - a), find)
-
-    def scored(rows: pa.RecordBatch, find: dict[int, Lookup]) -> pa.RecordBatch:
-        tokens, known, base, score = [], [], [], []
-        for _, _, data, offsets in K.slices(rows.column("text")):
-            key, start = grams(data, offsets, depth)
-            score.append(np.add.reduceat(find[GRAM].find(key), start[:-1]))
-            w = K.words(data, offsets)
-            count, end = find[WORD].find(w.hashes(True)), find[WORD].find(np.array([_END_WORD]))[0]
-            tokens.append(w.counts + 1)
-            known.append(K.per_text(count > 0, w.of) + (end > 0))
-            logs = np.log10((count + 1) / least)
-            base.append(np.array([logs[a:b].sum() for a, b in zip(w.of[:-1], w.of[1:], strict=True)]) + np.log10((end + 1) / least))
-        train = rows.column("train").to_numpy(zero_copy_only=False).astype(bool)
-        columns = [pa.array(np.concatenate(x), t) for x, t in ((tokens, pa.int64()), (known, pa.int64()), (base, pa.float64()), (score, pa.float64()))]
-        return pa.RecordBatch.from_arrays([rows.column("id"), pa.array(~train), *columns], names=names)
+                for r in range(a, b):
+                    yield scored(batch, r, find)
+
+    def scored(batch: pa.RecordBatch, row: int, find: dict[int, Lookup]) -> pa.RecordBatch:
+        offsets = np.append(0, _numbers(batch, "ends", row))
+        data = np.frombuffer(pa.decompress(batch.column("block")[row].as_py(), int(offsets[-1]), "zstd", asbytes=True), np.uint8)
+        key, start = grams(data, offsets, depth)
+        score = np.add.reduceat(find[GRAM].find(key), start[:-1])
+        w = K.words(data, offsets)
+        count, end = find[WORD].find(w.hashes(True)), find[WORD].find(np.array([_END_WORD]))[0]
+        logs = np.log10((count + 1) / least)
+        base = np.array([logs[a:b].sum() for a, b in zip(w.of[:-1], w.of[1:], strict=True)]) + np.log10((end + 1) / least)
+        test = ~_numbers(batch, "train", row).astype(bool)
+        columns = [batch.column("ids")[row].values, pa.array(test), pa.array(w.counts + 1, pa.int64()), pa.array(K.per_text(count > 0, w.of) + (end > 0), pa.int64()), pa.array(base), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -475,8 +482,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     both = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("chunk").asc_nulls_first())
     answered = both.mapInArrow(_answer, "chunk long, kind int, keys array<long>, values array<double>")
 
-    texts = gathered.where("kind IS NULL").select("chunk", "kind", F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<double>").alias("values"), "id", "train", "text")
-    answered = answered.select("*", F.lit(None).cast("long").alias("id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("string").alias("text"))
+    texts = gathered.where("kind IS NULL").select("chunk", "kind", F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<double>").alias("values"), "ids", "train", "ends", "block")
+    blank = {"ids": "array<long>", "train": "array<boolean>", "ends": "array<long>", "block": "binary"}
+    answered = answered.select("*", *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))
     last = answered.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("kind").asc_nulls_last())
     return last.mapInArrow(_score(depth, n_tokens, vocabulary), _SCORES).withColumn("train_tokens", F.lit(n_tokens).cast("long"))
 
