@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
+from ..functions.vectors import scores
+from ..operators import analyzer as A
 from ..operators import metrics as M
 from ..operators import places as G
 from ..operators import predicates as P
@@ -55,12 +57,18 @@ def _scored(spark, sf, start: int):
     rows = S.searchable(spark, sf).select("asset_id", "vector")
     ids = list(range(start, start + 10))
     q = H.vectors_of(rows, ids)
-    from ..functions.vectors import scores
-
     scored = rows.select(F.col("asset_id").alias("item"), F.posexplode(scores(F.col("vector"), q)).alias("at", "s"))
     return scored.select((F.col("at") + start).cast("long").alias("query"), "item", F.round("s", 6).alias("score"))
 
 
+def _plans(spark, sf):
+    """Every turn of every conversation, read as a request."""
+    said = S.read(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "text")
+    plans = A.analyse(said, datetime(2024, 6, 15))
+    lists = {c: F.array_join(c, "|") for c in ("positive", "negative", "terms")}
+    return plans.withColumns(lists)
+
+
 def _relevant(spark, sf):
     e = S.read(spark, sf, "embeddings").select("vec_id", "label")
     d = S.read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"))
@@ -107,6 +115,7 @@ QUERIES = {
     "text_normalised": lambda s, d: S.searchable(s, d).select("asset_id", F.md5(F.coalesce(text.normalise(F.col("text")), F.lit("")).cast("binary")).alias("digest")),
     "pending_work": lambda s, d: P.pending(S.searchable(s, d), datetime(2024, 1, 1), 200).select("asset_id", "created"),
     "place_resolution": _places,
+    "request_plans": _plans,
     "geo_box": lambda s, d: S.searchable(s, d).where("latitude IS NOT NULL").select("asset_id", *(F.round(v, 5).alias(k) if k != "crosses" else v.alias(k) for k, v in geo.box(F.col("latitude"), F.col("longitude"), 250.0).items())),
     "geo_grid": lambda s, d: G.grid(S.searchable(s, d), 5.0),
     "geo_clusters": lambda s, d: G.clusters(S.searchable(s, d), 40),
