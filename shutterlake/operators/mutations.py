@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalise
 from .library import album_counts
 
 
@@ -53,13 +56,17 @@ def add_members(members: DataFrame, more: DataFrame, assets: DataFrame) -> DataF
     return members.select("album_id", "asset_id").union(more.join(assets, "asset_id", "left_semi").select("album_id", "asset_id")).distinct()
 
 
+def _retry_at(now: datetime) -> Column:
+    """now plus 30 seconds times 2 to the old count of failures, an hour at most."""
+    wait = F.least(F.lit(3600.0), 30 * F.pow(F.lit(2.0), F.col("failures")))
+    return (F.lit(now).cast("timestamp") + F.make_interval(secs=wait.cast("decimal(18,6)"))).cast("timestamp_ntz")
+
+
 def mark_failed(rows: DataFrame, failed: DataFrame, now: datetime) -> DataFrame:
     """status, failures and retry_at of the failed rows: now plus 30 seconds times 2 to the old count, an hour at most."""
     hit = failed.select("asset_id").distinct().withColumn("_hit", F.lit(True))
-    wait = F.least(F.lit(3600.0), 30 * F.pow(F.lit(2.0), F.col("failures")))
-    at = (F.lit(now).cast("timestamp") + F.make_interval(secs=wait.cast("decimal(18,6)"))).cast("timestamp_ntz")
     both = rows.join(hit, "asset_id", "left")
-    new = {"status": F.lit("failed"), "retry_at": at, "failures": F.col("failures") + 1}
+    new = {"status": F.lit("failed"), "retry_at": _retry_at(now), "failures": F.col("failures") + 1}
     return both.select(*(F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
 
 
@@ -71,6 +78,43 @@ def defer(rows: DataFrame, deferred: DataFrame, until: datetime) -> DataFrame:
     return both.select(*(F.when(F.col("_hit"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
 
 
+def store_text(rows: DataFrame, texts: DataFrame, version: int) -> DataFrame:
+    """rows with the recognised texts (asset_id, lines) put in: joined by line, normalised, blank as null; text_version marks the attempt."""
+    said = texts.select("asset_id", normalise(F.array_join(F.coalesce("lines", F.array().cast("array<string>")), "\n")).alias("text"), F.lit(version).alias("text_version"))
+    rows = rows if "text_version" in rows.columns else rows.withColumn("text_version", F.lit(None).cast("int"))
+    both = rows.join(said.select("asset_id", F.col("text").alias("_text"), F.col("text_version").alias("_version")), "asset_id", "left")
+    new = {"text": F.col("_text"), "text_version": F.col("_version")}
+    return both.select(*(F.when(F.col("_version").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
+
+
+def index_step(rows: DataFrame, encode: Callable[[str], list[float]], now: datetime) -> DataFrame:
+    """One pass over pending or failed rows that are due: their text is encoded, in batches on the executors.
+
+    A row whose encoding fails is marked failed with a later retry; the others become ready. Running it again goes on where it stopped."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            vectors = []
+            for text in batch["text"]:
+                try:
+                    vectors.append([float(x) for x in encode(text)])
+                except Exception:  # noqa: BLE001  the row is marked, whatever the encoder raised
+                    vectors.append(None)
+            yield pd.DataFrame({"asset_id": batch["asset_id"], "_vector": vectors})
+
+    due = F.col("status").isin("pending", "failed") & (F.col("retry_at").isNull() | (F.col("retry_at") <= F.lit(now).cast("timestamp_ntz")))
+    tried = rows.where(due).select("asset_id", "text").mapInPandas(run, "asset_id long, _vector array<double>").withColumn("_tried", F.lit(True))
+    both = rows.join(tried, "asset_id", "left")
+    done, kind = F.col("_vector").isNotNull(), rows.schema["vector"].dataType
+    new = {
+        "vector": F.when(done, F.col("_vector").cast(kind)).otherwise(F.col("vector")),
+        "status": F.when(done, "ready").otherwise("failed"),
+        "retry_at": F.when(~done, _retry_at(now)),
+        "failures": F.when(done, 0).otherwise(F.col("failures") + 1),
+    }
+    return both.select(*(F.when(F.col("_tried"), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
+
+
 def requeue(rows: DataFrame) -> DataFrame:
     """Vectors dropped and everything pending again, as when the matrix is rebuilt."""
     return rows.withColumns({"vector": F.lit(None).cast(rows.schema["vector"].dataType), "status": F.lit("pending"), "failures": F.lit(0), "retry_at": F.lit(None).cast("timestamp_ntz")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -129,3 +129,9 @@ def match_indexed(rows: DataFrame, index: DataFrame, terms: list[str], key: str
 def norm_check(rows: DataFrame) -> DataFrame:
     """One row: the number of vectors, the greatest distance of a norm from 1, and the dimensions seen."""
     return rows.agg(F.count("vector").alias("n"), F.round(F.max(F.abs(vectors.norm(F.col("vector")) - 1)), 5).alias("worst"), F.min(F.size("vector")).alias("least_dimension"), F.max(F.size("vector")).alias("most_dimension"))
+
+
+def observed(rows: DataFrame, name: str = "candidates") -> tuple[DataFrame, Observation]:
+    """rows, and an observation that has their number and those with a vector once an action has run: diagnostics without another pass."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("candidates"), F.count("vector").alias("scored")), seen

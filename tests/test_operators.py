@@ -181,3 +181,31 @@ def test_stream_of_changes(spark, tmp_path):
     assert values(table.read().select("asset_id", "bytes")) == [(11, 6), (12, 1)] and table.version == 1
     assert not table.publish(table.read(), 1)
     assert changes.rebuild(table, table.read(0)) == 2 and values(table.read().select("asset_id")) == [(11,)]
+
+
+def test_index_step_contains_failures(spark):
+    rows = [(1, "ok", "pending", None, 0, None), (2, "bad", "failed", datetime(2024, 1, 1), 3, None), (3, "ok", "failed", datetime(2025, 1, 1), 1, None), (4, "ok", "ready", None, 0, [1.0])]
+    df = spark.createDataFrame(rows, "asset_id long, text string, status string, retry_at timestamp_ntz, failures int, vector array<float>")
+
+    def encode(said):
+        if said == "bad":
+            raise ValueError(said)
+        return [0.5]
+
+    got = {r.asset_id: r for r in mutations.index_step(df, encode, datetime(2024, 6, 1)).collect()}
+    assert {k: (r.status, r.failures, r.vector) for k, r in got.items()} == {1: ("ready", 0, [0.5]), 2: ("failed", 4, None), 3: ("failed", 1, None), 4: ("ready", 0, [1.0])}
+    assert got[2].retry_at == datetime(2024, 6, 1, 0, 4)
+
+
+def test_store_text_and_observed(spark):
+    df = spark.createDataFrame([(1, None, [1.0]), (2, "old", None)], "asset_id long, text string, vector array<double>")
+    texts = spark.createDataFrame([(1, ["A  b", " c "]), (2, [])], "asset_id long, lines array<string>")
+    assert values(mutations.store_text(df, texts, 2).select("asset_id", "text", "text_version")) == [(1, "a b c", 2), (2, None, 2)]
+    rows, seen = search.observed(df)
+    rows.collect()
+    assert seen.get == {"candidates": 2, "scored": 1}
+
+
+def test_progress(spark):
+    df = spark.createDataFrame([(1, 2, False), (5, 2, False), (0, 0, True), (0, 0, False)], "done int, total int, finished boolean")
+    assert [r[0] for r in df.select(workspace.progress(F.col("done"), F.col("total"), F.col("finished"))).collect()] == [0.5, 1.0, 1.0, 0.0]
