@@ -41,7 +41,7 @@ from .common import connected_components, small_batches, table, written
 
 SHINGLE, BANDS, ROWS, BITS = 5, 48, 4, 1024
 #: Members of a bucket, and characters of a family, that a task holds at a time (twice: queries and members).
-BLOCK, BLOCK_CHARS = 4096, 4_000_000
+BLOCK, BLOCK_CHARS = 1024, 1_000_000
 #: Similarity 3/4 as a fraction, and the sketch estimate below which a pair is not looked at.
 NUM, DEN, SIFT = 3, 4, 0.60
 _N = BANDS * ROWS
@@ -236,6 +236,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = written(docs.mapInArrow(_signatures, _SIGNED), "near-signatures")
     same = ["n", "d1", "d2"]
     classes = signed.where("n > 0").groupBy(*same).agg(F.min("id").alias("rep"))
+    classes = written(classes, "near-digests")  # read again, so that Spark may split the join on a large class
     classes = written(signed.select("id", *same).join(classes, same, "left").select("id", "n", "rep"), "near-classes")
     reps = signed.where("n > 0").join(classes.where("id = rep").select("id").distinct(), "id", "left_semi")
 
