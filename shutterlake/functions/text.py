@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,18 @@ _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
 
 def fold_width(text: Column) -> Column:
-    """Full-width forms to ASCII; nothing else changes."""
-    return F.translate(text, _FULL, _HALF)
+    """Full-width forms to ASCII; nothing else changes. Texts without such forms, most of them, are only looked over."""
+    return F.when(text.rlike("[\uFF01-\uFF5E\u3000]"), F.translate(text, _FULL, _HALF)).otherwise(text)
+
+
+def _folded(text: Column) -> Column:
+    """Only white space that is not one plain space already is replaced."""
+    return F.trim(F.regexp_replace(F.lower(fold_width(text)), r"\s{2,}|[^\S ]", " "))
 
 
 def normalise(text: Column) -> Column:
     """Width and case folded, white-space runs to one space, trimmed; blank becomes null."""
-    return F.nullif(F.trim(F.regexp_replace(F.lower(fold_width(text)), r"\s+", " ")), F.lit(""))
+    return F.nullif(_folded(text), F.lit(""))
 
 
 def indexable_lines(lines: Column) -> Column:
@@ -25,12 +32,23 @@ def indexable_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, normalise), lambda x: x.isNotNull())
 
 
-def contains_all(text: Column, terms: list[str]) -> Column:
-    """The normalised text holds every term (normalised likewise); no terms: true."""
-    out = F.lit(True)
-    for term in terms:
-        out = out & (F.instr(text, F.coalesce(normalise(F.lit(term)), F.lit(""))) > 0)
-    return out
+def holds(text: Column, required: Sequence[str] = (), excluded: Sequence[str] = ()) -> Column:
+    """The text is not blank and, normalised like the terms, has every required and no excluded term; never null.
+
+    The normalised text is the variable of a lambda, so that it is computed once however many terms there are."""
+
+    def place(said: Column, term: str) -> Column:
+        return F.instr(said, F.coalesce(normalise(F.lit(term)), F.lit("")))
+
+    def test(said: Column) -> Column:
+        out = said != ""
+        for term in required:
+            out = out & (place(said, term) > 0)
+        for term in excluded:
+            out = out & (place(said, term) == 0)
+        return out
+
+    return F.coalesce(F.exists(F.array(_folded(text)), test), F.lit(False))
 
 
 def trigrams(text: Column) -> Column:

@@ -50,8 +50,9 @@ def difference_hash(rows: DataFrame, key: str = "asset_id", content: str = "text
 
     A word's bucket is the first four hex digits of its md5 modulo 65. Counts are partial sums per row and bucket."""
     words = rows.select(key, F.explode(F.filter(F.split(F.lower(F.col(content)), r"\s+"), lambda w: w != "")).alias("w"))
-    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int") % 65
-    counts = words.groupBy(key, bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring("m", i, 1)) - 1
+    bucket = (((digit(1) * 16 + digit(2)) * 16 + digit(3)) * 16 + digit(4)) % 65
+    counts = words.withColumn("m", F.md5(F.col("w").cast("binary"))).groupBy(key, bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
     whole = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), (F.sum("chars") / F.sum("n")).alias("ratio"))  # 65 entries at most
     n = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(n(i) > n(i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
@@ -74,7 +75,12 @@ def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts
     parts is a join key, and no pair is missed. Three of eight parts make keys of 24 bits: as selective as the table is large."""
     width = 64 // parts
     part = [F.shiftrightunsigned("hash", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(parts)]
-    keys = [F.concat_ws(":", F.lit(k), *(part[i] for i in chosen)) for k, chosen in enumerate(combinations(range(parts), parts - distance))]
+    keys = []
+    for k, chosen in enumerate(combinations(range(parts), parts - distance)):
+        number = F.lit(k).cast("long")
+        for i in chosen:
+            number = number * (1 << width) + part[i]
+        keys.append(number)
     keyed = classes.withColumn("k", F.explode(F.array(*keys)))
     a, b = (keyed.select(F.col("k"), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "hash", "ratio"))) for s in "ab")
     near = a.join(b, "k").where((F.col("rep_a") < F.col("rep_b")) & (hamming("hash_a", "hash_b") <= distance) & (F.abs(F.col("ratio_a") - F.col("ratio_b")) < ratio))

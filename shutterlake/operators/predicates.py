@@ -42,10 +42,7 @@ class CandidateFilter:
         if self.place is not None:
             out = out & geo.inside(F.col("latitude"), F.col("longitude"), geo.box(*self.place))
         if self.required or self.excluded:
-            said = text.normalise(F.col("text"))
-            out = out & said.isNotNull() & text.contains_all(said, list(self.required))
-            for term in self.excluded:
-                out = out & (F.instr(said, F.coalesce(text.normalise(F.lit(term)), F.lit(""))) == 0)
+            out = out & text.holds(F.col("text"), self.required, self.excluded)
         return out
 
 

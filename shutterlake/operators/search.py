@@ -107,8 +107,7 @@ def vectors_of(rows: DataFrame, ids: list[int], key: str = "asset_id") -> list[l
 
 def match_text(rows: DataFrame, terms: list[str], key: str = "asset_id") -> DataFrame:
     """Keys of the rows whose normalised text holds all terms."""
-    said = text.normalise(F.col("text"))
-    return rows.where(text.contains_all(said, terms) & said.isNotNull()).select(key)
+    return rows.where(text.holds(F.col("text"), terms)).select(key)
 
 
 def trigram_index(rows: DataFrame, key: str = "asset_id") -> DataFrame:
