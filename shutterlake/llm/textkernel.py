@@ -7,11 +7,14 @@ slices of about SLICE bytes so that the temporaries stay in cache whatever the b
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 19
 
@@ -165,3 +168,51 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def signed(h: np.ndarray) -> pa.Array:
     """64-bit hashes as Spark's signed longs."""
     return pa.array(h.view(np.int64))
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """The texts in lower case by Unicode; ss stands for sharp s, and one sigma for both, as upper case has them. Bytes that are no UTF-8 are replaced."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_string())
+    try:
+        column = pc.utf8_lower(column)
+    except pa.ArrowInvalid:
+        texts = [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.large_binary()).to_pylist()]
+        column = pc.utf8_lower(pa.array(texts, pa.large_string()))
+    for old, new in (("ß", "ss"), ("ς", "σ")):
+        column = pc.replace_substring(column, old, new)
+    return column
+
+
+@cache
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter, digit or mark; those from 0x20000 on count as letters."""
+    return np.array([unicodedata.category(chr(c))[0] in "LNM" for c in range(0x20000)] + [True])
+
+
+def bare(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words without the punctuation and symbols at their ends; words of nothing else stay whole."""
+    letters = _letters()
+    inside = letters[data & 127] & (data < 128)
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int64)
+        b0, b1, b2, b3 = (b[lead + k] for k in range(4))
+        size = 2 + (b0 >= 0xE0) + (b0 >= 0xF0)
+        two, three = (b0 & 31) << 6 | b1 & 63, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63
+        code = np.select([size == 2, size == 3], [two, three], (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63)
+        ok = letters[np.minimum(code, len(letters) - 1)]
+        for k in range(4):
+            at = lead[ok & (size > k)] + k
+            inside[at[at < len(data)]] = True
+    w = words(data, offsets)
+    kept = np.flatnonzero(inside)
+    first, last = np.searchsorted(kept, w.start), np.searchsorted(kept, w.end) - 1
+    has = last >= first
+    start, end = w.start.copy(), w.end.copy()
+    start[has], end[has] = kept[first[has]], kept[last[has]] + 1
+    edge = np.zeros(len(data) + 1, np.int8)
+    edge[start] += 1
+    edge[end] -= 1
+    return Words(np.where(np.cumsum(edge[:-1], dtype=np.int8) > 0, data, np.uint8(0x20)), offsets, start, end, w.of)

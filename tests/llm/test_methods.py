@@ -108,6 +108,36 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_finds_altered_passages(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices("abcdeéèñöß", k=8))
+    items = [(n, " ".join(word() for _ in range(24)) + ". " + " ".join(word() for _ in range(n)) + ".") for n in range(1, 5)]
+    noise, docs, want = [word() for _ in range(200)], [], set()
+    for n, text in items:
+        ws = text.split()
+        forms = [text.upper(), f"«{text}»&&&", " ".join(f"{w}***" for w in ws)]
+        forms += [" ".join([*ws[:k], "zz", *ws[k + 1 :]]) for k in range(24, 24 + n)]  # one word of the answer is another
+        for form in forms:
+            want.add((len(docs), n))
+            docs.append((len(docs), " ".join(rng.choices(noise, k=60)) + f" {form} " + " ".join(rng.choices(noise, k=60))))
+        for half in (ws[:12], ws[24:]):  # these do not hold the item
+            docs.append((len(docs), " ".join(rng.choices(noise, k=60) + half)))
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+
+
+def test_bare_words():
+    from shutterlake.llm import textkernel as K
+
+    texts = ["«Éa», ¿qué? STRASSE&&& *** a-b 日本。", None, "", "(x)", "straße"]
+    found = []
+    for _, _, data, offsets in K.slices(K.lowered(pa.array(texts))):
+        w = K.bare(data, offsets)
+        found += [[w.data[w.start[k] : w.end[k]].tobytes().decode() for k in range(a, b)] for a, b in zip(w.of[:-1], w.of[1:], strict=True)]
+    assert found == [["éa", "qué", "strasse", "***", "a-b", "日本"], [], [], ["x"], ["strasse"]]
+    broken = pa.array([b"A\xff B"]).cast(pa.large_binary()).view(pa.large_string())
+    assert [x for x in K.lowered(broken).to_pylist()] == ["a\ufffd b"]
+
 # 3 -------------------------------------------------------------------------------------------------------------------
 
 
