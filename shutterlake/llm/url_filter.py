@@ -152,8 +152,17 @@ def url_filter(urls: DataFrame, labelled: DataFrame, url_col: str = "url", label
     return rows.select(*(F.col(f"in_{i}").alias(c) for i, c in enumerate(columns)), "host", "path", text.alias("rule"), F.coalesce(action, F.col("method_verdict")).alias("verdict"))
 
 
+#: Host words (between dots and hyphens) that mark an unwanted site.
+MARKS = ("ads", "adult", "bets", "casino", "pills", "porn", "spam", "win")
+
+
+def marked(urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """(url, label) of all urls: 1 if a word of the host is one of MARKS, else 0."""
+    words = F.split("host", "[.:-]")
+    return parts(urls.select(F.col(url_col).alias("url")).dropna(), "url").select("url", F.arrays_overlap(words, F.array(*map(F.lit, MARKS))).cast("int").alias("label"))
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
-    """Labels: a page is labelled by the row of `labels` with its id; low quality or toxic counts as block."""
+    """No table labels urls (`labels` is about documents, and no column links them to pages): the marks label the pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("label"))
-    return url_filter(pages, pages.join(labels, "page_id")).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter(pages, marked(pages)).select("page_id", "host", "path", "rule", "verdict")

@@ -158,6 +158,20 @@ def test_url_rules_and_trees(spark):
     assert {got[u].host for u in ("nothing", None, "://?#")} == {""}
 
 
+def test_op3_learns_from_labels_of_urls(spark):
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url")
+    spam = "cast(host rlike '(casino-win|cheap-pills|free-bets|spam-farm|adult-x|ads-track)' as int)"
+    held = F.pmod(F.xxhash64("url"), F.lit(3)) == 0
+    rows = url_filter.url_filter(pages.where(held), url_filter.marked(pages.where(~held)), rules=()).select("verdict", F.expr(spam).alias("spam")).collect()
+    bad = [r.verdict == "block" for r in rows if r.spam]
+    good = [r.verdict == "allow" for r in rows if not r.spam]
+    assert len(bad) > 15 and sum(bad) >= 0.95 * len(bad) and sum(good) >= 0.99 * len(good)
+    free = url_filter.op3(spark, sf).where("rule IS NULL").select("verdict", F.expr(spam).alias("spam")).collect()
+    assert all((r.verdict == "block") == bool(r.spam) for r in free) and any(r.spam for r in free)
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
