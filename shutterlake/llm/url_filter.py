@@ -1,8 +1,9 @@
 """URL filters: host and path rules first, then gradient-boosted trees on lexical features, with DataFrame functions only.
 
 The trees (Spark ML) are trained from labelled URLs. Features: lengths, depth, digit ratio, character entropy,
-parameter counts, label counts and, per host suffix, the smoothed rate and count of blocked URLs in the labelled
-sample. Training uses at most max_labelled labelled rows, chosen by hash of the url; everything else runs over all rows.
+parameter counts, label counts and, per host suffix, the smoothed rate and count of blocked URLs among all labelled
+ones. The trees are fitted to at most max_labelled labelled rows, chosen by hash of the url; everything else runs over
+all rows.
 
 A rule is an action on a host and a path: it fits its host and all subdomains if the url's path starts with the
 rule's. The longest fitting rule wins.
@@ -128,12 +129,14 @@ class UrlModel:
 
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max_labelled: int = MAX_LABELLED, trees: int = TREES, depth: int = DEPTH) -> UrlModel:
     """Fit on (url, label: 1 block, 0 allow); rows without a url or label are left out."""
-    rows = labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).dropna()
-    rows = rows.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled)
+    every = labelled.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).dropna()
+    hosts = features(parts(every, "url"), "url")
+    suffixes, tops = written(_counts(hosts, "_suffix"), "url-suffixes"), written(_counts(hosts, "_top"), "url-tops")
+    seen, blocked = tops.agg(F.coalesce(F.sum("_top_seen"), F.lit(0.0)), F.coalesce(F.sum("_top_bad"), F.lit(0.0))).first()
+    overall = blocked / seen if seen else 0.0
+    rows = every.orderBy(F.xxhash64("url"), "url", "label").limit(max_labelled)
     rows = written(features(parts(rows, "url"), "url").coalesce(1), "url-training")
     n, bad = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    overall = bad / n if n else 0.0
-    suffixes, tops = written(_counts(rows, "_suffix"), "url-suffixes"), written(_counts(rows, "_top"), "url-tops")
     model = UrlModel(None, suffixes, tops, overall, "block" if overall > 0.5 else "allow")
     if 0 < bad < n:
         data = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(model.with_statistics(rows, F.col("label"))).select("_features", "label", "url")

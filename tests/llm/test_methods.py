@@ -172,6 +172,12 @@ def test_op3_learns_from_labels_of_urls(spark):
     free = url_filter.op3(spark, sf).where("rule IS NULL").select("verdict", F.expr(spam).alias("spam")).collect()
     assert all((r.verdict == "block") == bool(r.spam) for r in free) and any(r.spam for r in free)
 
+def test_url_statistics_cover_all_labels(spark):
+    labelled = spark.createDataFrame([(f"http://a{k}.x{k % 5}.org/{k}", int(k % 5 == 0)) for k in range(100)], "url string, label int")
+    model = url_filter.train(labelled, max_labelled=10)
+    assert model.suffixes.count() == 100 and model.overall == 0.2
+    assert [tuple(r) for r in model.tops.collect()] == [("org", 20.0, 100.0)]
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 
 
