@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def ranks(scored: DataFrame) -> DataFrame:
-    """(query, item, score) with rank from 1, best first, ties by item. One query's items are one window: rank candidates, not whole tables."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "item")))
+    """(query, item, score) with rank from 1, best first, ties by item. Ranges of the order are ranked each on its own, with the counts of the ranges before added."""
+    order = [F.desc("score"), F.asc("item")]
+    ranges = written(scored.repartitionByRange("query", *order).withColumn("_range", F.spark_partition_id()), "rank-ranges")
+    counts = ranges.groupBy("query", "_range").agg(F.count("*").alias("_n"))
+    before = counts.select(F.col("query").alias("_query"), F.col("_range").alias("_at"), (F.sum("_n").over(Window.partitionBy("query").orderBy("_range")) - F.col("_n")).alias("_before"))
+    own = ranges.withColumn("_own", F.row_number().over(Window.partitionBy("query", "_range").orderBy(*order)))
+    rows = own.join(before, F.col("query").eqNullSafe(F.col("_query")) & (F.col("_range") == F.col("_at")))
+    return rows.select(*scored.columns, (F.col("_before") + F.col("_own")).cast("int").alias("rank"))
 
 
 def retrieval(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -149,6 +149,23 @@ def test_metrics(spark):
     assert got["p"].ndcg == 0.0
 
 
+def test_ranks_of_a_large_query_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    scored = spark.range(4000).select(F.when(F.col("id") < 3900, "q").alias("query"), F.col("id").alias("item"), (F.col("id") % 3).cast("double").alias("score"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        ranked = metrics.ranks(scored)
+        got, plan = {(r.query, r.item): r.rank for r in ranked.collect()}, ranked._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    for query, items in (("q", range(3900)), (None, range(3900, 4000))):
+        best = sorted(items, key=lambda x: (-(x % 3), x))
+        assert [got[query, x] for x in best] == list(range(1, len(best) + 1))
+    assert "row_number() windowspecdefinition(query" not in plan or "_range" in plan.split("row_number() windowspecdefinition(query")[1][:40]
+
+
 def test_folder_source(spark, tmp_path):
     for name in ("a.JPG", "sub/b.png", "sub/.hidden.png", ".dir/c.png", "d.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
