@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .components import connected_components
 
 #: Size classes in decimal MB, half open.
 BUCKETS = (("<1", 0, 1), ("1-5", 1, 5), ("5-20", 5, 20), ("20-100", 20, 100), (">=100", 100, None))
@@ -87,27 +88,10 @@ def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts
     return near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), hamming("hash_a", "hash_b").alias("distance")).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over edges (a, b). Rounds of least neighbour label with pointer jumping; each round is written to the shared folder, and one flag comes to the driver."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both = written(both, "edges")
-    labels = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = labels.join(near, F.col("node") == F.col("a")).join(up, "label", "left").select("node", F.col("label").alias("old"), F.least("label", "near", F.coalesce("up", "label")).alias("label"))
-        new = written(new, "labels")
-        moved = not new.where("old <> label").isEmpty()
-        labels = new.select("node", "label")
-        if not moved:
-            return labels.withColumnRenamed("label", "component")
-    raise RuntimeError("components did not settle")
-
-
 def near_groups(hashes: DataFrame, key: str = "asset_id", distance: int = 5, ratio: float = 0.05) -> DataFrame:
     """(key, component) of every row in a group of two or more, linked through its hash class."""
     classes = written(hash_classes(hashes, key), "hash-classes")
-    comps = components(near_pairs(classes, distance, ratio)).select(F.col("node").alias("rep"), "component")
+    comps = connected_components(near_pairs(classes, distance, ratio)).select(F.col("node").alias("rep"), "component")
     placed = hashes.join(classes, ["hash", "ratio"]).join(comps, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     return placed.join(sizes, "component", "left_semi").select(key, "component")

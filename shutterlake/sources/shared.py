@@ -20,8 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table: lineage ends here, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table: lineage ends here, and a lost executor loses nothing."""
+    return write(df, shared_path(df.sparkSession, name), by)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import dates, geo, text, vectors
 from shutterlake.operators import cleanup, library, metrics, mutations, places, predicates, search, timeline, workspace
+from shutterlake.operators.components import connected_components
 from shutterlake.sources import files
 from shutterlake.streaming import changes
 
@@ -120,7 +122,14 @@ def test_empty_histogram_keeps_buckets(assets):
 
 def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (7, 7)], "a long, b long")
-    assert values(cleanup.components(edges)) == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]
+    assert values(connected_components(edges)) == [(3, 3), (4, 3), (5, 3), (8, 8), (9, 8)]
+
+
+def test_components_of_a_long_chain(spark):
+    ids = random.Random(1).sample(range(10_000), 3000)
+    rows = connected_components(spark.createDataFrame([*zip(ids, ids[1:]), (20_000, 20_001), (20_001, None), (7_000_000, 7_000_000)], "a long, b long")).collect()
+    assert len(rows) == len({r.node for r in rows}) == 3002
+    assert {r.component for r in rows if r.node < 20_000} == {min(ids)} and {r.component for r in rows if r.node >= 20_000} == {20_000}
 
 
 def test_upsert_keeps_columns(spark):
