@@ -1,66 +1,28 @@
-"""What the operators share: tables, the shared folder, and written intermediate results."""
+"""What the operators share: tables, written intermediate results, names that cannot clash."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A word is a run of characters other than these six bytes (code points 0x20 and 0x09-0x0D).
-WORD_SPLIT = "[\\x20\\x09-\\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
+from ..operators.components import connected_components
+from ..sources.shared import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only a local master may fall back to a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+__all__ = ["connected_components", "numbered", "shared_dir", "small_batches", "table", "written"]
 
+#: Rows and bytes of an Arrow batch, one setting for all operators, so that long texts do not pile up in a Python worker.
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, read often, and safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not pile up in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
-    """(node, component) of every node of the undirected edges (a, b): component is the smallest node reachable.
 
-    Rounds of min-label propagation with pointer jumping: each node takes the least label among its neighbours'
-    labels and the label of its label. A round is two joins and a partial aggregation, so a hub of any degree
-    is summed map-side; labels are written to the shared folder after each round, and only a flag comes to the driver.
-    """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    both = written(both.union(both.select("v", "u")).distinct(), "cc-edges")
-    labels = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "cc-labels")
-    # Up to a bound of 16 MB the labels are broadcast, so that a round is one shuffle.
-    small = F.broadcast if labels.count() <= 1_000_000 else lambda x: x
-    for _ in range(most_rounds):
-        near = both.join(small(labels.select(F.col("u").alias("v"), "label")), "v").groupBy("u").agg(F.min("label").alias("near"))
-        jump = labels.select(F.col("u").alias("label"), F.col("label").alias("up"))
-        new = labels.join(small(near), "u").join(small(jump), "label", "left").select("u", F.least("label", "near", F.coalesce("up", "label")).alias("new"), "label")
-        new = written(new, "cc-labels")
-        changed = new.where("new <> label").limit(1).count()
-        labels = new.select("u", F.col("new").alias("label"))
-        if not changed:
-            return labels.select(F.col("u").alias("node"), F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
+def numbered(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """df with its columns as in_0, in_1 and so on, and those names: an operator may add columns of any other name."""
+    names = [f"in_{k}" for k in range(len(df.columns))]
+    return df.toDF(*names), names

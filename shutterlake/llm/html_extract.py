@@ -289,7 +289,7 @@ def _extractor(model: TreeModel):
 
 def extract(pages: DataFrame, model: TreeModel | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extractor(model or default_model()), "page_id long, url string, text string, n_chars long")
 

@@ -15,14 +15,17 @@ the connected components of these links.
    spanning forest of them, never all pairs.
 5. Within each family of several components, every text outside the largest component is compared with all its
    texts, in blocks of bounded size: size and sketch first, then the full sets. Only links between components come
-   out. Nothing is capped: a family of any size is worked through, block by block.
+   out. Nothing is capped: a family of any size is worked through, block by block, and its texts are copied once per
+   block of the texts outside its largest component.
 6. A pair is looked at if the sizes allow 0.75 (exact) and the sketches estimate at least 0.60 (4.5 standard
-   deviations below 0.75), and is confirmed on the full sets computed from the texts.
+   deviations below 0.75), and is confirmed on the full sets computed from the texts; a shingle is its 64-bit hash
+   there, of numbers that are independent of one another (textkernel), so no texts are built to collide.
 
 Defined results: null or word-free texts have no shingles, are linked with nothing and form their own component;
 texts of one to four words have their whole sequence as the only shingle; rows that repeat an id are one node with
 the links of all of them, each with its own row in the result; a null id takes the component of its equal texts and
-else null, and is kept if that is null; an empty table gives an empty result; other columns are not looked at.
+else null, and is kept if that is null; an empty table gives an empty result; other columns are not looked at, whatever
+their names are.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import textkernel as K
-from .common import connected_components, small_batches, table, written
+from .common import connected_components, numbered, small_batches, table, written
 
 SHINGLE, BANDS, ROWS, BITS = 5, 48, 4, 1024
 #: Members of a bucket, and characters of a family, that a task holds at a time (twice: queries and members).
@@ -51,15 +54,6 @@ _SALTS = K.mix(np.arange(1, _N + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7
 SIFT_BITS = int(BITS / 2 * (1 - np.exp(-2 * (2 * _N * (1 - SIFT)) / BITS)) + 0.5)
 
 
-def shingles(h: np.ndarray) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text, from its folded word hashes."""
-    n = len(h)
-    if not n:
-        return h
-    size = min(n, SHINGLE)
-    return np.unique(K.window_at(h, np.arange(n - size + 1), size))
-
-
 def minhash(s: np.ndarray) -> np.ndarray:
     low = (s >> np.uint64(32)).astype(np.uint32)
     step = 2048
@@ -81,11 +75,14 @@ def odd_sketch(m: np.ndarray) -> np.ndarray:
 
 
 def _text_sets(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
     for _, _, data, offsets in K.slices(texts):
         w = K.words(data, offsets)
         h = w.hashes(True)
-        for d in range(len(offsets) - 1):
-            yield shingles(h[w.of[d] : w.of[d + 1]])
+        first, keys = K.windows(h, w.of, SHINGLE)
+        at = np.searchsorted(first, w.of)
+        for d, n in enumerate(w.counts.tolist()):
+            yield np.unique(keys[at[d] : at[d + 1]]) if n >= SHINGLE else K.window_at(h, w.of[d : d + 1], n) if n else h[:0]
 
 
 _SIGNED = "id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>"
@@ -215,12 +212,18 @@ def _in_blocks(compare):
 def _blocked(rows: DataFrame, compare, extra: list[str]) -> DataFrame:
     """Edges (a, b) that compare finds between the rows of each key with asks, and all rows of that key.
 
-    rows: key, blocks, id, component, n, sketch, asks. A key's rows are dealt to its blocks by id; each block of
-    queries meets each block of members in a task."""
-    own, each = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
+    rows: key, qblocks, mblocks, id, component, n, sketch, asks. A key's rows are dealt by id to its blocks of queries and of
+    members; each block of queries meets each block of members in a task, so members are copied once per block of queries."""
+
+    def own(blocks: str):
+        return F.pmod(F.xxhash64("id"), F.col(blocks)).cast("int")
+
+    def each(blocks: str):
+        return F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
+
     cols = ["key", "id", "component", "n", "sketch", *extra]
-    members = rows.select(*cols, F.lit(False).alias("query"), own.alias("mb"), each.alias("qb"))
-    queries = rows.where("asks").select(*cols, F.lit(True).alias("query"), own.alias("qb"), each.alias("mb"))
+    members = rows.select(*cols, F.lit(False).alias("query"), own("mblocks").alias("mb"), each("qblocks").alias("qb"))
+    queries = rows.where("asks").select(*cols, F.lit(True).alias("query"), own("qblocks").alias("qb"), each("mblocks").alias("mb"))
     dealt = members.unionByName(queries).repartition("key", "qb", "mb").sortWithinPartitions("key", "qb", "mb")
     return dealt.select(*cols, "query", "qb", "mb").mapInArrow(_in_blocks(compare), "a long, b long").distinct()
 
@@ -266,15 +269,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return rows.join(found, key, "left").withColumn(name, F.coalesce(name, key))
 
     held = labelled(labelled(members, "id", "component"), "pivot", "main")
-    mixed = held.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    held = held.join(mixed, "key", "left_semi").join(light, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("asks", F.col("component") != F.col("main"))
+    asks = F.col("component") != F.col("main")
+    mixed = held.groupBy("key").agg(F.ceil(F.count_if(asks) / BLOCK).alias("qblocks"), F.ceil(F.count("*") / BLOCK).alias("mblocks")).where("qblocks > 0")
+    held = held.join(mixed, "key").join(light, "id").withColumn("asks", asks)
     families = connected_components(_blocked(held, _families, []))
 
     kin = labelled(suspects, "id", "component").join(families.select(F.col("node").alias("component"), F.col("component").alias("key")), "component")
     kin = written(kin, "near-families")
     sizes = kin.groupBy("key", "component").agg(F.count("*").alias("texts"), F.sum(F.length("text")).alias("chars"))
-    sizes = sizes.groupBy("key").agg(F.max_by("component", F.struct("texts", "component")).alias("main"), F.ceil((F.sum("chars") + 1) / BLOCK_CHARS).alias("blocks"))
-    kin = kin.join(sizes, "key").withColumn("asks", F.col("component") != F.col("main"))
+    largest = F.max_by(F.struct("component", "chars"), F.struct("texts", "component"))
+    sizes = sizes.groupBy("key").agg(largest.alias("main"), F.sum("chars").alias("chars"))
+    sizes = sizes.select("key", F.col("main.component").alias("main"), F.ceil((F.col("chars") - F.col("main.chars") + 1) / BLOCK_CHARS).alias("qblocks"), F.ceil((F.col("chars") + 1) / BLOCK_CHARS).alias("mblocks"))
+    kin = kin.join(sizes, "key").withColumn("asks", asks)
     links = links.unionByName(_blocked(kin, _links, ["text"]))
     labels = connected_components(links)
     of = labels.select(F.col("node").alias("rep"), "component")
@@ -283,12 +289,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates: that of the smallest id (of rows with that id, one); null ids stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    one = docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    one = one.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
-    return one.unionByName(docs.where(F.col(id_col).isNull()))
+    """One row of each group of near-duplicates: that of the smallest id (of rows with that id, one); null ids stay.
+
+    Texts do not move for it: the ids to keep meet the rows, and only rows of ids that occur more than once are ordered."""
+    rows, names = numbered(docs)
+    key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    kept = near_duplicates(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    kept = written(kept, "near-kept")
+    one = rows.join(kept, F.col(key).cast("long") == F.col("doc_id"))
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text))
+    several = one.where("copies > 1").withColumn("turn", F.row_number().over(order)).where("turn = 1")
+    whole = one.where("copies = 1").select(names).unionByName(several.select(names)).unionByName(rows.where(F.col(key).isNull()))
+    return whole.toDF(*docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ back to the documents. Measures are written once, since both the sums and the jo
 
 Defined results: a null or empty text has no words and fails the base rule; a null host forms a host of its
 own, whose verdict is joined null-safely; repeated rows are judged like any others; an empty table gives an empty result;
-columns of the input other than id, text and host are not looked at, so their names cannot clash.
+columns of the input other than id, text and host are not looked at, whatever their names are.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import small_batches, written
+from .common import numbered, small_batches, table, written
 
 #: Fixed values of the base rule.
 FEW_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
@@ -122,13 +122,13 @@ def _fails_base(texts: pa.Array) -> pa.Array:
 def filtered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of docs that quality() keeps, whole. Texts do not move: they meet only the hosts' verdicts."""
     hosts = written(host_verdicts(measures(docs, id_col, text_col, host_col), limit), "quality-hosts")
-    bad = hosts.where("host_rejected").select(F.col("host").alias("_bad_host"))
-    good = docs.where(~F.arrow_udf(_fails_base, "boolean")(F.col(text_col).cast("string")))
-    return good.join(bad, F.col(host_col).cast("string").eqNullSafe(F.col("_bad_host")), "left_anti")
+    bad = hosts.where("host_rejected").select("host")
+    rows, names = numbered(docs)
+    text, host = (F.col(names[docs.columns.index(c)]).cast("string") for c in (text_col, host_col))
+    good = rows.where(~F.arrow_udf(_fails_base, "boolean")(text))
+    return good.join(bad, host.eqNullSafe(F.col("host")), "left_anti").toDF(*docs.columns)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
-    from .common import table
-
     rates = [F.round(f"rate_{r}", 9).alias(f"rate_{r}") for r in RULES]
     return quality(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *rates)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 1 << 19
+SLICE, PIECE = 1 << 19, 1 << 16
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
@@ -25,45 +25,53 @@ LOWER[65:91] += 32
 
 _U = np.uint64
 _MUL = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_R = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2^64
+#: Places of a run that have their own random numbers; further ones take these times a random factor per PLACES.
+PLACES = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     h = h ^ (h >> _U(32))
-    h = h * _U(0xD6E8FEB86659FD93)
+    h *= _U(0xD6E8FEB86659FD93)
     h ^= h >> _U(29)
     h *= _U(0xBF58476D1CE4E5B9)
     h ^= h >> _U(32)
     return h
 
 
-def _bytes_table(seed: int) -> np.ndarray:
+def _numbers(seed: int) -> np.ndarray:
+    """A random number for every place (row) and byte (column)."""
     with np.errstate(over="ignore"):
-        return mix((np.arange(1, 257, dtype=_U) + _U(seed * 1000)) * _U(_MUL))
-
-
-_LINE = _bytes_table(1)
-_EXACT = _bytes_table(2)
-_EXACT[SPACE] = 0
-_FOLDED = _EXACT[LOWER]
-
-_powers = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R^0..R^(n-1) and their inverses modulo 2^64."""
-    have = _powers.get("n", 0)
-    if have < n:
-        n = max(n, 2 * have, 2 * SLICE)
-        inverse = pow(_R, -1, 1 << 64)
-        for name, base in (("up", _R), ("down", inverse)):
-            run = np.full(n, base, _U)
-            run[0] = 1
-            _powers[name] = np.multiply.accumulate(run)
-        _powers["n"] = n
-    return _powers["up"], _powers["down"]
+        return mix((np.arange(PLACES * 256, dtype=_U) + _U(seed << 32)) * _U(_MUL)).reshape(PLACES, 256)
+
+
+_LINE = _numbers(1)
+_LINE[:, 10] = 0
+_EXACT = _numbers(2)
+_EXACT[:, SPACE] = 0
+_FOLDED = _EXACT[:, LOWER]
+
+
+def run_sums(table: np.ndarray, data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Per run of bytes, from one start to the next, the sum of the numbers of its (place, byte) pairs modulo 2^64.
+
+    The numbers are independent of one another, so two different runs have equal sums with probability 2^-64 whatever
+    they hold; a polynomial in the bytes has sequences that collide for every base. The work goes in pieces of whole runs."""
+    out = np.empty(len(start), _U)
+    stop = np.append(start[1:], len(data))
+    flat, lo = table.ravel(), 0
+    while lo < len(start):
+        hi = max(lo + 1, int(np.searchsorted(stop, start[lo] + PIECE, "right")))
+        a, b = start[lo], stop[hi - 1]
+        own = start[lo:hi] - a
+        place = np.arange(b - a, dtype=np.int64) - np.repeat(own, stop[lo:hi] - start[lo:hi])
+        value = flat[(place & (PLACES - 1)) << 8 | data[a:b]]
+        if (stop[lo:hi] - start[lo:hi]).max() > PLACES:
+            turn = place >> 6
+            value *= np.append(_U(1), mix(np.arange(1, turn.max() + 1, dtype=_U) * _U(_MUL)) | _U(1))[turn]
+        out[lo:hi] = np.add.reduceat(value, own)
+        lo = hi
+    return out
 
 
 @dataclass
@@ -87,9 +95,7 @@ class Words:
         """A 64-bit hash of each word's bytes; fold: A-Z count as a-z."""
         if not len(self.start):
             return np.zeros(0, _U)
-        up, down = powers(len(self.data))
-        h = np.add.reduceat((_FOLDED if fold else _EXACT)[self.data] * up[: len(self.data)], self.start)
-        return mix(h * down[self.start] + (self.end - self.start).astype(_U))
+        return mix(run_sums(_FOLDED if fold else _EXACT, self.data, self.start) + (self.end - self.start).astype(_U))
 
 
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -132,12 +138,23 @@ def windows(h: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
     return first, window_at(h, first, size)
 
 
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _U(_MUL) + b)
+
+
 def window_at(h: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """The hash of the size words from each position on."""
-    up, down = powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, _U)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    return mix((total[first + size] - total[first]) * down[first] + _U(size))
+    """The hash of the size words from each position on: of halves, quarters and so on, mixed at each step."""
+    if not len(first):
+        return np.zeros(0, _U)
+    out, at, runs, length = None, first, h, 1
+    while True:
+        if size & length:
+            out = runs[at] if out is None else _join(out, runs[at])
+            at = at + length
+        if 2 * length > size:
+            return out
+        runs = _join(runs[:-length], runs[length:])
+        length *= 2
 
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -156,10 +173,7 @@ def lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
     stop = np.append(start[1:], n)
-    up, down = powers(n)
-    value = _LINE[data]
-    value[cuts] = 0
-    h = np.add.reduceat(value * up[:n], start) * down[start]
+    h = run_sums(_LINE, data, start)
     length = stop - start - (data[stop - 1] == 10)
     text = np.searchsorted(offsets, start, "right") - 1
     return text, mix(h + length.astype(_U)), np.add.reduceat((~SPACE[data]).astype(np.int64), start) > 0
