@@ -3,8 +3,10 @@
 Anchors: 20-word windows are hashed only at word positions whose index modulo 31 is in a perfect difference cover.
 For any two positions there is a shift of at most 30 words that puts both on the cover, and 30 + 20 <= 50, so every
 shared 50-word window holds an anchor at the same place in both documents. Anchors that occur under two ids point at
-the places to extend: all 50-word windows over such an anchor are hashed (64 bits), and a window is covered if its
-hash also occurs under a smaller id. Documents without a shared anchor, most of them, are finished at once.
+the places to extend: from every such anchor the match is extended to all 50-word windows over it, and a window is
+covered if the same 50 words also start under a smaller id. Words are compared by two independent hashes, 128 bits in
+all: two different windows among 10^13 agree with probability 10^-13. (An anchor's 64 bits only propose places.)
+Documents without a shared anchor, most of them, are finished at once.
 
 Both searches are grouping by hash, done as a map-side combine, a shuffle by hash range and a merge. The combine
 settles within the task what can be settled there (an occurrence with a smaller id beside it needs nobody else) and
@@ -38,8 +40,10 @@ _ON = np.isin(np.arange(PERIOD), COVER)
 HELD = 2_000_000
 #: An occurrence is its id and (tag << 40 | word index); the tag tells apart texts under one id.
 _AT, _TAG = 40, (1 << 23) - 1
+#: What the words' hashes are mixed with for the second hash of a window.
+_SECOND = np.uint64(0xA5A3_5C1D_9E6B_70F7)
 
-_SENT = "bucket int, h array<long>, ids array<long>, at array<long>, id long, tag long, pos array<int>"
+_SENT = "bucket int, h array<long>, g array<long>, ids array<long>, at array<long>, id long, tag long, pos array<int>"
 _FOUND = "id long, tag long, pos array<int>"
 
 
@@ -56,41 +60,52 @@ def _by_doc(ids: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Arr
     return pa.array(ids[new]), pa.array(tag[new]), _lists((at & ((1 << _AT) - 1)).astype(np.int32), np.append(new, len(ids)), pa.int32())
 
 
-def _groups(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of occurrences in order of h: group starts, and the least and greatest id of each occurrence's group."""
-    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+def _order(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """By h, and by g among equal h."""
+    order = np.argsort(h, kind="stable")
+    x, y = h[order], g[order]
+    return np.lexsort((g, h)) if ((x[1:] == x[:-1]) & (y[1:] != y[:-1])).any() else order
+
+
+def _groups(h: np.ndarray, g: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of occurrences in order of h and g: group starts, and the least and greatest id of each occurrence's group."""
+    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
     size = np.diff(np.append(start, len(h)))
     return start, np.repeat(np.minimum.reduceat(ids, start), size), np.repeat(np.maximum.reduceat(ids, start), size)
 
 
-def _combine(h: np.ndarray, ids: np.ndarray, at: np.ndarray, bits: int, anchors: bool) -> Iterator[pa.RecordBatch]:
+_NAMES = ["bucket", "h", "g", "ids", "at", "id", "tag", "pos"]
+
+
+def _combine(h: np.ndarray, g: np.ndarray, ids: np.ndarray, at: np.ndarray, bits: int, anchors: bool) -> Iterator[pa.RecordBatch]:
     """What a task can settle (bucket of the id), and what it sends on (bucket: the leading bits of h)."""
-    order = np.argsort(h)
-    h, ids, at = h[order], ids[order], at[order]
-    start, lo, hi = _groups(h, ids)
+    order = _order(h, g)
+    h, g, ids, at = h[order], g[order], ids[order], at[order]
+    start, lo, hi = _groups(h, g, ids)
     settled = lo < hi if anchors else ids > lo
     send = ~settled
     if anchors:  # one occurrence under the least and one under the greatest id speak for a settled group
         both = start[settled[start]]
-        h = np.concatenate([h, h[both], h[both]])
+        h, g = np.concatenate([h, h[both], h[both]]), np.concatenate([g, g[both], g[both]])
         ids, at = np.concatenate([ids, lo[both], hi[both]]), np.concatenate([at, np.full(2 * len(both), -1)])
         send, settled = np.concatenate([send, np.ones(2 * len(both), bool)]), np.concatenate([settled, np.zeros(2 * len(both), bool)])
-        order = np.argsort(h, kind="stable")
-        h, ids, at, send, settled = h[order], ids[order], at[order], send[order], settled[order]
     if settled.any():
         i, t, p = _by_doc(ids[settled], at[settled])
         n = len(i)
         none = pa.nulls(n, pa.list_(pa.int64()))
         buckets = (K.mix(i.to_numpy().astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(buckets), none, none, none, i, t, p], names=["bucket", "h", "ids", "at", "id", "tag", "pos"])
+        yield pa.RecordBatch.from_arrays([pa.array(buckets), none, none, none, none, i, t, p], names=_NAMES)
     if send.any():
-        h, ids, at = h[send], ids[send], at[send]
+        h, g, ids, at = h[send], g[send], ids[send], at[send]
+        order = np.argsort(h, kind="stable")
+        h, g, ids, at = h[order], g[order], ids[order], at[order]
         bucket = (h >> np.uint64(64 - bits)).astype(np.int32)
         cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
         ends = np.append(cut, len(h))
         n = len(cut)
         lists = [_lists(x, ends, pa.int64()) for x in (h.view(np.int64), ids, at)]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *lists, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names=["bucket", "h", "ids", "at", "id", "tag", "pos"])
+        second = pa.nulls(n, pa.list_(pa.int64())) if anchors else _lists(g.view(np.int64), ends, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), lists[0], second, *lists[1:], pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], names=_NAMES)
 
 
 def _occurrences(bits: int, anchors: bool):
@@ -118,7 +133,10 @@ def _occurrences(bits: int, anchors: bool):
                     continue
                 first, index = of_slice(w, marks and marks[f:last])
                 row = f + w.owner()[first]
-                held.append((K.window_at(w.hashes(False), first, ANCHOR if anchors else WINDOW), ids[row], (tags[row] << _AT) | index[first]))
+                words = w.hashes(False)
+                h = K.window_at(words, first, ANCHOR if anchors else WINDOW)
+                g = np.zeros(len(h), np.uint64) if anchors else K.window_at(K.mix(words ^ _SECOND), first, WINDOW)
+                held.append((h, g, ids[row], (tags[row] << _AT) | index[first]))
                 n += len(first)
                 if n >= HELD:
                     yield from _combine(*(np.concatenate(x) for x in zip(*held, strict=True)), bits, anchors)
@@ -133,10 +151,10 @@ def _merge(anchors: bool):
     """Settle what the tasks sent, one hash range after the other; rows must come in order of bucket."""
 
     def settle(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        h, ids, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h)
-        h, ids, at = h[order], ids[order], at[order]
-        _, lo, hi = _groups(h, ids)
+        h, g, ids, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = _order(h, g)
+        h, g, ids, at = h[order], g[order], ids[order], at[order]
+        _, lo, hi = _groups(h, g, ids)
         found = ((lo < hi) & (at >= 0)) if anchors else ids > lo
         if found.any():
             yield pa.RecordBatch.from_arrays(list(_by_doc(ids[found], at[found])), names=["id", "tag", "pos"])
@@ -159,7 +177,8 @@ def _merge(anchors: bool):
                     held = []
                 current = buckets[a]
                 part = rest.slice(a, b - a)
-                held.append(tuple(part.column(c).flatten().to_numpy() for c in ("h", "ids", "at")))
+                h, ids, at = (part.column(c).flatten().to_numpy() for c in ("h", "ids", "at"))
+                held.append((h, np.zeros(len(h), np.int64) if anchors else part.column("g").flatten().to_numpy(), ids, at))
         if held:
             yield from settle(held)
 
