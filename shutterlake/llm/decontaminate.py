@@ -3,22 +3,26 @@
 Every passage of every document is a query (words in Unicode lower case without the punctuation and symbols at their
 ends, each distinct word once); all items whose score reaches THETA of what the item's own text would score are
 retrieved, and a hit counts if enough of the item's question and of its answer is in the passage, run by run of words.
-A run has GRAM words, but a side of GRAM words or fewer goes by single words, so that one changed word does not void it;
-an answer of one word may be missing if NEARLY all of a question of 2 GRAM words or more is there. Items under 2 GRAM
-words in all are too common for that: a side of theirs has runs of up to GRAM words. Passages are 2 S words long at every S
-words, S being the length of the longest item (32 at least), so an item always lies whole in some passage.
+A run has GRAM words, in a short side fewer, so that one changed word breaks half of a side's runs at most; an answer of
+one word may be missing if NEARLY all of a question of 2 GRAM words or more is there. Items under 2 GRAM words in all are
+too common for that: a side of theirs has runs of up to GRAM words.
+
+Items go by length: those of up to S words, S being 32 times a power of two, are looked for in passages of 2 S words at
+every S words, so an item always lies whole in some passage, and what is found of an item depends on that item, the
+document and the word counts of the whole benchmark alone.
 
 The index is small and goes to the executors; the texts stay where they are: no shuffle. Test items are indexed in
-blocks of at most BLOCK_CHARS characters, one pass over the documents each, so what is broadcast is bounded whatever
-the size of the benchmark. Most passages never reach the WAND loop: words that together give no item more than
-SLACK of its score are set aside, and the vectorised sum of the others' impacts must leave an item within reach.
+blocks of about BLOCK_CHARS characters, one pass over the documents each and one broadcast at a time, so what is held is
+bounded whatever the size of the benchmark. A first bound saves most passages the WAND loop: words that together give no
+item more than SLACK of its score are set aside, and a passage goes on if some item reaches THETA with the impacts of its
+other words plus all that was set aside for that item. That is never less than the item's score, so no hit is lost.
 
 An item's answer is its last sentence, its question the rest; of a single sentence, the answer is the last quarter.
 
 Defined results: null or word-free texts contain nothing and are never contaminated; null or word-free items are
 never found; several items with equal text are each found; a document has one row per item, with the best passage
 (the first of equals); repeated document rows each give their own; empty tables give an empty result; other columns
-are not looked at.
+are not looked at, whatever their names are.
 """
 
 from __future__ import annotations
@@ -35,13 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import small_batches, table
+from .common import numbered, small_batches, table, written
 
 K1, B, THETA, SLACK, POSTING_BLOCK = 1.2, 0.75, 0.5, 0.2, 32
-QUESTION, ANSWER, NEARLY, GRAM = 0.5, 0.5, 0.9, 4
+QUESTION, ANSWER, NEARLY, GRAM, SHORTEST = 0.5, 0.5, 0.9, 4, 32
 BLOCK_CHARS = 4_000_000
 HITS = "doc_id long, item_id long, first_word long, score double, question_overlap double, answer_overlap double"
 _EPS = 1e-9
+_UNSIGNED = (1 << 64) - 1
 
 
 def split_item(text: str) -> tuple[str, str]:
@@ -61,9 +66,14 @@ def _hashes(text: str) -> np.ndarray:
 
 
 def run_lengths(*sides: int) -> list[int]:
-    """Words per run of each side of an item: GRAM, or one in a side that would be a single run."""
+    """Words per run of each side of an item: as many as leave half of the runs whole when one word changes, GRAM at most."""
     short = sum(sides) < 2 * GRAM
-    return [max(1, n) if short and n < GRAM else 1 if n <= GRAM and not short else GRAM for n in sides]
+    return [max(1, min(GRAM, n if short else (n + 1) // 3)) for n in sides]
+
+
+def stride_of(n: int) -> int:
+    """The passage stride for items of n words."""
+    return SHORTEST << max(0, (max(n, 1) - 1).bit_length() - (SHORTEST - 1).bit_length())
 
 
 def _grams(h: np.ndarray, size: int) -> np.ndarray:
@@ -71,12 +81,12 @@ def _grams(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class ItemIndex:
-    """Postings by word hash: items in order, with their share of the item's own score."""
+    """Postings by word hash: items of one stride in order, with their share of the item's own score."""
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[int, int], n_items: int, mean_words: float) -> None:
-        kept = [(i, h, t) for i, t in sorted(items) if len(h := _hashes(t))]
+    def __init__(self, stride: int, kept: list[tuple[int, np.ndarray, str]], df: dict[int, int], n_items: int, mean_words: float) -> None:
+        """kept: (item, its word hashes, its text), by item; df: items of the whole benchmark per word."""
         self.ids = np.array([i for i, _, _ in kept], np.int64)
-        self.stride = max([32, *(len(h) for _, h, _ in kept)])
+        self.stride = stride
         self.parts = []
         for _, _, t in kept:
             sides = [_hashes(side) for side in split_item(t)]
@@ -215,17 +225,18 @@ def passages_of(index: ItemIndex, h: np.ndarray, of: np.ndarray) -> Iterator[tup
 
 def _finder(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
         for batch in batches:
             ids, rows = batch.column("id").to_pylist(), []
             for f, _, data, offsets in K.slices(K.lowered(batch.column("text"))):
                 w = K.bare(data, offsets)
-                best: dict[tuple[int, int], tuple] = {}
-                for text, item, first, score, q, a in passages_of(index, w.hashes(False), w.of):
-                    hit = (-q - a, -score, first)
-                    if (text, item) not in best or hit < best[text, item][0]:
-                        best[text, item] = hit, (ids[f + text], int(index.ids[item]), first, score, q, a)
-                rows += [x[1] for x in best.values()]
+                h = w.hashes(False)
+                for index in shared.value:
+                    best: dict[tuple[int, int], tuple] = {}
+                    for text, item, first, score, q, a in passages_of(index, h, w.of):
+                        hit = (-q - a, -score, first)
+                        if (text, item) not in best or hit < best[text, item][0]:
+                            best[text, item] = hit, (ids[f + text], int(index.ids[item]), first, score, q, a)
+                    rows += [x[1] for x in best.values()]
             if rows:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in HITS.split(", ")])
@@ -238,31 +249,43 @@ def _holder(shared):
         out = np.zeros(len(texts), bool)
         for f, _, data, offsets in K.slices(K.lowered(texts)):
             w = K.bare(data, offsets)
-            for hit in passages_of(shared.value, w.hashes(False), w.of):
-                out[f + hit[0]] = True
+            h = w.hashes(False)
+            for index in shared.value:
+                for hit in passages_of(index, h, w.of):
+                    out[f + hit[0]] = True
         return pa.array(out)
 
     return holds
 
 
-def indexes(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[ItemIndex]:
-    """One index per block of items; words per item and items per word are those of the whole benchmark."""
-    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, ceil(chars / BLOCK_CHARS))
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct words of each item."""
+    for batch in batches:
+        n, terms = [], []
+        for _, _, data, offsets in K.slices(K.lowered(batch.column("text"))):
+            w = K.bare(data, offsets)
+            h = w.hashes(False).view(np.int64)
+            n.append(w.counts)
+            terms += [np.unique(h[a:b]) for a, b in zip(w.of[:-1], w.of[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("text"), pa.array(np.concatenate(n) if n else [], pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["item", "text", "n", "terms"])
 
-    def block(k: int) -> list[tuple[int, str]]:  # the driver holds one block's texts at a time
-        return [(r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()]
 
-    df, n_items, n_words = Counter(), 0, 0
+def indexes(items: DataFrame, item_col: str = "item_id", item_text: str = "text") -> Iterator[list[ItemIndex]]:
+    """Per block of items, one index for each stride. The driver holds one block's texts and the counts of its words at a time."""
+    items = items.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).cast("string").alias("text")).dropna()
+    items = written(items.mapInArrow(_terms, "item long, text string, n long, terms array<long>").where("n > 0"), "benchmark-items")
+    n_items, mean, chars = items.agg(F.count("*"), F.avg("n"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    frequency = written(items.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")), "benchmark-words")
+    blocks = ceil(chars / BLOCK_CHARS)
     for k in range(blocks):
-        for h in (_hashes(t) for _, t in block(k)):
-            df.update(set(h.tolist()))
-            n_items, n_words = n_items + bool(len(h)), n_words + len(h)
-    for k in range(blocks if n_items else 0):
-        index = ItemIndex(block(k), df, n_items, n_words / n_items)
-        if len(index.ids):
-            yield index
+        block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        words = frequency.join(block.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi") if blocks > 1 else frequency
+        df = {r.term & _UNSIGNED: r.df for r in words.collect()}
+        by_stride: dict[int, list] = {}
+        for r in sorted(block.select("item", "text", "n").collect()):
+            by_stride.setdefault(stride_of(r.n), []).append((r.item, _hashes(r.text), r.text))
+        if by_stride:
+            yield [ItemIndex(s, kept, df, n_items, mean) for s, kept in sorted(by_stride.items())]
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -270,20 +293,27 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    out = None
+    out = spark.createDataFrame([], HITS)
     for index in indexes(items, item_col, item_text):
-        hits = docs.mapInArrow(_finder(spark.sparkContext.broadcast(index)), HITS)
-        out = hits if out is None else out.unionByName(hits)
-    return out if out is not None else spark.createDataFrame([], HITS)
+        shared = spark.sparkContext.broadcast(index)
+        out = out.unionByName(written(docs.mapInArrow(_finder(shared), HITS), "benchmark-hits"))
+        shared.destroy()
+    return out
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, whole; nothing moves."""
-    small_batches(docs.sparkSession)
+    """The rows of docs that hold no item, whole; nothing moves. A benchmark of several blocks is one pass, and one written table, per block."""
+    spark, columns = docs.sparkSession, docs.columns
+    small_batches(spark)
+    rows, names = numbered(docs)
+    text, before = F.col(names[columns.index(text_col)]).cast("string"), None
     for index in indexes(items, item_col, item_text):
-        holds = F.arrow_udf(_holder(docs.sparkSession.sparkContext.broadcast(index)), "boolean")
-        docs = docs.where(~holds(F.col(text_col).cast("string")))
-    return docs
+        if before is not None:
+            rows = written(rows, "benchmark-clean")
+            before.destroy()
+        before = spark.sparkContext.broadcast(index)
+        rows = rows.where(~F.arrow_udf(_holder(before), "boolean")(text))
+    return rows.toDF(*columns)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -57,9 +58,19 @@ def test_host_verdicts_shrink(spark):
 # 2 -------------------------------------------------------------------------------------------------------------------
 
 
+def bare_words(text):
+    """Words in lower case without the punctuation and symbols at their ends; words of nothing else stay whole."""
+
+    def inner(w):
+        at = [k for k, c in enumerate(w) if unicodedata.category(c)[0] in "LNM"]
+        return w[at[0] : at[-1] + 1] if at else w
+
+    return [inner(w) for w in WORD.findall((text or "").lower().replace("ß", "ss").replace("ς", "σ"))]
+
+
 def brute_hits(docs, items):
     """(doc, item) by scoring every item against every passage."""
-    words = {i: WORD.findall(lower(t)) for i, t in items if t and WORD.search(t)}
+    words = {i: bare_words(t) for i, t in items if bare_words(t)}
     df = Counter(w for ws in words.values() for w in set(ws))
     n, mean = len(words), sum(map(len, words.values())) / len(words)
 
@@ -67,33 +78,42 @@ def brute_hits(docs, items):
         return {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * (decontaminate.K1 + 1) / (c + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * len(ws) / mean)) for w, c in Counter(ws).items()}
 
     scores = {i: impact(ws) for i, ws in words.items()}
-    sides = {i: [WORD.findall(lower(s)) for s in decontaminate.split_item(t)] for i, t in items if i in words}
-    stride = max(32, *(len(ws) for ws in words.values()))
+    own = {i: sum(s.values()) for i, s in scores.items()}
+    sides = {i: [bare_words(s) for s in decontaminate.split_item(t)] for i, t in items if i in words}
 
-    def share(side, passage):
-        size = min(decontaminate.GRAM, max(1, len(side)))
-        own = {tuple(side[k : k + size]) for k in range(len(side) - size + 1)}
+    def share(side, passage, size):
+        mine = {tuple(side[k : k + size]) for k in range(len(side) - size + 1)}
         seen = {tuple(passage[k : k + size]) for k in range(len(passage) - size + 1)}
-        return len(own & seen) / len(own) if own else 1.0
+        return len(mine & seen) / len(mine) if mine else 1.0
+
+    def holds(item, passage):
+        q, a = sides[item]
+        few = len(q) + len(a) < 8
+        shares = [share(s, passage, min(4, max(1, len(s) if few else (len(s) + 1) // 3))) for s in (q, a)]
+        return shares[0] >= 0.5 and (shares[1] >= 0.5 or len(a) == 1 and len(q) >= 8 and shares[0] >= 0.9)
 
     found = set()
     for d, text in docs:
-        ws = WORD.findall(lower(text))
-        for first in range(0, max(1, len(ws)), stride):
-            passage = ws[first : first + 2 * stride]
-            have = set(passage)
-            for i, s in scores.items():
-                if sum(x for w, x in s.items() if w in have) >= (decontaminate.THETA - 1e-9) * sum(s.values()) and share(sides[i][0], passage) >= 0.5 and share(sides[i][1], passage) >= 0.5:
+        ws = bare_words(text)
+        for i, s in scores.items():
+            stride = 32
+            while stride < len(words[i]):
+                stride *= 2
+            for first in range(0, max(1, len(ws)), stride):
+                passage = ws[first : first + 2 * stride]
+                have = set(passage)
+                if sum(x for w, x in s.items() if w in have) >= (decontaminate.THETA - 1e-9) * own[i] and holds(i, passage):
                     found.add((d, i))
+                    break
     return found
 
 
-def test_decontamination_equals_brute_force(spark):
-    rng = random.Random(5)
+def planted(rng, n_docs=120):
+    """Items of several lengths, and documents of which some hold an altered item."""
     vocabulary = [f"v{i}" for i in range(150)]
-    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([6, 15, 30]))) + ". " + " ".join(rng.choices(vocabulary, k=6))) for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([6, 15, 30, 90]))) + ". " + " ".join(rng.choices(vocabulary, k=rng.choice([1, 4, 6, 9])))) for i in range(40)]
     docs = []
-    for d in range(120):
+    for d in range(n_docs):
         text = " ".join(rng.choices(vocabulary, k=rng.choice([5, 80, 300])))
         if d % 3 == 0:
             item = rng.choice(items)[1].split()
@@ -101,6 +121,11 @@ def test_decontamination_equals_brute_force(spark):
                 item[rng.randrange(len(item))] = "zz"
             text = f"{text[: len(text) // 2]} {' '.join(item)} {text[len(text) // 2 :]}"
         docs.append((d, text))
+    return docs, items
+
+
+def test_decontamination_equals_brute_force(spark):
+    docs, items = planted(random.Random(5))
     want = brute_hits(docs, items)
     got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and len(want) > 10
@@ -108,6 +133,31 @@ def test_decontamination_equals_brute_force(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
+    docs, items = planted(random.Random(6))
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted(tuple(r) for r in decontaminate.contaminated(*frames).collect())
+    whole, clean = rows(), {r.doc_id for r in decontaminate.decontaminated(*frames).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 4000)
+    assert rows() == whole and {r.doc_id for r in decontaminate.decontaminated(*frames).collect()} == clean
+
+
+def test_other_items_leave_passages_as_they_are(spark):
+    question, answer = " ".join(f"q{k}" for k in range(20)) + ".", " ".join(f"a{k}" for k in range(6))
+    apart = f"{question} {' '.join(f'x{k}' for k in range(600))} {answer}"
+    docs = spark.createDataFrame([(1, apart), (2, f"{question} {answer}")], "doc_id long, text string")
+    long = (2, " ".join(f"z{k}" for k in range(800)))
+    for items in ([(1, f"{question} {answer}")], [(1, f"{question} {answer}"), long]):
+        assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()] == [(2, 1)]
+
+
+def test_one_changed_word_never_voids_a_side(spark):
+    for n in range(2, 40):
+        size = decontaminate.run_lengths(20, n)[1]
+        runs = n - size + 1
+        assert 2 * (runs - min(size, runs)) >= runs or n < 2
+
+
 def test_decontamination_finds_altered_passages(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdeéèñöß", k=8))
