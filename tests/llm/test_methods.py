@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pyarrow as pa
 import pytest
@@ -257,23 +259,73 @@ def test_substring_dedup_equals_brute_force(spark):
 # 5 -------------------------------------------------------------------------------------------------------------------
 
 
-def test_mixing_stays_within_a_block(spark):
-    docs = [(i, s) for i, s in enumerate(["a"] * 700 + ["b"] * 150 + ["c"] * 60 + ["d"] * 3)]
-    weights = {"a": 4.0, "b": 2.0, "c": 1.0, "d": 1.0}
-    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string"), weights, block_docs=10, parts=8).collect()
+def edf(sources):
+    """(source, block) per slot of (source, blocks, parts): the definition with exact fractions, slot by slot."""
+    times = {s: [Fraction(0)] for s, _, _ in sources}  # slot times at which the fluid mix finishes each block
+    for s, blocks, parts in sources:
+        for j in range(1, blocks + 1):
+            v = Fraction(j, parts)
+            times[s].append(sum(min(v * p, Fraction(b)) for _, b, p in sources))
+    jobs = [(math.ceil(t[j + 1]), s, math.floor(t[j]), j) for s, t in times.items() for j in range(len(t) - 1)]
+    out, open_ = [], []
+    jobs.sort(key=lambda x: x[2])
+    at = 0
+    for slot in range(len(jobs)):
+        while at < len(jobs) and jobs[at][2] <= slot:
+            heapq.heappush(open_, jobs[at])
+            at += 1
+        deadline, s, _, j = heapq.heappop(open_)
+        assert slot < deadline
+        out.append((s, j))
+    return out, times
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_schedule_equals_edf(spark, seed):
+    rng = random.Random(seed)
+    n = [1, 2, 5, 12, 30, 80][seed]
+    sources = [(f"s{k:02}", rng.choice([1, 2, 7, 40]), rng.choice([1, 3, rng.randrange(1, 50), rng.randrange(1, 10**6)])) for k in range(n)]
+    want, times = edf(sources)
+    got = {r.slot: (r.source, r.block) for r in mixing.schedule(spark.createDataFrame(sources, "source string, blocks long, parts long"), stretch=16).collect()}
+    assert [got[k] for k in range(len(want))] == want and len(got) == len(want)
+    had = Counter()
+    for k in range(len(want)):  # less than a block from the fluid mix after every slot
+        had[got[k][0]] += 1
+        for s, t in times.items():
+            assert had[s] + 1 >= len(t) or t[had[s] + 1] > k
+            assert had[s] == 0 or t[had[s] - 1] < k + 1
+
+
+def test_mixing_meets_the_weights_as_given(spark):
+    docs = [(i, s) for i, s in enumerate(["a"] * 3000 + ["b"] * 60 + ["c"] * 9 + ["none"] * 20 + [None] * 7)]
+    weights = {"a": 0.99, "b": 0.0095, "c": 0.0005, "none": 0.0}
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string"), weights, block_docs=3).collect()
     assert sorted(r.id for r in rows) == list(range(len(docs)))
-    slots = dict(sorted({(r.slot, r.source) for r in rows}))
-    assert list(slots) == list(range(len(slots)))  # one block per slot, none left free
+    assert len({r.position for r in rows}) == len(docs)
+    slots = {r.slot: r.source for r in rows}
+    assert sorted(slots) == list(range(len(slots)))
     have, total = Counter(), sum(weights.values())
-    last = {s: max(k for k, x in slots.items() if x == s) for s in weights}
-    for k, s in slots.items():
-        have[s] += 1
-        if k < min(last.values()):  # as long as every source has blocks left
-            assert all(abs(have[x] - (k + 1) * weights[x] / total) < 1 for x in weights)
-    again = mixing.mix(spark.createDataFrame(docs[::-1], "doc_id long, source string").repartition(3), weights, block_docs=10, parts=8).collect()
+    for k in range(1000):  # no source has run out by then
+        have[slots[k]] += 1
+        assert all(abs(have[s] - (k + 1) * w / total) < 1 for s, w in weights.items())
+    after = {slots[k] for k in range(len(slots) - 10, len(slots))}
+    assert after == {"none", None} and sum(s in after for s in slots.values()) == 10  # weight 0 and unnamed sources come last
+    again = mixing.mix(spark.createDataFrame(docs[::-1], "doc_id long, source string").repartition(3), weights, block_docs=3).collect()
     assert {r.id: r.position for r in again} == {r.id: r.position for r in rows}
 
 
+def test_mixing_by_size(spark):
+    docs = [(i, "hot") for i in range(20_000)] + [(20_000 + i, f"s{i % 300}") for i in range(6000)]
+    rows = mixing.mix(spark.createDataFrame(docs, "doc_id long, source string"), block_docs=4).collect()
+    slots = {r.slot: r.source for r in rows}
+    assert len(slots) == 5000 + 300 * 5 and len({r.position for r in rows}) == len(docs)
+    share = math.sqrt(20_000) / (math.sqrt(20_000) + 300 * math.sqrt(20))
+    have = 0
+    for k in range(1600):
+        have += slots[k] == "hot"
+        assert abs(have - (k + 1) * share) < 1
+
+
 # 6 -------------------------------------------------------------------------------------------------------------------
 
 
