@@ -3,7 +3,7 @@
 Turns of a conversation are brought together in order (one shuffle, sorted within partitions) and streamed: the
 machine's state and the digests are all that is held per conversation, so a conversation of any length takes
 constant memory. Each turn becomes three segments (head, escaped text, tail); control strings inside texts and roles
-are escaped so that the output can be read back exactly.
+are escaped so that the output can be read back exactly. A conversation is worked in one task, as its order demands.
 
 Order of turns: by turn (null first), then role, then text. A turn that the machine has no transition for is
 formatted all the same and marked invalid, and the machine goes on from that turn's role if it knows it.
@@ -151,8 +151,10 @@ def _reader(template: Template):
 
 
 def read_back(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
-    """Digests per conversation from what format_chat returns, in its order of rows: only the segments are read."""
-    return formatted.select("conv_id", "segments", "valid").mapInArrow(_reader(template), DIGESTS)
+    """Digests per conversation from what format_chat returns, by ordinal, in whatever order and files its rows lie: only the segments are read."""
+    small_batches(formatted.sparkSession)
+    rows = formatted.select("conv_id", "ordinal", "segments", "valid").repartition("conv_id").sortWithinPartitions("conv_id", "ordinal")
+    return rows.mapInArrow(_reader(template), DIGESTS)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
