@@ -11,7 +11,7 @@ candidate that verification then turns down. Spans are code points, end exclusiv
 and do not overlap; rules are independent of one another.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and null ids each give their own row; an
-empty table gives an empty result; other columns are not looked at.
+empty table gives an empty result; other columns are not looked at, whatever their names are.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import numbered, table, written
 
 
 @dataclass(frozen=True)
@@ -124,20 +124,15 @@ def _part(op, arg) -> tuple[set[str] | None, set[frozenset[str]]]:
     return ({""}, anything) if op is sre.AT else (None, anything)
 
 
-def keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("_text", text).withColumn("_key", F.xxhash64(text))
-
-
 def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index: (trigram, key) for the given lower-case trigrams. docs: (_key, _text)."""
-    low = docs.select("_key", F.lower("_text").alias("low"))
+    """The inverted index: (trigram, key) for the given lower-case trigrams. docs: (key, body)."""
+    low = docs.select("key", F.lower("body").alias("low"))
     present = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams)))
-    return low.select(F.explode(present).alias("trigram"), "_key")
+    return low.select(F.explode(present).alias("trigram"), "key")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
-    """(_key, the kinds whose trigram query holds); None if no rule has mandatory trigrams."""
+    """(key, the kinds whose trigram query holds) of docs (key, body); None if no rule has mandatory trigrams."""
     spark = docs.sparkSession
     terms = [(r.kind, k, t, len(q)) for r in rules for k, q in enumerate(trigram_query(r.regex) or []) for t in sorted(q)]
     if not terms:
@@ -146,16 +141,16 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     names = ("kind", "part", "trigram", "need")
     asked = spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, t, strict=True))) for t in terms))))
     hit = index.join(F.broadcast(asked), "trigram")  # as large as the rules
-    whole = hit.groupBy("_key", "kind", "part", "need").agg(F.count_distinct("trigram").alias("n")).where("n = need")
-    return whole.groupBy("_key").agg(F.collect_set("kind").alias("_kinds"))
+    whole = hit.groupBy("key", "kind", "part", "need").agg(F.count_distinct("trigram").alias("n")).where("n = need")
+    return whole.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(rule: Rule, rank: int) -> Column:
-    """(start, rank, end) of the rule's matches in _text, in order."""
+    """(start, rank, end) of the rule's matches in body, in order."""
     regex = F.lit(rule.regex)
-    match = F.regexp_extract_all("_text", regex, F.lit(0))
-    held = F.regexp_extract_all("_text", regex, F.lit(rule.group)) if rule.group else match
-    parts = F.arrays_zip(F.split("_text", rule.regex, -1).alias("gap"), match.alias("all"), held.alias("held"))
+    match = F.regexp_extract_all("body", regex, F.lit(0))
+    held = F.regexp_extract_all("body", regex, F.lit(rule.group)) if rule.group else match
+    parts = F.arrays_zip(F.split("body", rule.regex, -1).alias("gap"), match.alias("all"), held.alias("held"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
 
     def step(state: Column, x: Column) -> Column:
@@ -168,15 +163,22 @@ def _spans(rule: Rule, rank: int) -> Column:
     return F.when(F.size(match) > 0, found).otherwise(none)
 
 
-def secret_spans(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with _spans: array of (start, rank of the rule, end), ordered by start, then rank."""
-    docs = keyed(docs, text_col)
-    picked = candidates(docs.select("_key", "_text"), rules)
+def _scanned(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """The columns of docs as in_0, in_1 and so on, with body (the text, null as empty) and spans."""
+    rows, names = numbered(docs)
+    rows = rows.withColumn("body", F.coalesce(F.col(names[docs.columns.index(text_col)]).cast("string"), F.lit(""))).withColumn("key", F.xxhash64("body"))
+    picked = candidates(rows.select("key", "body"), rules)
     if picked is not None:
-        docs = docs.join(written(picked, "secret-candidates"), "_key", "left")
+        rows = rows.join(written(picked, "secret-candidates"), "key", "left")
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    each = [_spans(r, k) if trigram_query(r.regex) is None else F.when(F.array_contains("_kinds", r.kind), _spans(r, k)).otherwise(none) for k, r in enumerate(rules)]
-    return docs.withColumn("_spans", F.array_sort(F.concat(*each))).drop("_key", "_kinds")
+    each = [_spans(r, k) if trigram_query(r.regex) is None else F.when(F.array_contains("kinds", r.kind), _spans(r, k)).otherwise(none) for k, r in enumerate(rules)]
+    return rows.select(*names, "body", F.array_sort(F.concat(*each)).alias("spans"))
+
+
+def secret_spans(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, spans_col: str = "spans") -> DataFrame:
+    """docs with spans_col, which takes the place of a column of that name: array of (start, rank of the rule, end), ordered by start, then rank."""
+    rows = _scanned(docs, text_col, rules)
+    return rows.select(*(F.col(f"in_{k}").alias(c) for k, c in enumerate(docs.columns) if c != spans_col), F.col("spans").alias(spans_col))
 
 
 def _said(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -186,16 +188,14 @@ def _said(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span replaced by mark; texts without spans, null ones too, stay as they are."""
-    columns = docs.columns
-    found = secret_spans(docs, text_col, rules)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rows, zero = _scanned(docs, text_col, rules), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("_text"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+        gap = F.substring(F.col("body"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mark))).otherwise("")).alias("out"))
 
-    clean = F.aggregate("_spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))))
-    return found.withColumn(text_col, F.when(F.size("_spans") > 0, clean).otherwise(F.col(text_col))).select(columns)
+    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("body"), s["at"] + 1, F.length("body"))))
+    return rows.select(*((F.when(F.size("spans") > 0, clean).otherwise(F.col(f"in_{k}")) if c == text_col else F.col(f"in_{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
@@ -204,7 +204,7 @@ def op8(spark, sf_dir: str) -> DataFrame:
     last = max(k for k, r in enumerate(RULES) if r.base)
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_spans", lambda s: s["rank"] == ranks[kind])).cast("long").alias(f"n_{kind}")
+        return F.size(F.filter("spans", lambda s: s["rank"] == ranks[kind])).cast("long").alias(f"n_{kind}")
 
-    base = F.filter("_spans", lambda s: s["rank"] <= last)
-    return docs.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_said(base, RULES), 256).alias("base_sha256"), _said(F.col("_spans"), RULES).alias("spans"))
+    base = F.filter("spans", lambda s: s["rank"] <= last)
+    return docs.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_said(base, RULES), 256).alias("base_sha256"), _said(F.col("spans"), RULES).alias("spans"))

@@ -146,7 +146,7 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
 
 
 def url_filter(urls: DataFrame, labelled: DataFrame, url_col: str = "url", label_col: str = "label", rules: tuple[Rule, ...] = RULES, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """urls with host, path, rule and verdict (allow or block): the rule's if one fits, else the trees'."""
+    """urls with host, path, rule and verdict (allow or block): the rule's if one fits, else the trees'. Columns of urls with one of these names are replaced."""
     columns = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     model = train(labelled, url_col, label_col, max_labelled)
     rows = parts(urls.select([F.col(c).alias(f"in_{i}") for i, c in enumerate(columns)]), f"in_{columns.index(url_col)}")

@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 import re
+import time
 import unicodedata
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from shutterlake.llm import chat_format, decontaminate, html_extract, lm_score, mixing, near_dup, quality, secret_scan, substring_dedup, url_filter
 
@@ -211,8 +213,6 @@ def test_url_rules_and_trees(spark):
 
 
 def test_op3_learns_from_labels_of_urls(spark):
-    from pyspark.sql import functions as F
-
     sf = "/root/testdata/sf0.1"
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("url")
     spam = "cast(host rlike '(casino-win|cheap-pills|free-bets|spam-farm|adult-x|ads-track)' as int)"
@@ -344,6 +344,14 @@ def test_chat_machine(spark):
     assert {r.conv_id: (r.valid, r.loss_chars) for r in got} == {1: (True, 2), 2: (False, 1), 3: (False, 0)}
 
 
+def test_saved_turns_are_read_in_order(spark, tmp_path):
+    rows = [(c, k, ("user", "assistant")[k % 2], f"text {k}") for c in range(3) for k in range(40)]
+    formatted = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = {tuple(r) for r in chat_format.read_back(formatted).collect()}
+    formatted.repartition(7).write.parquet(str(tmp_path / "chat"))
+    assert {tuple(r) for r in chat_format.read_back(spark.read.parquet(str(tmp_path / "chat"))).collect()} == want and len(want) == 3
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 LONG = "Some sentence of an article that goes on for a while, with commas, and ends at last. " * 3
@@ -362,14 +370,51 @@ def test_html_layouts(layout):
     assert text == f"Title here\n\n{LONG.strip()}\n\nCafé & bold words of the second paragraph, which is shorter."
 
 
+#: Pages of other kinds than the module's labelled ones: what is in [[ ]] is the text to find.
+PAGES = [
+    "[[Hello, a page of plain text]]",
+    "<p>[[Hello there]]</p>",
+    "<p title=it's>[[Hello world, with a lone quote in a tag]]</p><p>[[{a}]]</p>",
+    '<article><p class="x>[[Hello world, with a quote that stays open]]</p><p>[[{a}]]</p></article>',
+    "<article><p>[[Before]] <svg><text>no</text></svg> [[mid]] <button>no</button> <label>[[lab]]</label> <x-y z>[[own]]</x-y> [[after]]</p></article>",
+    '<article><p>[[One]] <script>var a="</b>"</script>[[two]] <style>p</style>[[three.]]</p><p>[[{a}]]</p></article>',
+    "<article><h1>[[A title]]</h1><p>[[{a}]]</p><aside>Advert aside buy buy</aside><p>[[{b}]]</p></article>",
+    '<main id="story"><h1>[[A title]]</h1><p>[[{a}]]</p><div class="ad-slot">Buy <b>this</b></div><nav><a href="/">x</a></nav><p>[[{b}]]</p><footer>All rights</footer></main>',
+    '<body><div id=top><ul><li><a href=a>Home</a></li><li><a href=b>Two</a></li></ul></div><div id=mid><div class=c1><h1>[[Big title]]</h1><p>[[{a}]]</p><p>[[So.]]</p></div></div><div class=copyright>(c) 2020</div></body>',
+    '<div id=page class="page with-sidebar"><div class="navbar"><a href=x>y</a></div><div class="content"><h2>[[Title]]</h2><p>[[{a}]]</p></div><div class=sidebar><p>Side text here</p></div></div>',
+    "<body><nav><a href=x>n</a></nav><h1>[[Title]]</h1><p>[[{a}]]</p><p>[[A short one]]</p><footer>By us</footer></body>",
+    "<head><title>no</title><p>[[{a}]]",
+    "<article><header><h1>[[Title]]</h1></header><p>[[{a}]]</p></article><header><p>Site header</p></header>",
+    "<article><p>[[a < b and c > d & e]]<!-- no --> [[f]]<!--> [[g]]</p><ul><li>[[One item]]<li>[[Two items]]</ul><p>[[{a}]]</p><p class=",
+    '<article><p>[[{a}]] <span class="advert">Buy now</span>[[more words]]</p></article>',
+    '<article><h2>[[Title]]</h2><p>[[{a}]]</p></article><section class="commentlist"><h3>Replies</h3><p>{b}</p></section><div class="cookies"><p>{b}</p></div>',
+]
+
+
+@pytest.mark.parametrize("page", PAGES)
+def test_html_pages(page):
+    page = page.format(a=LONG.strip(), b="Another paragraph that says a little more about it.")
+    blocks = [re.findall(r"\[\[(.*?)\]\]", x, re.S) for x in re.split(r"</?(?:p|li|ul|h1|h2|aside|div|article)\b", page)]
+    want = "\n\n".join(" ".join(found) for found in blocks if found)
+    assert html_extract.default_model().text(page.replace("[[", "").replace("]]", "")) == want
+
+
+@pytest.mark.parametrize("part", ['<a x="', "<div>", "</p>", '<p class="x>', "<li><ul>", "<!--", "<script>", "<b x='\"", "<td>", "<span class=ad>", "<dd><div>", "&amp;<", "<svg>", "<a <"])
+def test_html_takes_linear_time(part):
+    start = time.process_time()
+    html_extract.default_model().text(part * (1_000_000 // len(part)))
+    html_extract.default_model().text("<div>" * 20_000 + part * 20_000)
+    assert time.process_time() - start < 10  # seconds; what is quadratic takes minutes
+
+
 def test_marginals_equal_enumeration():
     model, page = html_extract.default_model(), html_extract.Page(LAYOUTS[0].format(a=LONG, b="b", x="x"))
     n = len(page.tag)
-    own = [[math.prod(model.emit.get(f, (1, 1))[s] for f in page.features(k)) for s in (0, 1)] for k in range(n)]
+    own = [[math.prod(model.emit.get(f, (1, 1))[s] for f in (page.features(k)[:2], *page.features(k)[2:])) for s in (0, 1)] for k in range(n)]
     total, on = 0.0, [0.0] * n
     for bits in range(1 << n):
         s = [bits >> k & 1 for k in range(n)]
-        p = model.prior[s[0]] * math.prod(own[k][s[k]] for k in range(n)) * math.prod(model.pair[s[page.parent[k]]][s[k]] for k in range(1, n))
+        p = model.prior[s[0]] * math.prod(own[k][s[k]] for k in range(n)) * math.prod(model.pair[page.is_box(k)][s[page.parent[k]]][s[k]] for k in range(1, n))
         total += p
         for k in range(n):
             on[k] += p * s[k]
@@ -393,10 +438,28 @@ def test_trigram_queries_are_necessary():
 
 def test_redaction(spark):
     docs = table(spark, ["key 😀 password: hunter22 and token=abcdef12 end", None, "clean", "deadbeef" * 4])
-    got = [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()]
-    assert got == ["key 😀 [SECRET] and [SECRET] end", None, "clean", "[SECRET]"]
+    want = ["key 😀 [SECRET] and [SECRET] end", None, "clean", "[SECRET]"]
+    assert [r.text for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == want
+
+
+CLASHING = ("_key", "_kinds", "_text", "_spans", "_row", "_kept", "_bad_host", "host", "path", "rule", "verdict", "id", "doc_id", "component_id", "copies", "turn", "in_0", "in_1", "key", "spans", "kinds")
 
 
+def test_names_of_other_columns_do_not_clash(spark):
+    extra = [c for c in CLASHING if c != "doc_id"]
+    long = " ".join(f"w{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, f"{long} password: hunter22", "s", *extra), (2, f"{long} password: hunter22", "s", *extra)], ", ".join(["doc_id long, text string, source string", *(f"`{c}` string" for c in extra)]))
+    items = spark.createDataFrame([(1, "nothing of the kind. at all")], "item_id long, text string")
+    for out, n in ((quality.filtered(docs), 2), (near_dup.deduplicated(docs), 1), (secret_scan.redact(docs), 2), (secret_scan.secret_spans(docs), 2), (decontaminate.decontaminated(docs, items), 2)):
+        rows = out.collect()
+        assert len(rows) == n and all(r[c] == c for r in rows for c in extra if r[c] is None or isinstance(r[c], str)) and set(docs.columns) <= set(out.columns)
+    urls = docs.withColumn("url", F.lit("http://a.net/es/x"))
+    kept = url_filter.url_filter(urls, url_filter.marked(urls)).collect()
+    assert [(r.host, r.rule, r["_key"]) for r in kept] == [("a.net", "net/es/", "_key")] * 2
+
+
+# 9 -----
+
 # 9 -------------------------------------------------------------------------------------------------------------------
 
 
@@ -431,6 +494,45 @@ def test_near_duplicates_equal_brute_force(spark, seed):
     assert len({c for c, _ in want}) < len(texts) - 5
 
 
+def test_a_long_chain_is_one_component(spark):
+    words = [f"c{i}" for i in range(400)]
+    ids = random.Random(3).sample(range(10**6), 340)
+    rows = [(i, " ".join(words[k : k + 60])) for k, i in enumerate(ids)]  # each is the one before, moved by a word
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 340 and {r.component_id for r in got} == {min(ids)}
+
+
+def thue_morse(a, b, n):
+    """Two sequences of a and b that agree under every polynomial hash modulo 2^64."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return [(a, b)[x] for x in bits], [(b, a)[x] for x in bits]
+
+
+def test_hashes_have_no_structure(spark):
+    x, y = ("".join(s) for s in thue_morse("a", "b", 4096))
+    docs = spark.createDataFrame([(1, f"{x}\n{y}", "s"), (2, f"{x}\n{x}", "s")], "doc_id long, text string, source string")
+    assert {r.id: r.n_dup_lines for r in quality.measures(docs).collect()} == {1: 0, 2: 1}
+    x, y = (" ".join(s) for s in thue_morse("aa", "bb", 4096))
+    rows = spark.createDataFrame([(1, x), (2, y)], "doc_id long, text string")
+    sets = [{tuple(w[i : i + 5]) for i in range(4092)} for w in (x.split(), y.split())]
+    assert {r.doc_id: r.n_shingles for r in near_dup.near_duplicates(rows).collect()} == {1: len(sets[0]), 2: len(sets[1])}
+    a, b = ("".join(s) for s in thue_morse("a", "b", 2048))
+    rest = " ".join(f"w{k}" for k in range(60))
+    got = substring_dedup.substring_dedup(spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}")], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 60}
+
+
+def test_very_long_texts(spark):
+    word = "x" * 3_000_000
+    long = " ".join(f"n{k % 5000}" for k in range(600_000))
+    docs = spark.createDataFrame([(1, word), (2, long), (3, long + " end"), (4, "short text")], "doc_id long, text string").withColumn("source", F.lit("s"))
+    got = {r.id: (r.n_words, r.word_chars) for r in quality.measures(docs).collect()}
+    assert got[1] == (1, 3_000_000) and got[2][0] == 600_000
+    near = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dup.near_duplicates(docs).collect()}
+    assert near == {1: (1, 1), 2: (2, 5000), 3: (2, 5001), 4: (4, 1)}
+    assert {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(docs).collect()} == {1: 0, 2: 0, 3: 600_000, 4: 0}
+
+
 def test_deduplicated_keeps_one_of_each(spark):
     texts = variants(3, 6)
     keep = {c for c, _ in brute_components(texts)}
@@ -498,8 +600,6 @@ def test_scores_equal_the_definition(spark):
 
 
 def test_without_training_texts_every_bit_is_even(spark):
-    from pyspark.sql import functions as F
-
     got = lm_score.score_texts(table(spark, ["ab"]), test=F.lit(True)).first()
     assert got.score == pytest.approx(-3 * 8 * math.log10(2)) and got.train_tokens == 0
 
