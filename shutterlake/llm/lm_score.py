@@ -40,6 +40,8 @@ from .common import small_batches, table, written
 
 #: Bytes of context (3 to 7), and bytes of text in a chunk.
 DEPTH, CHUNK = 5, 32 << 20
+#: Bytes of text per task of the shuffles: their number of tasks follows the input, not the session's setting.
+TASK_BYTES = 16 << 20
 #: Trees are worked in tasks down from this depth.
 TOP = 3
 GRAM, WORD = 1, 2
@@ -456,10 +458,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = docs.select(F.col(id_col).cast("long").alias("id"), (~F.coalesce(test, F.lit(False))).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(18, max(5, (size >> 22).bit_length()))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
     gathered = written(docs.mapInArrow(_gather(depth, bits, chunk_bytes), _GATHERED), "lm-gathered")
     asked = gathered.where("kind IS NOT NULL").select("chunk", "kind", "bucket", "keys", "counts")
-    sums = asked.select("kind", "bucket", "keys", "counts").repartition("kind", "bucket").sortWithinPartitions("kind", "bucket")
+    sums = asked.select("kind", "bucket", "keys", "counts").repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket")
     totals = written(sums.mapInArrow(_sum_up, _ANSWERS), "lm-totals")
     vocabulary, n_tokens = totals.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
 
@@ -467,25 +470,25 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     flat = totals.where(F.col("kind") == GRAM).select(F.explode(F.arrays_zip("keys", "values")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.values").cast("long").alias("n"))
     part = F.pmod(F.xxhash64(F.shiftright("key", 8 * (depth - TOP + 1))), F.lit(1 << bits)).cast("int")
     flat = flat.withColumn("part", part)
-    ups = written(flat.repartition("part").sortWithinPartitions("part").mapInArrow(_work_up(depth), "part int, node long, a double, b double, below double"), "lm-ups")
+    ups = written(flat.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(_work_up(depth), "part int, node long, a double, b double, below double"), "lm-ups")
     pairs = ups.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("a", "b", "below"))).mapInArrow(_weighed, "node long, a double, b double, p double, w double, k double")
     pairs = written(pairs, "lm-pairs")
     one = F.shiftleft(F.shiftright("node", 16), 8).bitwiseOR(F.col("node").bitwiseAND(F.lit(255)))
     crown = _crown(pairs.groupBy(one.alias("node")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("p").alias("below")).collect())  # 65,280 rows at most
     above = ups.select("part", "node").join(pairs.select("node", "w", "k"), "node").select("part", F.col("node").alias("key"), F.lit(None).cast("long").alias("n"), "w", "k")
     rows = flat.select("part", "key", "n", F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("k")).unionByName(above)
-    rows = rows.repartition("part").sortWithinPartitions("part")
+    rows = rows.repartition(tasks, "part").sortWithinPartitions("part")
     answers = rows.mapInArrow(_work_down(depth, bits, spark.sparkContext.broadcast(crown)), _ANSWERS).unionByName(totals.where(F.col("kind") == WORD))
 
     answers = answers.select(F.lit(None).cast("long").alias("chunk"), "kind", "bucket", "keys", "values")
     both = answers.unionByName(asked.select("chunk", "kind", "bucket", "keys", F.lit(None).cast("array<double>").alias("values")))
-    both = both.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("chunk").asc_nulls_first())
+    both = both.repartition(tasks, "kind", "bucket").sortWithinPartitions("kind", "bucket", F.col("chunk").asc_nulls_first())
     answered = both.mapInArrow(_answer, "chunk long, kind int, keys array<long>, values array<double>")
 
     texts = gathered.where("kind IS NULL").select("chunk", "kind", F.lit(None).cast("array<long>").alias("keys"), F.lit(None).cast("array<double>").alias("values"), "ids", "train", "ends", "block")
     blank = {"ids": "array<long>", "train": "array<boolean>", "ends": "array<long>", "block": "binary"}
     answered = answered.select("*", *(F.lit(None).cast(t).alias(c) for c, t in blank.items()))
-    last = answered.unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", F.col("kind").asc_nulls_last())
+    last = answered.unionByName(texts).repartition(tasks, "chunk").sortWithinPartitions("chunk", F.col("kind").asc_nulls_last())
     return last.mapInArrow(_score(depth, n_tokens, vocabulary), _SCORES).withColumn("train_tokens", F.lit(n_tokens).cast("long"))
 
 

@@ -11,6 +11,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -224,6 +225,49 @@ def test_op3_learns_from_labels_of_urls(spark):
     free = url_filter.op3(spark, sf).where("rule IS NULL").select("verdict", F.expr(spam).alias("spam")).collect()
     assert all((r.verdict == "block") == bool(r.spam) for r in free) and any(r.spam for r in free)
 
+def brute_features(url):
+    """The lexical features of a url that need no labels."""
+    rest = url[url.index("://") + 3 :] if "://" in url else ""
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    labels, n = lower(host).split("."), len(url)
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(url).values())
+    return {
+        "length": n, "host_length": len(host), "path_length": len(path), "depth": path.count("/"), "digit_ratio": sum(c in "0123456789" for c in url) / max(n, 1), "entropy": entropy, "parameters": len(re.findall("[?&][^=&#]+=", url)),
+        "hyphens": host.count("-"), "labels": len(labels), "longest_label": max(map(len, labels)), "has_port": bool(re.search(":[0-9]+$", host)), "percent_escapes": url.count("%"), "_suffix": ".".join(labels[-3:]), "_top": labels[-1],
+    }
+
+
+def test_url_features_equal_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("url").union(spark.createDataFrame([("http://A.b:80/x-%20?a=1&b=2#c",), ("none",), ("",)], "url string"))
+    rows = url_filter.features(url_filter.parts(pages, "url"), "url").collect()
+    for r in rows:
+        want = brute_features(r.url)
+        assert {k: v if isinstance(v, str) else pytest.approx(float(v)) for k, v in want.items()} == {k: r[k] for k in want}
+    assert len(rows) == 253
+
+
+RULES_SQL = r"""WITH rules (action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h0 FROM r),
+v AS (SELECT page_id, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h0) + 1), '^[^?#]*') AS path FROM u)
+SELECT page_id, host, path, (SELECT h || p FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1) AS rule,
+  coalesce((SELECT action FROM rules WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) ORDER BY length(h || p) DESC LIMIT 1),
+    CASE WHEN list_has_any(regexp_split_to_array(host, '[.:-]'), ['ads', 'adult', 'bets', 'casino', 'pills', 'porn', 'spam', 'win']) THEN 'block' ELSE 'allow' END) AS verdict FROM v"""
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_op3_equals_sql_on_all_pages(spark, sf):
+    """Where no rule fits, SQL has the mark that the trees learn from: they are to find it in every page's url."""
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('/root/testdata/{sf}/pages.parquet')")
+    want = {tuple(r) for r in con.sql(RULES_SQL).fetchall()}
+    got = {tuple(r) for r in url_filter.op3(spark, f"/root/testdata/{sf}").select("page_id", "host", "path", "rule", "verdict").collect()}
+    assert {r[:4] for r in got} == {r[:4] for r in want}
+    assert {r for r in got if r[3]} == {r for r in want if r[3]}
+    assert len(got & want) >= 0.99 * len(want)
+
+
 def test_url_statistics_cover_all_labels(spark):
     labelled = spark.createDataFrame([(f"http://a{k}.x{k % 5}.org/{k}", int(k % 5 == 0)) for k in range(100)], "url string, label int")
     model = url_filter.train(labelled, max_labelled=10)
@@ -584,13 +628,14 @@ def brute_ctw(train, texts, depth):
     return [sum(with_bit(c, n, b) - weighted((), n) for c, n, b in bits(t)) / math.log(10) for t in texts]
 
 
-def test_scores_equal_the_definition(spark):
+@pytest.mark.parametrize("depth", [3, 5])
+def test_scores_equal_the_definition(spark, depth):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["The", "cat", "sat", "über", "mat", "x1"], k=rng.choice([0, 3, 30]))) for _ in range(40)]
-    rows = lm_score.score_texts(table(spark, texts), depth=3, chunk_bytes=500).collect()
+    rows = lm_score.score_texts(table(spark, texts), depth=depth, chunk_bytes=500).collect()
     got = {r.doc_id: r for r in rows}
     train = [texts[i] for i in range(len(texts)) if not got[i].held_out]
-    assert [got[i].score for i in range(len(texts))] == pytest.approx(brute_ctw(train, texts, 3), rel=1e-9)
+    assert [got[i].score for i in range(len(texts))] == pytest.approx(brute_ctw(train, texts, depth), rel=1e-9)
     counts = Counter(w for t in train for w in [*WORD.findall(lower(t)), None])
     total, size = sum(counts.values()), len(counts)
     for i, t in enumerate(texts):
