@@ -51,6 +51,15 @@ def holds(text: Column, required: Sequence[str] = (), excluded: Sequence[str] =
     return F.coalesce(F.exists(F.array(_folded(text)), test), F.lit(False))
 
 
+#: Letters of Latin alphabets with a mark, and the letters without it.
+_MARKED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+
+
+def unaccented(text: Column) -> Column:
+    """Lower case, without the marks of Latin letters, written as one character or as letter and mark."""
+    return F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"[\u0300-\u036f]", "")
+
+
 def trigrams(text: Column) -> Column:
     """Distinct runs of three characters; an empty array for shorter texts. One pass: each match is a look ahead."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1)))

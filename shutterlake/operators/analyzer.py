@@ -125,13 +125,28 @@ def analyse(requests: DataFrame, now: datetime, first_weekday: int = 0, id_col:
     return plans.withColumn("empty", ~(named | (F.size("positive") > 0) | (F.size("negative") > 0) | (F.size("terms") > 0)))
 
 
+def implied_places(plans: DataFrame, gazetteer: DataFrame) -> DataFrame:
+    """plans with `implied`, the place that a plan without one names in its first clause that holds a place's name; what is left of that clause stays, a blank rest goes.
+
+    "Beijing cats" is a search for cats in Beijing; a plan with a place of its own is left as it is."""
+    bare = plans.where("place IS NULL").select("request_id", F.posexplode("positive").alias("at_clause", "clause"))
+    named = bare.withColumn("one", F.concat_ws(":", F.col("request_id").cast("string"), "at_clause"))
+    found = places.longest_exact(named, gazetteer, "one").select("one", F.col("place").alias("implied"), "remainder")
+    first = named.join(found, "one").groupBy("request_id").agg(F.min_by(F.struct("at_clause", "implied", "remainder"), "at_clause").alias("b"))
+    rows = plans.join(first, "request_id", "left")
+    kept = F.filter(F.transform("positive", lambda c, k: F.when(k == F.col("b.at_clause"), F.col("b.remainder")).otherwise(c)), lambda c: c != "")
+    rows = rows.withColumn("positive", F.when(F.col("b").isNotNull(), kept).otherwise(F.col("positive"))).withColumn("implied", F.col("b.implied"))
+    return rows.withColumn("combine", F.when((F.col("combine") == "or") & (F.size("positive") == 0), "and").otherwise(F.col("combine"))).drop("b")
+
+
 def ask(assets: DataFrame, text: str, encoder: Encoder, now: datetime, limit: int = 60) -> DataFrame:
     """Analyse one request and search: an unknown place becomes one more clause; kinds other than image and video are not filtered by."""
     spark = assets.sparkSession
-    plan = analyse(spark.createDataFrame([(0, text)], "request_id int, text string"), now).first()
-    positive, place = list(plan.positive), None
+    gazetteer = places.gazetteer(spark)
+    plan = implied_places(analyse(spark.createDataFrame([(0, text)], "request_id int, text string"), now), gazetteer).first()
+    positive, place = list(plan.positive), next((p[2:5] for p in places.PLACES if plan.implied == p[0]), None)
     if plan.place:
-        found = places.resolve(spark.createDataFrame([(plan.place,)], "mention string"), places.gazetteer(spark)).first()
+        found = places.resolve(spark.createDataFrame([(plan.place,)], "mention string"), gazetteer).first()
         entry = next((p for p in places.PLACES if found.place == p[0]), None)
         place = entry and entry[2:5]
         positive += [] if entry else [plan.place]

@@ -51,9 +51,8 @@ def difference_hash(rows: DataFrame, key: str = "asset_id", content: str = "text
 
     A word's bucket is the first four hex digits of its md5 modulo 65. Counts are partial sums per row and bucket."""
     words = rows.select(key, F.explode(F.filter(F.split(F.lower(F.col(content)), r"\s+"), lambda w: w != "")).alias("w"))
-    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring("m", i, 1)) - 1
-    bucket = (((digit(1) * 16 + digit(2)) * 16 + digit(3)) * 16 + digit(4)) % 65
-    counts = words.withColumn("m", F.md5(F.col("w").cast("binary"))).groupBy(key, bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
+    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int") % 65
+    counts = words.groupBy(key, bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
     whole = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), (F.sum("chars") / F.sum("n")).alias("ratio"))  # 65 entries at most
     n = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))
     bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(n(i) > n(i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
@@ -69,23 +68,32 @@ def hash_classes(hashes: DataFrame, key: str = "asset_id") -> DataFrame:
     return hashes.groupBy("hash", "ratio").agg(F.min(key).alias("rep"))
 
 
-def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts: int = 8) -> DataFrame:
-    """Pairs (a, b, distance) of classes within that Hamming distance and ratio difference.
+def _parts(classes: int, distance: int) -> int:
+    """Parts into which the 64 bits of a hash are cut: the fewest whose keys, with about 32 bands of ratios, are as selective as the table is large."""
+    return next((p for p in range(distance + 1, 64) if (64 // p) * (p - distance) >= classes.bit_length() - 5), 63)
+
+
+def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts: int | None = None) -> DataFrame:
+    """Pairs (a, b, distance) of classes (rep, hash, ratio) within that Hamming distance and ratio difference.
 
     The 64 bits are cut into parts; hashes within distance agree in parts - distance of them, so every choice of that many
-    parts is a join key, and no pair is missed. Three of eight parts make keys of 24 bits: as selective as the table is large."""
+    parts is a join key, and no pair is missed. Ratios are cut into bands as wide as the difference allowed, so partners
+    are in the same band or in neighbouring ones: the band is part of the key too, and one side is there under both. Keys
+    that many classes share, as those of short texts do, are split by Spark's skew join; a pair is checked where it meets."""
+    classes = written(classes, "near-classes")
+    parts = parts or _parts(classes.count(), distance)
     width = 64 // parts
     part = [F.shiftrightunsigned("hash", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(parts)]
     keys = []
     for k, chosen in enumerate(combinations(range(parts), parts - distance)):
-        number = F.lit(k).cast("long")
-        for i in chosen:
-            number = number * (1 << width) + part[i]
-        keys.append(number)
-    keyed = classes.withColumn("k", F.explode(F.array(*keys)))
-    a, b = (keyed.select(F.col("k"), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "hash", "ratio"))) for s in "ab")
-    near = a.join(b, "k").where((F.col("rep_a") < F.col("rep_b")) & (hamming("hash_a", "hash_b") <= distance) & (F.abs(F.col("ratio_a") - F.col("ratio_b")) < ratio))
-    return near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), hamming("hash_a", "hash_b").alias("distance")).distinct()
+        keys.append(F.xxhash64(F.lit(k), *(part[i] for i in chosen)))
+    keyed = classes.withColumn("k", F.explode(F.array(*keys))).withColumn("band", F.floor(F.col("ratio") / ratio))
+    a = keyed.select("k", "band", *(F.col(c).alias(f"{c}_a") for c in ("rep", "hash", "ratio")))
+    b = keyed.select("k", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "hash", "ratio")))
+    # b is in its own band and the one below, so a pair of neighbouring bands meets once, with b in the upper one.
+    met = (F.col("rep_a") < F.col("rep_b")) | (F.floor(F.col("ratio_a") / ratio) < F.floor(F.col("ratio_b") / ratio))
+    near = a.join(b, ["k", "band"]).where(met & (F.col("rep_a") != F.col("rep_b")) & (hamming("hash_a", "hash_b") <= distance) & (F.abs(F.col("ratio_a") - F.col("ratio_b")) < ratio))
+    return near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), hamming("hash_a", "hash_b").alias("distance")).distinct()
 
 
 def near_groups(hashes: DataFrame, key: str = "asset_id", distance: int = 5, ratio: float = 0.05) -> DataFrame:

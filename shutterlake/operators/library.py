@@ -159,6 +159,38 @@ def dock(albums: DataFrame, visits: DataFrame, n: int = 24) -> DataFrame:
     return both.join(F.broadcast(least), F.col("fallback") == F.col("least")).select("album_id", "at")
 
 
+def dock_list(albums: DataFrame, which: str, joined: DataFrame | None = None, visits: DataFrame | None = None, starred: list[int] | None = None, query: str = "", reverse: bool = False, n: int = 24) -> DataFrame:
+    """User albums of a list of the dock, with their 0-based `position`.
+
+    all: by title; joined: those with a row in joined (album_id), by title; starred: in the order of that list of ids, unknown
+    ones left out; recent: by last visit (album_id, at), and the first n by title where there is none. query keeps titles that
+    hold it in any case; reverse turns the list round. Positions are taken over one list of albums that a person looks at."""
+    users, by_title = albums.where(F.col("kind") == "user"), [natural_key(F.col("title")), F.col("album_id")]
+    if which == "recent":
+        rows = users.join(dock(users, visits, n), "album_id")
+        order = [F.desc_nulls_last("at"), *by_title]
+    elif which == "starred":
+        rows, order = ordered_lookup(users, starred or [], "album_id").withColumnRenamed("position", "ordinal"), [F.col("ordinal")]
+    elif which in ("all", "joined"):
+        rows, order = users if which == "all" else users.join(joined, "album_id", "left_semi"), by_title
+    else:
+        raise ValueError(f"no such list: {which}")
+    if said := query.strip().lower():
+        rows = rows.where(F.lower("title").contains(said))
+    rows = rows.withColumn("position", F.row_number().over(Window.orderBy(*order)) - 1)
+    if reverse:
+        rows = rows.withColumn("position", F.count("*").over(Window.partitionBy()) - 1 - F.col("position"))
+    return rows.select(*albums.columns, F.col("position").cast("long").alias("position"))
+
+
+def folder_previews(folders: DataFrame, albums: DataFrame) -> DataFrame:
+    """(folder_id, preview): the first preview in a folder, its own albums (folder_id, album_id, title, preview) by title before those of the folders below it, depth first; null if none has one."""
+    own = albums.where("folder_id IS NOT NULL AND preview IS NOT NULL").groupBy("folder_id").agg(F.min_by("preview", F.struct(natural_key(F.col("title")), "album_id")).alias("preview"))
+    inside = folder_paths(folders).select(F.explode("path").alias("above"), "folder_id", "path").join(own, "folder_id", "left")
+    first = F.min_by("preview", F.when(F.col("preview").isNotNull(), F.col("path")))
+    return inside.groupBy("above").agg(first.alias("preview")).withColumnRenamed("above", "folder_id")
+
+
 def signature(rows: DataFrame, authorised: str) -> DataFrame:
     """One row: authorisation, count, first and last id in library order."""
     order = F.struct("created", "asset_id")

@@ -56,6 +56,24 @@ def add_members(members: DataFrame, more: DataFrame, assets: DataFrame) -> DataF
     return members.select("album_id", "asset_id").union(more.join(assets, "asset_id", "left_semi").select("album_id", "asset_id")).distinct()
 
 
+def join_album(albums: DataFrame, members: DataFrame, assets: DataFrame, album_id: int, title: str, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(albums, members, album counts of the listed assets) after the assets of ids were put into a user album, which takes the title and is made where it is missing.
+
+    Assets that are in it already, and unknown ones, change nothing."""
+    spark = albums.sparkSession
+    new = spark.range(1).select(F.lit(album_id).cast("long").alias("album_id"), F.lit(title).alias("title"))
+    known = ids.select("asset_id").distinct().join(assets.select("asset_id"), "asset_id", "left_semi")
+    whole = add_members(members, known.select(F.lit(album_id).cast("long").alias("album_id"), "asset_id"), assets)
+    counts = album_counts(known, whole.join(known, "asset_id", "left_semi"))
+    return upsert(albums, new, "album_id").withColumn("kind", F.coalesce("kind", F.lit("user"))), whole, counts
+
+
+def remove_everywhere(tables: tuple[DataFrame, ...], gone: DataFrame, key: str = "asset_id") -> tuple[DataFrame, ...]:
+    """The tables, as those of assets, vectors and texts, without the ids of gone. Taking vectors away alone does so too: the row goes with its vector."""
+    ids = gone.select(key).distinct()
+    return tuple(t.join(ids, key, "left_anti") for t in tables)
+
+
 def _retry_at(now: datetime) -> Column:
     """now plus 30 seconds times 2 to the old count of failures, an hour at most."""
     wait = F.least(F.lit(3600.0), 30 * F.pow(F.lit(2.0), F.col("failures")))

@@ -20,6 +20,7 @@ PLACES = (
 )
 #: Endings that a place name may carry.
 SUFFIXES = ("特别行政区", "自治区", "省", "市", "区", "县", " city", " province", " county", " island")
+ENDS = "(" + "|".join(s.replace(" ", r"\s") for s in SUFFIXES) + ")+$"
 
 
 def names_of(name: str) -> list[str]:
@@ -43,11 +44,10 @@ def resolve(mentions: DataFrame, places: DataFrame, column: str = "mention") ->
 
     Keys of a mention are generated and joined with the gazetteer; the best tier and longest key win. `mention` values should be distinct."""
     said = F.trim(F.regexp_replace(F.lower(F.col(column)), r"\s+", " "))
-    ends = "(" + "|".join(s.replace(" ", r"\s") for s in SUFFIXES) + ")+$"
     words = F.split(said, " ")
     by_word = F.transform(F.sequence(F.lit(1), F.size(words)), lambda k: F.array_join(F.slice(words, 1, k), " "))
     by_char = F.when(F.length(said) >= 2, F.transform(F.sequence(F.lit(2), F.greatest(F.length(said), F.lit(2))), lambda k: F.substring(said, F.lit(1), k))).otherwise(F.array().cast("array<string>"))
-    tiers = ((1, F.array(said)), (2, F.array(F.regexp_replace(said, ends, ""))), (3, F.concat(by_word, by_char)))
+    tiers = ((1, F.array(said)), (2, F.array(F.regexp_replace(said, ENDS, ""))), (3, F.concat(by_word, by_char)))
 
     def tiered(tier: int, keys: Column) -> Column:
         return F.transform(keys, lambda k: F.struct(F.lit(tier).alias("tier"), k.alias("key")))
@@ -61,6 +61,26 @@ def resolve(mentions: DataFrame, places: DataFrame, column: str = "mention") ->
     return mentions.join(found, column, "left")
 
 
+#: Longest name, in characters, that is looked for inside a clause.
+INSIDE = 8
+
+
+def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id", column: str = "clause") -> DataFrame:
+    """(key, place, at, length, remainder and the place's numbers) of the clauses that hold a place's whole name: the longest run of 2 to INSIDE
+    characters that is one, with or without an ending, the leftmost of these; spaces around the name belong to the run. remainder: the clause without it, white space as one space. Keys should be distinct.
+
+    All runs of a clause are generated as rows and joined with the gazetteer, which is a list in the program."""
+    said = clauses.where(F.length(column) >= 2).select(key, column)
+    sizes = F.sequence(F.lit(2), F.least(F.lit(INSIDE), F.length(column)))
+    runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.struct(i.alias("at"), n.alias("length"), F.trim(F.lower(F.substring(F.col(column), i, n))).alias("key")))))
+    rows = said.select(F.col(key), F.inline(runs))
+    rows = rows.withColumn("key", F.explode(F.array_distinct(F.array("key", F.regexp_replace("key", ENDS, "")))))
+    numbers = ("place", "latitude", "longitude", "radius")
+    found = rows.join(F.broadcast(places), "key").groupBy(F.col(key)).agg(F.min_by(F.struct("at", "length", *numbers), F.struct(-F.col("length"), "at", "place")).alias("b"))
+    left = F.concat(F.substring(F.col(column), F.lit(1), F.col("b.at") - 1), F.substring(F.col(column), F.col("b.at") + F.col("b.length"), F.length(column)))
+    return found.join(said, key).select(key, "b.place", "b.at", "b.length", F.trim(F.regexp_replace(left, r"\s+", " ")).alias("remainder"), *(f"b.{n}" for n in numbers[1:]))
+
+
 def validate(places: DataFrame) -> DataFrame:
     """(place, problem): coordinates or radius out of range, and names of more than one place."""
     bad = places.select("place", F.array_compact(F.array(F.when(~geo.valid(F.col("latitude"), F.col("longitude")), F.lit("coordinates")), F.when(~((F.col("radius") > 0) & (F.col("radius") <= 2000)), F.lit("radius")))).alias("p"))

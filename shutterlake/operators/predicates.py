@@ -121,6 +121,17 @@ def title_matches(albums: DataFrame, query: str) -> DataFrame:
     return albums.where(F.lower("title").contains(said) if said else F.lit(False)).withColumn("shared", F.col("kind") == "shared")
 
 
+def note_search(notes: DataFrame, query: str, key: str = "asset_id", column: str = "note") -> DataFrame:
+    """Notes that hold the query, whatever the case and the accents, by key; a blank query matches nothing."""
+    said = text.unaccented(F.lit(query.strip()))
+    return notes.where(F.contains(text.unaccented(F.col(column)), said) if query.strip() else F.lit(False)).orderBy(key)
+
+
+def same_model(rows: DataFrame, version: str, column: str = "model_version") -> DataFrame:
+    """Rows whose vector comes from that model: scores against vectors of another one mean nothing."""
+    return rows.where(F.col(column) == version)
+
+
 def on_this_day(assets: DataFrame, today: datetime) -> DataFrame:
     return assets.where(dates.on_this_day(F.col("created"), F.lit(today)))
 

@@ -27,17 +27,18 @@ def _folders(spark, sf):
 
 
 def _folder_counts(spark, sf):
-    kept = L.catalogue(S.albums(spark, sf), S.members(spark, sf), S.assets(spark, sf)).where("folder_id IS NOT NULL AND album_id % 7 <> 0")
+    kept = L.catalogue(S.albums(spark, sf), S.members(spark, sf), S.assets(spark, sf)).where("folder_id IS NOT NULL")
     return kept.groupBy((F.col("folder_id") + 100).cast("int").alias("folder_id")).agg(F.count("*").alias("albums"), F.sum("asset_count").alias("assets"))
 
 
 _CATALOGUE = """catalogue AS (SELECT a.album_id, a.title, a.kind, CASE WHEN kind <> 'shared' THEN folder_id END AS folder_id, coalesce(n, 0) AS asset_count, preview FROM albums a LEFT JOIN
   (SELECT album_id, count(*) AS n, arg_max(asset_id, row(created, asset_id)) AS preview FROM members JOIN assets USING (asset_id) GROUP BY album_id) f USING (album_id) WHERE kind <> 'smart' OR coalesce(n, 0) > 0)"""
 _FOLDERS = """folders AS (SELECT r_regionkey AS folder_id, NULL::INT AS parent_id FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey FROM nation),
-counts AS (SELECT folder_id + 100 AS folder_id, count(*) AS albums, sum(asset_count) AS assets FROM catalogue WHERE folder_id IS NOT NULL AND album_id % 7 <> 0 GROUP BY 1),
+counts AS (SELECT folder_id + 100 AS folder_id, count(*) AS albums, sum(asset_count) AS assets FROM catalogue WHERE folder_id IS NOT NULL GROUP BY 1),
 walk AS (SELECT folder_id, 0 AS depth, [folder_id] AS path FROM folders WHERE parent_id IS NULL UNION ALL SELECT f.folder_id, depth + 1, list_append(path, f.folder_id) FROM walk w JOIN folders f ON f.parent_id = w.folder_id),
 rolled AS (SELECT above AS folder_id, coalesce(sum(albums), 0)::BIGINT AS albums, coalesce(sum(assets), 0)::BIGINT AS assets FROM (SELECT folder_id, unnest(path) AS above FROM walk) x LEFT JOIN counts USING (folder_id) GROUP BY 1)"""
 
+_KEY = "lower(regexp_replace(regexp_replace(title, '([0-9]+)', '0000000000\\1', 'g'), '0+([0-9]{10})($|[^0-9])', '\\1\\2', 'g'))"
 _CONTENT = {"landscape": "width > height", "portrait": "height > width", "square": "width > 0 AND height > 0 AND abs(width - height) * 20 <= greatest(width, height)", "panorama": "subtype & 1 <> 0", "high_quality": "width >= 1920 OR height >= 3000"}
 
 
@@ -115,14 +116,20 @@ QUERIES = {
     "reconcile_absent": lambda s, d: L.absent(S.assets(s, d), S.assets(s, d).where("asset_id % 5 <> 0")).select("asset_id"),
     "album_catalogue": lambda s, d: L.catalogue(S.albums(s, d), S.members(s, d), S.assets(s, d)).select("album_id", "kind", "folder_id", "asset_count", "preview"),
     "album_order": lambda s, d: S.albums(s, d).select("album_id", "kind", text.natural_key(F.col("title")).alias("title_key")),
-    "empty_albums": lambda s, d: L.empty_albums(L.catalogue(S.albums(s, d), S.members(s, d).where("album_id % 2 = 0"), S.assets(s, d))).select("album_id"),
+    "empty_albums": lambda s, d: L.empty_albums(L.catalogue(S.albums(s, d), S.members(s, d), S.assets(s, d))).select("album_id"),
     "pinned_albums": lambda s, d: L.pinned(S.albums(s, d), [4, 2, 123456789, 9]).select("album_id", "position"),
     "album_dock": lambda s, d: L.dock(S.albums(s, d), _visits(s, d), 5).select("album_id", F.col("at").cast("timestamp_ntz").alias("at")),
     "album_dock_fallback": lambda s, d: L.dock(S.albums(s, d), _visits(s, d).where("false"), 5).select("album_id"),
     "library_signature": lambda s, d: L.signature(S.assets(s, d), "full"),
-    "readiness_gate": lambda s, d: L.if_ready(S.assets(s, d).where("asset_id < 50"), s.sql("SELECT 'index_ready' AS key, '1' AS value")).select("asset_id"),
+    "readiness_gate": lambda s, d: L.if_ready(S.assets(s, d), s.sql("SELECT 'index_ready' AS key, '1' AS value")).select("asset_id"),
     "folder_rollup": lambda s, d: L.folder_rollup(_folders(s, d), _folder_counts(s, d)),
-    "empty_folders": lambda s, d: L.empty_folders(_folders(s, d), _folder_counts(s, d).where("folder_id % 5 = 1")),
+    "empty_folders": lambda s, d: L.empty_folders(_folders(s, d), _folder_counts(s, d)),
+    "folder_previews": lambda s, d: L.folder_previews(_folders(s, d), L.catalogue(S.albums(s, d), S.members(s, d), S.assets(s, d)).select((F.col("folder_id") + 100).cast("int").alias("folder_id"), "album_id", "title", "preview")),
+    "unsorted_filtered_page": lambda s, d: L.page(_unsorted(s, d).where(_REFINED.column()), 200, 20).select("asset_id"),
+    "album_dock_joined": lambda s, d: L.dock_list(S.albums(s, d), "joined", joined=S.members(s, d).where("asset_id = 2")).select("album_id", "position"),
+    "album_dock_starred": lambda s, d: L.dock_list(S.albums(s, d), "starred", starred=[7, 1, 123456789, 2], query="supplier").select("album_id", "position"),
+    "album_dock_all": lambda s, d: L.dock_list(S.albums(s, d), "all", query="00001", reverse=True).select("album_id", "position"),
+    "note_search": lambda s, d: P.note_search(S.read(s, d, "documents").select(F.col("doc_id").alias("asset_id"), F.col("text").alias("note")), " ÉN ").select("asset_id"),
     "folder_tree": lambda s, d: L.tree_rows(_folders(s, d), [1, 3]).select("folder_id", "depth"),
     "timeline_year": _timeline("year"),
     "timeline_month": _timeline("month"),
@@ -169,14 +176,21 @@ ORACLE = {
     "reconcile_absent": with_views("SELECT asset_id FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM assets WHERE asset_id % 5 <> 0)", *_A),
     "album_catalogue": with_views(f", {_CATALOGUE} SELECT album_id, kind, folder_id, asset_count, preview FROM catalogue", "assets", "albums", "members"),
     "album_order": with_views("SELECT album_id, kind, lower(regexp_replace(title, '0+([0-9]{10})$', '\\1')) AS title_key FROM (SELECT album_id, kind, regexp_replace(title, '([0-9]+)', '0000000000\\1') AS title FROM albums)", "albums"),
-    "empty_albums": with_views("SELECT album_id FROM albums WHERE kind = 'user' AND album_id NOT IN (SELECT album_id FROM members WHERE album_id % 2 = 0)", "albums", "members"),
+    "empty_albums": with_views("SELECT album_id FROM albums WHERE kind = 'user' AND album_id NOT IN (SELECT album_id FROM members JOIN assets USING (asset_id))", "albums", "members", "assets"),
     "pinned_albums": with_views("SELECT album_id, (CASE album_id WHEN 4 THEN 0 WHEN 2 THEN 1 ELSE 3 END)::BIGINT AS position FROM albums WHERE album_id IN (4, 2, 9)", "albums"),
     "album_dock": with_views('SELECT album_id, max(ts) AS "at" FROM albums JOIN events ON user_id % 10 = album_id GROUP BY album_id ORDER BY max(ts) DESC, album_id LIMIT 5', "albums"),
     "album_dock_fallback": with_views("SELECT album_id FROM albums ORDER BY lower(title), album_id LIMIT 5", "albums"),
     "library_signature": with_views(f"SELECT 'full|' || count(*) || '|' || (SELECT asset_id FROM assets {NEW} LIMIT 1) || '|' || (SELECT asset_id FROM assets ORDER BY created, asset_id LIMIT 1) AS signature FROM assets", *_A),
-    "readiness_gate": with_views("SELECT asset_id FROM assets WHERE asset_id < 50", *_A),
+    "readiness_gate": with_views("SELECT asset_id FROM assets", *_A),
     "folder_rollup": with_views(f", {_CATALOGUE}, {_FOLDERS} SELECT * FROM rolled", "assets", "albums", "members", recursive=True),
-    "empty_folders": with_views(f", {_CATALOGUE}, {_FOLDERS.replace('GROUP BY 1),', 'AND (folder_id + 100) % 5 = 1 GROUP BY 1),', 1)}, e AS (SELECT folder_id FROM rolled WHERE albums = 0) SELECT folder_id FROM folders WHERE folder_id IN (SELECT folder_id FROM e) AND (parent_id IS NULL OR parent_id NOT IN (SELECT folder_id FROM e))", "assets", "albums", "members", recursive=True),
+    "empty_folders": with_views(f", {_CATALOGUE}, {_FOLDERS}, e AS (SELECT folder_id FROM rolled WHERE albums = 0) SELECT folder_id FROM folders WHERE folder_id IN (SELECT folder_id FROM e) AND (parent_id IS NULL OR parent_id NOT IN (SELECT folder_id FROM e))", "assets", "albums", "members", recursive=True),
+    "folder_previews": with_views(f""", {_CATALOGUE}, {_FOLDERS}, own AS (SELECT folder_id + 100 AS folder_id, arg_min(preview, row({_KEY}, album_id)) AS preview FROM catalogue WHERE folder_id IS NOT NULL AND preview IS NOT NULL GROUP BY 1),
+  inside AS (SELECT w.path, unnest(w.path) AS above, o.preview FROM walk w LEFT JOIN own o USING (folder_id)) SELECT above AS folder_id, arg_min(preview, array_to_string(list_transform(path, lambda x: lpad(x::VARCHAR, 6, '0')), '/')) FILTER (WHERE preview IS NOT NULL) AS preview FROM inside GROUP BY 1""", "assets", "albums", "members", recursive=True),
+    "unsorted_filtered_page": with_views(f", {_UNSORTED} SELECT asset_id FROM uns WHERE {_REFINED_SQL} {NEW} LIMIT 200 OFFSET 20", "assets", "members"),
+    "album_dock_joined": with_views(f"SELECT album_id, row_number() OVER (ORDER BY {_KEY}, album_id) - 1 AS position FROM albums WHERE kind = 'user' AND album_id IN (SELECT album_id FROM members WHERE asset_id = 2)", "albums", "members"),
+    "album_dock_starred": with_views("SELECT album_id, row_number() OVER (ORDER BY list_position([7, 1, 2], album_id)) - 1 AS position FROM albums WHERE kind = 'user' AND album_id IN (7, 1, 2) AND contains(lower(title), 'supplier')", "albums"),
+    "album_dock_all": with_views(f"SELECT album_id, row_number() OVER (ORDER BY {_KEY} DESC, album_id DESC) - 1 AS position FROM albums WHERE kind = 'user' AND contains(lower(title), '00001')", "albums"),
+    "note_search": "SELECT doc_id AS asset_id FROM documents WHERE contains(lower(strip_accents(text)), 'en') ORDER BY 1",
     "folder_tree": "SELECT r_regionkey AS folder_id, 0 AS depth FROM region UNION ALL SELECT n_nationkey + 100, 1 FROM nation WHERE n_regionkey IN (1, 3)",
     "timeline_year": _timeline_sql("year"),
     "timeline_month": _timeline_sql("month"),

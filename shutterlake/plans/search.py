@@ -85,6 +85,34 @@ per AS (SELECT s.query, coalesce(max((rank = 1)::INT), 0) AS hit_at_1, round(coa
   FROM sizes s LEFT JOIN (SELECT r.* FROM ranked r JOIN relevant USING (query, item)) h ON h.query = s.query GROUP BY s.query)"""
 _RELEVANT = "relevant AS (SELECT DISTINCT q.vec_id AS query, i.vec_id AS item FROM embeddings q JOIN embeddings i USING (label) WHERE q.vec_id < 10 AND q.vec_id IN (SELECT doc_id FROM documents) AND i.vec_id IN (SELECT doc_id FROM documents))"
 
+#: A gazetteer with one fault of each kind.
+FAULTY = (("Good", "fine", 10.0, 20.0, 30), ("North", "", 95.0, 0.0, 10), ("East", "", 0.0, 181.0, 10), ("Point", "", 1.0, 1.0, 0), ("Wide", "", 2.0, 2.0, 2001), ("Twin", "fine", 11.0, 21.0, 30), ("Edge", "", -90.0, 180.0, 2000))
+_FAULTY = f"""g (place, others, lat, lon, km) AS (VALUES {', '.join(repr(p) for p in FAULTY)}), n AS (SELECT lower(place) AS key, place FROM g UNION SELECT others, place FROM g WHERE others <> '')
+SELECT place, 'coordinates' AS problem FROM g WHERE NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) UNION ALL SELECT place, 'radius' FROM g WHERE NOT (km > 0 AND km <= 2000)
+UNION ALL SELECT place, 'name: ' || key FROM n WHERE key IN (SELECT key FROM n GROUP BY key HAVING count(DISTINCT place) > 1)"""
+
+
+def _guarded(spark, sf):
+    rows = S.searchable(spark, sf).withColumn("model_version", F.when(F.col("asset_id") % 3 == 0, "old").otherwise("new"))
+    return H.top_k(P.same_model(rows, "new"), H.vectors_of(rows, [4])[0], 25)
+
+
+def _implied(spark, sf):
+    """Places in the turns of all conversations, each turn as one clause."""
+    said = S.read(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.col("text").alias("clause"))
+    return G.longest_exact(said, G.gazetteer(spark)).select("request_id", "place", "at", "length", F.md5(F.col("remainder").cast("binary")).alias("remainder"))
+
+
+def _implied_sql():
+    keys = sorted({(key, name) for name, others, *_ in G.PLACES for n in (name, *others.split()) for key in G.names_of(n)})
+    values = ", ".join(f"('{k}', '{p}')" for k, p in keys)
+    return f"""WITH k (key, place) AS (VALUES {values}), t AS (SELECT conv_id || ':' || turn AS request_id, text FROM conversations),
+w AS (SELECT request_id, text, i AS "at", n AS length, trim(lower(text[i : i + n - 1])) AS key FROM t, range(2, 9) AS l(n), unnest(range(1, greatest(length(text) - n + 2, 1))) AS u(i)),
+e AS (SELECT * FROM w UNION SELECT request_id, text, "at", length, regexp_replace(key, '{G.ENDS}', '') FROM w),
+f AS (SELECT e.*, place FROM e JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY length DESC, "at", place) = 1)
+SELECT request_id, place, "at"::INT AS "at", length::INT AS length, md5(trim(regexp_replace(text[1 : "at" - 1] || text["at" + length :], '\\s+', ' ', 'g'))) AS remainder FROM f"""
+
+
 _MENTIONS = ("Tokyo", "tokyo city", "东京都", "Paris in spring", "nyc", "Nowhere", "北京市", "San Francisco bay", "")
 
 
@@ -119,12 +147,14 @@ QUERIES = {
     "geo_box": lambda s, d: S.searchable(s, d).where("latitude IS NOT NULL").select("asset_id", *(F.round(v, 5).alias(k) if k != "crosses" else v.alias(k) for k, v in geo.box(F.col("latitude"), F.col("longitude"), 250.0).items())),
     "geo_grid": lambda s, d: G.grid(S.searchable(s, d), 5.0),
     "geo_clusters": lambda s, d: G.clusters(S.searchable(s, d), 40),
-    "gazetteer_check": lambda s, d: G.validate(G.gazetteer(s)),
+    "gazetteer_check": lambda s, d: G.validate(G.gazetteer(s, FAULTY)),
+    "model_guard": _guarded,
+    "implied_places": _implied,
     "retrieval_metrics": lambda s, d: M.retrieval(M.ranks(_scored(s, d, 0)), _relevant(s, d), 20),
     "retrieval_summary": lambda s, d: M.summary(M.retrieval(M.ranks(_scored(s, d, 0)), _relevant(s, d), 20)),
     "ranking_agreement": lambda s, d: M.agreement(_scored(s, d, 0), _scored(s, d, 0).withColumn("score", F.round(F.col("score") + F.col("item") % 7 / 50, 6))),
     "percentiles": lambda s, d: M.percentiles(S.read(s, d, "events"), "value", "event_type"),
-    "confidence_mean": lambda s, d: M.mean_confidence(S.searchable(s, d).select("asset_id", F.slice("vector", 1, 8).alias("o")), "asset_id", "o"),
+    "confidence_mean": lambda s, d: M.mean_confidence(S.searchable(s, d).select("asset_id", F.col("vector").alias("o")), "asset_id", "o"),
     "store_consistency": lambda s, d: M.store_consistency(S.searchable(s, d).withColumn("slot", F.col("asset_id")), "slot"),
 }
 
@@ -152,12 +182,14 @@ ORACLE = {
     "geo_box": with_views("""SELECT asset_id, round(greatest(latitude - d, -90), 5) AS south, round(least(latitude + d, 90), 5) AS north, round(CASE WHEN x OR e >= 180 THEN -180 ELSE longitude - e END, 5) AS west, round(CASE WHEN x OR e >= 180 THEN 180 ELSE longitude + e END, 5) AS east, x AS crosses
   FROM (SELECT *, longitude - e < -180 OR longitude + e > 180 AS x FROM (SELECT *, 250 / 111.32 AS d, 250 / (111.32 * greatest(cos(radians(latitude)), 0.01)) AS e FROM searchable WHERE latitude IS NOT NULL))""", "searchable"),
     "geo_grid": with_views("SELECT floor(latitude / 5.0)::BIGINT AS cell_lat, floor(longitude / 5.0)::BIGINT AS cell_lon, count(*) AS n, min(asset_id) AS representative FROM searchable WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY 1, 2", "searchable"),
-    "gazetteer_check": "SELECT ''::VARCHAR AS place, ''::VARCHAR AS problem WHERE false",
+    "gazetteer_check": f"WITH {_FAULTY}",
+    "model_guard": with_views("SELECT asset_id, round(list_dot_product(vector, (SELECT vector FROM searchable WHERE asset_id = 4)), 6) AS score FROM searchable WHERE asset_id % 3 <> 0 ORDER BY score DESC, asset_id LIMIT 25", "searchable"),
+    "implied_places": _implied_sql(),
     "retrieval_metrics": with_views(f", {_SCORED}, {_RANKED}, {_RELEVANT}, {_PER_QUERY} SELECT * FROM per", "searchable"),
     "retrieval_summary": with_views(f", {_SCORED}, {_RANKED}, {_RELEVANT}, {_PER_QUERY} SELECT round(avg(hit_at_1), 6) AS precision_at_1, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM per", "searchable"),
     "ranking_agreement": with_views(f""", {_SCORED}, first AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank, count(*) OVER (PARTITION BY query) AS n FROM scored),
 relevant AS (SELECT query, item FROM first WHERE rank <= greatest(n // 4, 1)), ranked AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY round(score + item % 7 / 50, 6) DESC, item) AS rank FROM scored), {_PER_QUERY} SELECT * FROM per""", "searchable"),
     "percentiles": "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY event_type",
-    "confidence_mean": with_views("SELECT asset_id, round(list_sum(vector[1:8]) / 8, 6) AS confidence FROM searchable", "searchable"),
+    "confidence_mean": with_views("SELECT asset_id, round(list_sum(vector) / len(vector), 6) AS confidence FROM searchable", "searchable"),
     "store_consistency": with_views("SELECT count(*) AS rows_with_slot, count(DISTINCT asset_id) AS slots, coalesce(max(asset_id), -1) AS largest, count(*) = count(DISTINCT asset_id) AND coalesce(max(asset_id), -1) < count(DISTINCT asset_id) AS consistent FROM searchable", "searchable"),
 }

@@ -17,14 +17,14 @@ NOW = datetime(2024, 1, 1)
 
 
 def _texts(spark, sf):
-    return S.read(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), "text").where(F.length("text") >= 200)
+    return S.read(spark, sf, "documents").select(F.col("doc_id").alias("asset_id"), "text")
 
 
 def _hashes(spark, sf):
     return C.difference_hash(_texts(spark, sf))
 
 
-_WORDS = "w AS (SELECT doc_id AS asset_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents WHERE length(text) >= 200)"
+_WORDS = "w AS (SELECT doc_id AS asset_id, unnest(list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '')) AS w FROM documents)"
 _HASH = f"""{_WORDS}, c AS (SELECT asset_id, ('0x' || substr(md5(w), 1, 4))::INT % 65 AS b, count(*) AS n FROM w GROUP BY ALL),
 m AS (SELECT asset_id, map_from_entries(list((b, n))) AS m FROM c GROUP BY asset_id), r AS (SELECT asset_id, round(avg(length(w)), 6) AS ratio FROM w GROUP BY asset_id),
 u AS (SELECT asset_id, list_sum(list_transform(range(64), lambda i: CASE WHEN coalesce(m[i::INT], 0) > coalesce(m[(i + 1)::INT], 0) THEN 1::HUGEINT << i::INT ELSE 0::HUGEINT END)) AS h FROM m),
@@ -53,11 +53,7 @@ def _table(spark, sf):
 _FOLD = '''folded AS (SELECT asset_id, CASE WHEN bool_or(op = 'delete') THEN 'delete' ELSE 'upsert' END AS op, arg_max("at", sequence) AS "at", arg_max(bytes, sequence) AS bytes FROM feed GROUP BY asset_id)'''
 
 
-def _feed(spark, sf):
-    return S.changes(spark, sf).where("op <> 'delete' OR sequence % 40 = 0")
-
-
-_FEED = "feed AS (SELECT * FROM changes WHERE op <> 'delete' OR sequence % 40 = 0)"
+_FEED = "feed AS (SELECT * FROM changes)"
 
 
 def _cascade(part):
@@ -83,6 +79,32 @@ _REPLACED = """old AS (SELECT * FROM members WHERE album_id < 5), new AS (SELECT
 whole AS (SELECT album_id, asset_id FROM members WHERE album_id >= 5 UNION ALL SELECT * FROM new)"""
 
 
+def _removed(part):
+    """Assets, vectors and texts without every seventh asset."""
+
+    def run(spark, sf):
+        rows = S.searchable(spark, sf)
+        gone = rows.where("asset_id % 7 = 0").select("asset_id")
+        tables = rows.select("asset_id", "created"), rows.select("asset_id", F.size("vector").alias("dimension")), rows.where("text IS NOT NULL").select("asset_id", F.length("text").alias("n"))
+        return M.remove_everywhere(tables, gone)[part]
+
+    return run
+
+
+def _joined(part):
+    """Every third asset, and some unknown ones, put into album 3 under a new title."""
+
+    def run(spark, sf):
+        ids = S.assets(spark, sf).where("asset_id % 3 = 0").select("asset_id").union(S.assets(spark, sf).select(-F.col("asset_id")))
+        albums = S.albums(spark, sf).select("album_id", "title", "kind")
+        return M.join_album(albums, S.members(spark, sf), S.assets(spark, sf), 3, "New title", ids)[part]
+
+    return run
+
+
+_JOINED = "ids AS (SELECT asset_id FROM assets WHERE asset_id % 3 = 0), whole AS (SELECT album_id, asset_id FROM members UNION SELECT 3, asset_id FROM ids)"
+
+
 def _history(spark, sf):
     c = S.changes(spark, sf).select("asset_id", "sequence", (F.col("op") == "update").alias("replaced"))
     return W.history(c.where("sequence % 2 = 0"), c.where("sequence % 2 = 1"), at="sequence")
@@ -106,11 +128,17 @@ QUERIES = {
     "album_replace_members": _replaced(0),
     "album_replace_counts": _replaced(1),
     "add_members": lambda s, d: M.add_members(S.members(s, d).where("album_id = 3"), S.assets(s, d).where("asset_id % 50 = 0").select(F.lit(3).cast("long").alias("album_id"), (F.col("asset_id") * 3).alias("asset_id")), S.assets(s, d)),
+    "remove_assets": _removed(0),
+    "remove_vectors": _removed(1),
+    "remove_texts": _removed(2),
+    "join_album_titles": _joined(0),
+    "join_album_members": _joined(1),
+    "join_album_counts": _joined(2),
     "retry_backoff": lambda s, d: M.mark_failed(S.searchable(s, d), S.searchable(s, d).where("asset_id % 3 = 0"), NOW).select("asset_id", "status", "failures", "retry_at"),
     "defer_work": lambda s, d: M.defer(S.searchable(s, d), S.searchable(s, d).where("asset_id % 4 = 0"), NOW).select("asset_id", "status", "retry_at"),
     "requeue_all": lambda s, d: M.requeue(S.searchable(s, d)).select("asset_id", "status", "failures", "retry_at"),
-    "change_fold": lambda s, d: M.fold(_feed(s, d)),
-    "apply_changes": lambda s, d: M.apply_changes(_table(s, d), M.fold(_feed(s, d))),
+    "change_fold": lambda s, d: M.fold(S.changes(s, d)),
+    "apply_changes": lambda s, d: M.apply_changes(_table(s, d), M.fold(S.changes(s, d))),
     "first_per_path": lambda s, d: M.first_per_path(S.changes(s, d).select("sequence", F.when(F.col("asset_id") % 2 == 0, F.col("asset_id")).alias("path"), F.col("sequence").alias("ordinal")).select("sequence", "path", "ordinal")),
     "compression_history": _history,
 }
@@ -133,6 +161,12 @@ ORACLE = {
     "album_replace_members": with_views(f", {_REPLACED} SELECT * FROM whole", "assets", "members"),
     "album_replace_counts": with_views(f", {_REPLACED} SELECT a.asset_id, count(w.album_id) AS album_count FROM (SELECT asset_id FROM old UNION SELECT asset_id FROM new) a LEFT JOIN whole w USING (asset_id) GROUP BY a.asset_id", "assets", "members"),
     "add_members": with_views("SELECT album_id, asset_id FROM members WHERE album_id = 3 UNION SELECT 3, asset_id * 3 FROM assets WHERE asset_id % 50 = 0 AND asset_id * 3 IN (SELECT asset_id FROM assets)", "assets", "members"),
+    "remove_assets": with_views("SELECT asset_id, created FROM searchable WHERE asset_id % 7 <> 0", "searchable"),
+    "remove_vectors": with_views("SELECT asset_id, len(vector)::INT AS dimension FROM searchable WHERE asset_id % 7 <> 0", "searchable"),
+    "remove_texts": with_views("SELECT asset_id, length(text)::INT AS n FROM searchable WHERE asset_id % 7 <> 0 AND text IS NOT NULL", "searchable"),
+    "join_album_titles": with_views("SELECT album_id, CASE WHEN album_id = 3 THEN 'New title' ELSE title END AS title, kind FROM albums UNION ALL SELECT 3, 'New title', 'user' WHERE 3 NOT IN (SELECT album_id FROM albums)", "albums"),
+    "join_album_members": with_views(f", {_JOINED} SELECT * FROM whole", "assets", "members"),
+    "join_album_counts": with_views(f", {_JOINED} SELECT asset_id, count(w.album_id) AS album_count FROM ids LEFT JOIN whole w USING (asset_id) GROUP BY asset_id", "assets", "members"),
     "retry_backoff": with_views("SELECT asset_id, CASE WHEN asset_id % 3 = 0 THEN 'failed' ELSE status END AS status, (failures + (asset_id % 3 = 0)::INT)::INT AS failures, CASE WHEN asset_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_seconds(least(3600, 30 * pow(2, failures))::INT) ELSE retry_at END AS retry_at FROM searchable", "searchable"),
     "defer_work": with_views("SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN asset_id % 4 = 0 THEN TIMESTAMP '2024-01-01' ELSE retry_at END AS retry_at FROM searchable", "searchable"),
     "requeue_all": with_views("SELECT asset_id, 'pending' AS status, 0 AS failures, NULL::TIMESTAMP AS retry_at FROM searchable", "searchable"),

@@ -7,7 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.operators import analyzer, search
+from shutterlake.operators import analyzer, places, search
 
 NOW = datetime(2026, 9, 15, 12)
 CASES = {
@@ -71,3 +71,13 @@ def test_ask(spark):
     assert ids("cat without dog") == [1, 2]
     assert ids('"dog" yesterday') == [4, 3]
     assert ids("") == []
+
+
+def test_implied_places(spark):
+    said = [(1, "Tokyo sunset"), (2, "a cat in Paris"), (3, "北京 猫"), (4, "海边"), (5, "Kyoto"), (6, "dogs and Rome and Paris")]
+    plans = analyzer.analyse(spark.createDataFrame(said, "request_id int, text string"), datetime(2024, 6, 15))
+    got = {r.request_id: (r.implied, r.positive, r.place) for r in analyzer.implied_places(plans, places.gazetteer(spark)).collect()}
+    assert got[1] == ("Tokyo", ["sunset"], None)
+    assert got[2][0] is None and got[2][2] == "Paris"
+    assert got[3] == ("Beijing", ["猫"], None) and got[4] == (None, ["海边"], None)
+    assert got[5] == ("Kyoto", [], None) and got[6] == ("Rome", ["dogs", "Paris"], None)

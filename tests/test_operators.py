@@ -132,6 +132,66 @@ def test_components_of_a_long_chain(spark):
     assert {r.component for r in rows if r.node < 20_000} == {min(ids)} and {r.component for r in rows if r.node >= 20_000} == {20_000}
 
 
+def test_near_pairs_of_neighbouring_bands(spark):
+    rng = random.Random(2)
+    hashes = [(i, rng.getrandbits(64) - (1 << 63) if i % 4 else 1 << rng.randrange(20), round(rng.choice([4.0, 4.04, 4.05, 4.07, 4.1]) + rng.random() / 100, 6)) for i in range(300)]
+    hashes += [(1000 + i, h ^ (1 << rng.randrange(60)), r + 0.01) for i, h, r in hashes]
+    df = spark.createDataFrame(hashes, "rep long, hash long, ratio double")
+    far = lambda x, y: bin((x ^ y) & ((1 << 64) - 1)).count("1")
+    want = sorted((a[0], b[0], far(a[1], b[1])) for a in hashes for b in hashes if a[0] < b[0] and far(a[1], b[1]) <= 5 and abs(a[2] - b[2]) < 0.05)
+    for parts in (None, 6, 8):
+        assert sorted(values(cleanup.near_pairs(df, parts=parts))) == want and len(want) > 300
+
+
+def test_empty_albums_and_folders(spark):
+    folders = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3), (5, None)], "folder_id int, parent_id int")
+    counts = spark.createDataFrame([(2, 1, 7)], "folder_id int, albums long, assets long")
+    assert values(library.empty_folders(folders, counts)) == [(3,), (5,)]
+    previews = spark.createDataFrame([(4, 1, "b 10", 70), (4, 2, "b 9", 71), (2, 3, "z", None), (1, 4, "x", None)], "folder_id int, album_id long, title string, preview long")
+    assert values(library.folder_previews(folders, previews)) == [(1, 71), (2, None), (3, 71), (4, 71), (5, None)]
+    albums = spark.createDataFrame([(1, "user", 0), (2, "user", 3), (3, "shared", 0)], "album_id long, kind string, asset_count long")
+    assert values(library.empty_albums(albums).select("album_id")) == [(1,)]
+
+
+def test_dock_lists(spark):
+    albums = spark.createDataFrame([(1, "b 10", "user"), (2, "b 9", "user"), (3, "a", "smart"), (4, "C", "user")], "album_id long, title string, kind string")
+    ids = lambda df: [r.album_id for r in df.orderBy("position").collect()]
+    visits = spark.createDataFrame([(4, datetime(2024, 1, 2)), (1, datetime(2024, 1, 1)), (3, datetime(2024, 1, 3))], "album_id long, at timestamp")
+    assert ids(library.dock_list(albums, "all")) == [2, 1, 4] and ids(library.dock_list(albums, "all", reverse=True)) == [4, 1, 2]
+    assert ids(library.dock_list(albums, "starred", starred=[4, 3, 9, 2])) == [4, 2]
+    assert ids(library.dock_list(albums, "recent", visits=visits)) == [4, 1] and ids(library.dock_list(albums, "recent", visits=visits.where("false"))) == [2, 1, 4]
+    assert ids(library.dock_list(albums, "joined", joined=visits, query=" B ")) == [1]
+    with pytest.raises(ValueError):
+        library.dock_list(albums, "other")
+
+
+def test_join_album_makes_it(spark):
+    albums = spark.createDataFrame([(1, "a", "user")], "album_id long, title string, kind string")
+    members = spark.createDataFrame([(1, 10)], "album_id long, asset_id long")
+    known, ids = spark.createDataFrame([(10,), (11,)], "asset_id long"), spark.createDataFrame([(10,), (11,), (11,), (99,)], "asset_id long")
+    got = [values(t) for t in mutations.join_album(albums, members, known, 2, "b", ids)]
+    assert got == [[(1, "a", "user"), (2, "b", "user")], [(1, 10), (2, 10), (2, 11)], [(10, 2), (11, 1)]]
+    assert values(mutations.join_album(albums, members, known, 1, "c", ids)[0]) == [(1, "c", "user")]
+
+
+def test_fold_of_a_deleted_asset_that_comes_again(spark):
+    feed = spark.createDataFrame([(1, datetime(2024, 1, 1), 10, "delete", 1), (2, datetime(2024, 1, 2), 10, "insert", 2), (3, datetime(2024, 1, 3), 11, "update", 3)], "sequence long, at timestamp, asset_id long, op string, bytes long")
+    assert {r.asset_id: r.op for r in mutations.fold(feed).collect()} == {10: "delete", 11: "upsert"}
+
+
+def test_notes_and_model_versions(spark):
+    rows = spark.createDataFrame([(2, "Le CAFÉ", "a"), (1, "cafe\u0301 noir", "b"), (3, None, None), (4, "tea", "a")], "asset_id long, note string, model_version string")
+    assert [r.asset_id for r in predicates.note_search(rows, " Cafè ").collect()] == [1, 2] and predicates.note_search(rows, " ").count() == 0
+    assert values(predicates.same_model(rows, "a").select("asset_id")) == [(2,), (4,)]
+
+
+def test_longest_exact_place(spark):
+    said = [("a", "sunset Tokyo tower"), ("b", "在北京市的猫"), ("c", "x"), ("d", None), ("e", "no such one"), ("f", "rome and paris"), ("g", "PARIS")]
+    got = {r.request_id: (r.place, r.at, r.length, r.remainder) for r in places.longest_exact(spark.createDataFrame(said, "request_id string, clause string"), places.gazetteer(spark)).collect()}
+    assert got["a"] == ("Tokyo", 7, 7, "sunsettower")  # the spaces around the name go with it
+    assert got["b"] == ("Beijing", 2, 3, "在的猫") and got["f"][0] == "Paris" and got["g"] == ("Paris", 1, 5, "") and set(got) == {"a", "b", "f", "g"}
+
+
 def test_upsert_keeps_columns(spark):
     old = spark.createDataFrame([(1, "a", 7), (2, "b", 8)], "k long, v string, n int")
     new = spark.createDataFrame([(2, None, 0), (3, "c", 0)], "k long, v string, n int")
