@@ -69,12 +69,12 @@ def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id"
     """(key, place, at, length, remainder and the place's numbers) of the clauses that hold a place's whole name: the longest run of 2 to INSIDE
     characters that is one, with or without an ending, the leftmost of these; spaces around the name belong to the run. remainder: the clause without it, white space as one space. Keys should be distinct.
 
-    All runs of a clause are generated as rows and joined with the gazetteer, which is a list in the program."""
+    All runs of a clause are generated in one pass per length and joined with the gazetteer, which is a list in the program."""
     said = clauses.where(F.length(column) >= 2).select(key, column)
-    sizes = F.sequence(F.lit(2), F.least(F.lit(INSIDE), F.length(column)))
-    runs = F.flatten(F.transform(sizes, lambda n: F.transform(F.sequence(F.lit(1), F.length(column) - n + 1), lambda i: F.struct(i.alias("at"), n.alias("length"), F.trim(F.lower(F.substring(F.col(column), i, n))).alias("key")))))
-    rows = said.select(F.col(key), F.inline(runs))
-    rows = rows.withColumn("key", F.explode(F.array_distinct(F.array("key", F.regexp_replace("key", ENDS, "")))))
+    runs = F.array(*(F.struct(F.lit(n).alias("length"), F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)).alias("all")) for n in range(2, INSIDE + 1)))
+    rows = said.select(F.col(key), F.inline(runs)).select(key, "length", F.posexplode("all").alias("at", "run"))
+    rows = rows.select(F.col(key), (F.col("at") + 1).alias("at"), "length", F.trim(F.lower("run")).alias("run"))
+    rows = rows.withColumn("key", F.explode(F.when(F.col("run").rlike(ENDS), F.array("run", F.regexp_replace("run", ENDS, ""))).otherwise(F.array("run")))).drop("run")
     numbers = ("place", "latitude", "longitude", "radius")
     found = rows.join(F.broadcast(places), "key").groupBy(F.col(key)).agg(F.min_by(F.struct("at", "length", *numbers), F.struct(-F.col("length"), "at", "place")).alias("b"))
     left = F.concat(F.substring(F.col(column), F.lit(1), F.col("b.at") - 1), F.substring(F.col(column), F.col("b.at") + F.col("b.length"), F.length(column)))
