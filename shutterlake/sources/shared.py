@@ -25,10 +25,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's setting to drop the shuffle files of a query as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def write(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """df at path, and read from there. The shuffle files of the write go when it has ended, as nothing else reads them."""
+    spark, before = df.sparkSession, df.sparkSession.conf.get(_CLEANUP, None)
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before or "false")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
