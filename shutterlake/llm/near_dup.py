@@ -291,16 +291,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of near-duplicates: that of the smallest id (of rows with that id, one); null ids stay.
 
-    Texts do not move for it: the ids to keep meet the rows, and only rows of ids that occur more than once are ordered."""
+    Rows move once, by id: the join with the ids to keep and the choice among rows of one id share the shuffle."""
     rows, names = numbered(docs)
     key, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    kept = near_duplicates(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    kept = written(kept, "near-kept")
-    one = rows.join(kept, F.col(key).cast("long") == F.col("doc_id"))
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(text))
-    several = one.where("copies > 1").withColumn("turn", F.row_number().over(order)).where("turn = 1")
-    whole = one.where("copies = 1").select(names).unionByName(several.select(names)).unionByName(rows.where(F.col(key).isNull()))
-    return whole.toDF(*docs.columns)
+    kept = written(near_duplicates(docs, id_col, text_col).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "near-kept")
+    one = rows.withColumn("doc_id", F.col(key).cast("long")).join(kept, "doc_id", "left_semi")
+    one = one.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(text)))).where("turn = 1")
+    return one.select(names).unionByName(rows.where(F.col(key).isNull())).toDF(*docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
