@@ -9,14 +9,14 @@ from __future__ import annotations
 import re
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates
+from ..functions import dates, geo
 from ..functions.text import fold_width
 from . import places
 from .predicates import CandidateFilter
-from .search import Encoder, Search, search
+from .search import Encoder, Search, diagnostics, search
 
 #: The words of the rules, Chinese and English.
 LEADING = (
@@ -139,17 +139,28 @@ def implied_places(plans: DataFrame, gazetteer: DataFrame) -> DataFrame:
     return rows.withColumn("combine", F.when((F.col("combine") == "or") & (F.size("positive") == 0), "and").otherwise(F.col("combine"))).drop("b")
 
 
-def ask(assets: DataFrame, text: str, encoder: Encoder, now: datetime, limit: int = 60) -> DataFrame:
-    """Analyse one request and search: an unknown place becomes one more clause; kinds other than image and video are not filtered by."""
-    spark = assets.sparkSession
+def understood(spark: SparkSession, text: str, encoder: Encoder, now: datetime) -> tuple[Search, dict]:
+    """(request, notes for `search.diagnostics`) of one text: an unknown place becomes one more clause; kinds other than image and video are not filtered by."""
     gazetteer = places.gazetteer(spark)
     plan = implied_places(analyse(spark.createDataFrame([(0, text)], "request_id int, text string"), now), gazetteer).first()
-    positive, place = list(plan.positive), next((p[2:5] for p in places.PLACES if plan.implied == p[0]), None)
+    positive, named, unresolved = list(plan.positive), plan.implied, None
     if plan.place:
-        found = places.resolve(spark.createDataFrame([(plan.place,)], "mention string"), gazetteer).first()
-        entry = next((p for p in places.PLACES if found.place == p[0]), None)
-        place = entry and entry[2:5]
-        positive += [] if entry else [plan.place]
+        named = places.resolve(spark.createDataFrame([(plan.place,)], "mention string"), gazetteer).first().place
+        unresolved = None if named else plan.place
+        positive += [plan.place] if unresolved else []
+    place = next((p[2:5] for p in places.PLACES if named == p[0]), None)
+    crosses = named if place and spark.range(1).select(geo.box(*place)["crosses"]).first()[0] else None
     flt = CandidateFilter(after=plan.date_start, before=plan.date_end, media_type={"image": 1, "video": 2}.get(plan.media), favorite=plan.favorite, place=place, required=tuple(plan.terms))
     request = Search([encoder.encode(c) for c in positive], [encoder.encode(c) for c in plan.negative], plan.combine, flt, constrained=not plan.empty)
-    return search(assets, request, limit)
+    return request, {"clauses": [*positive, *plan.negative], "unresolved": unresolved, "crosses": crosses}
+
+
+def ask(assets: DataFrame, text: str, encoder: Encoder, now: datetime, limit: int = 60) -> DataFrame:
+    """Analyse one request and search."""
+    return search(assets, understood(assets.sparkSession, text, encoder, now)[0], limit)
+
+
+def explain(assets: DataFrame, text: str, encoder: Encoder, now: datetime, limit: int = 60) -> DataFrame:
+    """Diagnostics of what `ask` does with the text."""
+    request, notes = understood(assets.sparkSession, text, encoder, now)
+    return diagnostics(assets, request, limit=limit, **notes)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalise
+from ..sources.shared import written
 from .library import album_counts
 
 
@@ -145,6 +146,46 @@ def first_per_path(rows: DataFrame, path: str = "path", order: str = "ordinal")
     return named.unionByName(rows.where(F.col(path).isNull()))
 
 
+def repicked(rows: DataFrame, picked: DataFrame, path: str = "path", order: str = "ordinal", keep: tuple[str, ...] = ()) -> DataFrame:
+    """first_per_path with a picked row put in: it refreshes the row of its path, but for the order and the columns of keep, or comes anew."""
+    return upsert(first_per_path(rows, path, order), picked, path, keep=(order, *keep))
+
+
+def natural_upsert(old: DataFrame, new: DataFrame, keys: list[str], key: str, order: str) -> DataFrame:
+    """old with the latest row (by order) of each natural key in new: what exists keeps its id in `key`, what is new gets the hash of its natural key."""
+    fresh = latest(new, keys, order).drop(order)
+    made = F.md5(F.to_json(F.array(*(F.col(k).cast("string") for k in keys))))
+    return upsert(old, fresh, keys, keep=(key,)).withColumn(key, F.coalesce(key, made))
+
+
+def without_owners(owners: DataFrame, owned: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(owners, owned) without the owners of gone, and without what they own."""
+    ids = gone.select(key).distinct()
+    return owners.join(ids, key, "left_anti"), owned.join(ids, key, "left_anti")
+
+
+def if_idle(before: DataFrame, after: DataFrame, state: DataFrame) -> DataFrame:
+    """A change applied ahead of the sync: after, if state (one row: indexed, running) has an index and no run is under way, else before.
+
+    The sync that follows finds the change done; upserts, memberships and deletes change nothing when they come again."""
+    return before if state.where("indexed AND NOT running").isEmpty() else after
+
+
+def slotted(stored: DataFrame, more: DataFrame, dimension: int) -> DataFrame:
+    """(asset_id, vector, slot) of the vectors of more that stored (asset_id, slot) lacks: slots without a gap after the last one, by asset_id.
+
+    Vectors of another dimension are left out, and of two vectors of an asset the greater one. Ranges of ids are numbered each in its task; only their counts are added up."""
+    last = stored.agg((F.coalesce(F.max("slot"), F.lit(-1)) + 1).alias("_next"))
+    one = more.where(F.size("vector") == dimension).groupBy("asset_id").agg(F.max("vector").alias("vector"))
+    fresh = one.join(stored.select("asset_id"), "asset_id", "left_anti").repartitionByRange("asset_id")
+    parts = written(fresh.withColumn("_part", F.spark_partition_id()), "slots")
+    lower = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = parts.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("asset_id")) - 1
+    numbered = parts.withColumn("_own", own).join(F.broadcast(offsets), "_part").join(F.broadcast(last))
+    return numbered.select("asset_id", "vector", (F.col("_next") + F.col("_offset") + F.col("_own")).cast("long").alias("slot"))
+
+
 def fold(changes: DataFrame) -> DataFrame:
     """(asset_id, op, and the last values): all changes of a batch as one per asset. A delete anywhere wins, so late rows of a deleted asset do nothing."""
     value = F.max_by(F.struct("at", "bytes"), F.struct("sequence")).alias("v")

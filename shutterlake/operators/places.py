@@ -17,6 +17,23 @@ PLACES = (
     ("Vienna", "wien", 48.2082, 16.3738, 25), ("New York", "nyc 纽约", 40.7128, -74.006, 50), ("San Francisco", "sf 旧金山", 37.7749, -122.4194, 40), ("Los Angeles", "la 洛杉矶", 34.0522, -118.2437, 60),
     ("Chicago", "", 41.8781, -87.6298, 40), ("Toronto", "", 43.6532, -79.3832, 40), ("Mexico City", "", 19.4326, -99.1332, 50), ("Rio de Janeiro", "rio", -22.9068, -43.1729, 45),
     ("Cairo", "", 30.0444, 31.2357, 40), ("Cape Town", "", -33.9249, 18.4241, 40), ("Fiji", "斐济", -17.7134, 178.065, 250), ("Iceland", "冰岛", 64.9631, -19.0208, 300),
+    ("Guangzhou", "广州", 23.1291, 113.2644, 60), ("Shenzhen", "深圳", 22.5431, 114.0579, 40), ("Chengdu", "成都", 30.5728, 104.0668, 60), ("Hangzhou", "杭州", 30.2741, 120.1551, 50),
+    ("Nanjing", "南京", 32.0603, 118.7969, 50), ("Wuhan", "武汉", 30.5928, 114.3055, 60), ("Chongqing", "重庆", 29.563, 106.5516, 80), ("Suzhou", "苏州", 31.2989, 120.5853, 40),
+    ("Tianjin", "天津", 39.3434, 117.3616, 60), ("Qingdao", "青岛", 36.0671, 120.3826, 50), ("Xiamen", "厦门", 24.4798, 118.0894, 30), ("Kunming", "昆明", 24.8801, 102.8329, 50),
+    ("Harbin", "哈尔滨", 45.8038, 126.535, 50), ("Sanya", "三亚", 18.2528, 109.5119, 40), ("Lhasa", "拉萨", 29.652, 91.1721, 40), ("Macau", "澳门", 22.1987, 113.5439, 15),
+    ("Taipei", "台北", 25.033, 121.5654, 30), ("Sapporo", "札幌", 43.0618, 141.3545, 35), ("Nagoya", "名古屋", 35.1815, 136.9066, 30), ("Okinawa", "冲绳", 26.5, 127.9, 80),
+    ("Busan", "釜山", 35.1796, 129.0756, 30), ("Hanoi", "河内", 21.0278, 105.8342, 35), ("Kuala Lumpur", "吉隆坡", 3.139, 101.6869, 35), ("Jakarta", "雅加达", -6.2088, 106.8456, 45),
+    ("Bali", "巴厘岛", -8.4095, 115.1889, 90), ("Manila", "马尼拉", 14.5995, 120.9842, 35), ("Phuket", "普吉", 7.8804, 98.3923, 35), ("Mumbai", "孟买", 19.076, 72.8777, 45),
+    ("Delhi", "德里", 28.7041, 77.1025, 50), ("Kathmandu", "加德满都", 27.7172, 85.324, 30), ("Dubai", "迪拜", 25.2048, 55.2708, 50), ("Istanbul", "伊斯坦布尔", 41.0082, 28.9784, 50),
+    ("Moscow", "莫斯科", 55.7558, 37.6173, 50), ("Athens", "雅典", 37.9838, 23.7275, 30), ("Barcelona", "巴塞罗那", 41.3851, 2.1734, 25), ("Lisbon", "里斯本", 38.7223, -9.1393, 25),
+    ("Milan", "米兰", 45.4642, 9.19, 25), ("Venice", "威尼斯", 45.4408, 12.3155, 20), ("Florence", "佛罗伦萨", 43.7696, 11.2558, 15), ("Naples", "那不勒斯", 40.8518, 14.2681, 25),
+    ("Munich", "慕尼黑", 48.1351, 11.582, 30), ("Hamburg", "汉堡", 53.5511, 9.9937, 30), ("Prague", "布拉格", 50.0755, 14.4378, 25), ("Budapest", "布达佩斯", 47.4979, 19.0402, 25),
+    ("Warsaw", "华沙", 52.2297, 21.0122, 30), ("Zurich", "苏黎世", 47.3769, 8.5417, 20), ("Geneva", "日内瓦", 46.2044, 6.1432, 20), ("Brussels", "布鲁塞尔", 50.8503, 4.3517, 20),
+    ("Copenhagen", "哥本哈根", 55.6761, 12.5683, 25), ("Stockholm", "斯德哥尔摩", 59.3293, 18.0686, 30), ("Oslo", "奥斯陆", 59.9139, 10.7522, 25), ("Helsinki", "赫尔辛基", 60.1699, 24.9384, 25),
+    ("Dublin", "都柏林", 53.3498, -6.2603, 25), ("Edinburgh", "爱丁堡", 55.9533, -3.1883, 20), ("Seattle", "西雅图", 47.6062, -122.3321, 40), ("Las Vegas", "拉斯维加斯", 36.1699, -115.1398, 35),
+    ("Boston", "波士顿", 42.3601, -71.0589, 30), ("Miami", "迈阿密", 25.7617, -80.1918, 40), ("Hawaii", "夏威夷", 20.7967, -156.3319, 350), ("Vancouver", "温哥华", 49.2827, -123.1207, 30),
+    ("Montreal", "蒙特利尔", 45.5019, -73.5674, 30), ("Buenos Aires", "", -34.6037, -58.3816, 40), ("Lima", "利马", -12.0464, -77.0428, 35), ("Santiago", "圣地亚哥", -33.4489, -70.6693, 35),
+    ("Nairobi", "内罗毕", -1.2921, 36.8219, 30), ("Marrakesh", "马拉喀什", 31.6295, -7.9811, 25), ("Melbourne", "墨尔本", -37.8136, 144.9631, 45), ("Auckland", "奥克兰", -36.8509, 174.7645, 40),
 )
 #: Endings that a place name may carry.
 SUFFIXES = ("特别行政区", "自治区", "省", "市", "区", "县", " city", " province", " county", " island")
@@ -99,6 +116,12 @@ def grid(assets: DataFrame, size: float = 0.02) -> DataFrame:
     return cells.groupBy("cell_lat", "cell_lon").agg(F.count("*").alias("n"), F.min("asset_id").alias("representative"))
 
 
+def grid_members(assets: DataFrame, size: float = 0.02) -> DataFrame:
+    """(asset_id, representative): the cluster of every valid point; a list of a cluster's members, in order, is these rows sorted."""
+    points = assets.where(geo.valid(F.col("latitude"), F.col("longitude"))).select("asset_id", geo.cell(F.col("latitude"), size).alias("cell_lat"), geo.cell(F.col("longitude"), size).alias("cell_lon"))
+    return points.join(grid(assets, size), ["cell_lat", "cell_lon"]).select("asset_id", "representative")
+
+
 def clusters(assets: DataFrame, most: int = 400, size: float = 0.02) -> DataFrame:
     """(cluster, n, latitude, longitude): a grid whose cells double until there are at most `most`; each merges cells by the place of its representative.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -130,6 +131,19 @@ def norm_check(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("vector").alias("n"), F.round(F.max(F.abs(vectors.norm(F.col("vector")) - 1)), 5).alias("worst"), F.min(F.size("vector")).alias("least_dimension"), F.max(F.size("vector")).alias("most_dimension"))
 
 
+def diagnostics(assets: DataFrame, request: Search, clauses: Sequence[str] = (), limit: int = RESULTS, unresolved: str | None = None, crosses: str | None = None) -> DataFrame:
+    """One row about a request: candidate_count, scored_count, used_vectors, clauses, unresolved (a place that nobody knows) and warnings.
+
+    crosses: the name of a place whose box goes around the world, as it crosses the antimeridian."""
+    used = bool(request.positive or request.negative)
+    nothing = not used and not request.constrained
+    notes = ["the request says nothing to search by"] * nothing + [f"no place is known as {unresolved}"] * bool(unresolved) + [f"the area of {crosses} crosses the antimeridian: all longitudes count"] * bool(crosses)
+    rows = candidates(assets, request.filter, request.candidates if used else _clamped(limit)).where(F.lit(not nothing))
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    counts = rows.agg(F.count(F.lit(1)).alias("candidate_count"), (F.count("vector") if used else F.lit(0).cast("long")).alias("scored_count"))
+    return counts.select("*", F.lit(used).alias("used_vectors"), texts(clauses).alias("clauses"), F.lit(unresolved).cast("string").alias("unresolved"), texts(notes).alias("warnings"))
+
+
 def observed(rows: DataFrame, name: str = "candidates") -> tuple[DataFrame, Observation]:
     """rows, and an observation that has their number and those with a vector once an action has run: diagnostics without another pass."""
     seen = Observation(name)

@@ -29,7 +29,7 @@ def within_budget(files: DataFrame, budget: int, key: str = "asset_id", at: str
 def sample(rows: DataFrame, n: int, seed: int, key: str = "asset_id", excluding: DataFrame | None = None) -> DataFrame:
     """n rows, uniform and without replacement, the same for the same seed."""
     rows = rows if excluding is None else rows.join(excluding, key, "left_anti")
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", key, F.lit(seed))), key).limit(n)
 
 
 def review_queue(queue: DataFrame, removed: DataFrame, assets: DataFrame) -> DataFrame:

@@ -198,6 +198,8 @@ ORACLE = {
     "anniversary_days": with_views(""", x AS (SELECT asset_id, month(created) AS m, day(created) AS d FROM assets), y AS (SELECT asset_id, make_date(2001, m, least(d, day(last_day(make_date(2001, m, 1))))) AS t, make_date(2002, m, least(d, day(last_day(make_date(2002, m, 1))))) AS n FROM x)
   SELECT asset_id, (CASE WHEN t >= DATE '2001-06-15' THEN t ELSE n END - DATE '2001-06-15')::INT AS days FROM y""", *_A),
     "month_grid": with_views("SELECT DISTINCT dayofweek(date_trunc('month', created))::INT AS blank, day(last_day(created))::INT AS days, date_trunc('month', created)::DATE AS month FROM assets", *_A),
+    "random_sample": with_views("SELECT asset_id FROM assets WHERE asset_id NOT IN (SELECT asset_id FROM members) ORDER BY md5(asset_id || ':7'), asset_id LIMIT 50", "assets", "members"),
+    "random_day": with_views("SELECT asset_id, created::DATE AS day FROM assets WHERE created::DATE = (SELECT created::DATE FROM assets WHERE created IS NOT NULL ORDER BY md5(created::DATE::VARCHAR || ':3'), 1 LIMIT 1)", *_A),
     "season_filter": with_views("SELECT asset_id FROM assets WHERE media_type = 1 AND created >= DATE '1997-12-01' AND created < DATE '1998-03-01'", *_A),
     "rolling_window_filter": with_views("SELECT asset_id FROM assets WHERE created >= DATE '2001-06-15' - 90 AND created < DATE '2001-06-15'", *_A),
     "week_filter": with_views("SELECT asset_id FROM assets WHERE created >= DATE '2001-06-04' AND created < DATE '2001-06-11'", *_A),

@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import places as G
 from ..operators import predicates as P
 from ..operators import search as H
+from ..sources import files as I
 from ..sources import tables as S
 from ..sources.tables import with_views
 
@@ -113,12 +114,66 @@ f AS (SELECT e.*, place FROM e JOIN k USING (key) QUALIFY row_number() OVER (PAR
 SELECT request_id, place, "at"::INT AS "at", length::INT AS length, md5(trim(regexp_replace(text[1 : "at" - 1] || text["at" + length :], '\\s+', ' ', 'g'))) AS remainder FROM f"""
 
 
-_MENTIONS = ("Tokyo", "tokyo city", "东京都", "Paris in spring", "nyc", "Nowhere", "北京市", "San Francisco bay", "")
+_MENTIONS = ("Tokyo", "tokyo city", "东京都", "Paris in spring", "nyc", "Nowhere", "北京市", "San Francisco bay", "Suva, Fiji", "fiji  Islands", "")
 
 
 def _places(spark, sf):
+    """A few mentions, and the distinct first two words of all conversation turns."""
     said = spark.createDataFrame([(m,) for m in _MENTIONS], "mention string")
-    return G.resolve(said, G.gazetteer(spark)).select("mention", "place", "tier", *(F.round(c, 4).alias(c) for c in ("south", "north", "west", "east")), "crosses")
+    turns = S.read(spark, sf, "conversations").select(F.substring_index("text", " ", 2).alias("mention")).where("mention IS NOT NULL")
+    return G.resolve(said.union(turns).distinct(), G.gazetteer(spark)).select("mention", "place", "tier", *(F.round(c, 4).alias(c) for c in ("south", "north", "west", "east")), "crosses")
+
+
+def _places_sql():
+    keys = sorted({(key, name, float(lat), float(lon), float(km)) for name, others, lat, lon, km in G.PLACES for n in (name, *others.split()) for key in G.names_of(n)})
+    return f"""WITH k (key, place, lat, lon, km) AS (VALUES {", ".join(map(repr, keys))}), m AS (SELECT unnest({list(_MENTIONS)!r}) AS mention UNION SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM conversations WHERE text IS NOT NULL),
+t AS (SELECT mention, trim(regexp_replace(lower(mention), '\\s+', ' ', 'g')) AS said FROM m), w AS (SELECT *, string_split(said, ' ') AS words FROM t),
+a AS (SELECT mention, 1 AS tier, said AS key FROM w UNION SELECT mention, 2, regexp_replace(said, '{G.ENDS}', '') FROM w UNION SELECT mention, 3, unnest(list_transform(range(1, len(words) + 1), lambda i: array_to_string(words[1:i], ' '))) FROM w
+  UNION SELECT mention, 3, unnest(list_transform(range(2, length(said) + 1), lambda i: said[1:i])) FROM w),
+f AS (SELECT mention, tier, k.* FROM a JOIN k USING (key) QUALIFY row_number() OVER (PARTITION BY mention ORDER BY tier, length(key) DESC, place) = 1),
+x AS (SELECT *, km / 111.32 AS d, km / (111.32 * greatest(cos(radians(lat)), 0.01)) AS e FROM f), y AS (SELECT *, lon - e < -180 OR lon + e > 180 AS crosses FROM x),
+z AS (SELECT mention, place, tier, round(greatest(lat - d, -90), 4) AS south, round(least(lat + d, 90), 4) AS north, round(CASE WHEN crosses OR e >= 180 THEN -180 ELSE lon - e END, 4) AS west, round(CASE WHEN crosses OR e >= 180 THEN 180 ELSE lon + e END, 4) AS east, crosses FROM y)
+SELECT mention, place, tier, south, north, west, east, crosses FROM m LEFT JOIN z USING (mention)"""
+
+
+def _clusters_sql(most, size):
+    """The doubling of cells, level by level; a level that is coarse enough goes through all that follow."""
+    steps = [f"""c0 AS MATERIALIZED (SELECT min(asset_id) AS cluster, count(*) AS n, arg_min(latitude, asset_id) AS latitude, arg_min(longitude, asset_id) AS longitude FROM searchable
+  WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY floor(latitude / {size}), floor(longitude / {size}))"""]
+    while size < 360:
+        size, k = size * 2, len(steps)
+        steps.append(f"""c{k} AS MATERIALIZED (SELECT min(cluster) AS cluster, sum(n)::BIGINT AS n, arg_min(latitude, cluster) AS latitude, arg_min(longitude, cluster) AS longitude FROM c{k - 1} WHERE (SELECT count(*) FROM c{k - 1}) > {most}
+  GROUP BY floor(latitude / {size}), floor(longitude / {size}) UNION ALL SELECT * FROM c{k - 1} WHERE (SELECT count(*) FROM c{k - 1}) <= {most})""")
+    return with_views(f", {', '.join(steps)} SELECT * FROM c{len(steps) - 1}", "searchable")
+
+
+def _rankings(spark, sf):
+    """The lines of every order as one line of a log, and read back."""
+    fields = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    rows = S.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("hits"))  # the lines of one order
+    text_ = F.array_join(F.transform("hits", lambda h: F.concat(F.lit("p:"), h["l_partkey"].cast("string"), F.lit(":"), h["l_extendedprice"].cast("string"))), " ")
+    return I.evaluation_log(rows.select(F.concat(F.lit("eval|order "), F.col("l_orderkey").cast("string"), F.lit("|"), text_).alias("value")))
+
+
+def _log_plans(spark, sf):
+    """Plan lines of all customers; where two are told of one customer, the later one counts."""
+    c = S.read(spark, sf, "customer")
+    line = lambda n, value: c.select(F.concat(F.lit("evalplan|"), F.col("c_custkey").cast("string"), F.lit("|nation="), F.col("c_nationkey").cast("string"), F.lit("|segment="), value, F.lit("|last")).alias("value"), F.lit(n).alias("n"))
+    return I.evaluation_plans(line(1, F.lit("early=x")).unionByName(line(2, F.col("c_mktsegment")).where("c_custkey % 2 = 0")), order="n")
+
+
+def _log_meta(spark, sf):
+    s = S.searchable(spark, sf)
+    place = [F.coalesce(F.floor(c).cast("string"), F.lit("")) for c in ("latitude", "longitude")]
+    return I.evaluation_meta(s.select(F.concat(F.lit(" evalmeta|"), "status", F.lit("|"), F.col("asset_id").cast("string"), F.lit("|"), F.concat_ws(",", *place, F.to_date("created").cast("string"))).alias("value")))
+
+
+def _diagnosed(spark, sf):
+    rows = S.searchable(spark, sf)
+    rows = rows.withColumn("vector", F.when(F.col("status") != "pending", F.col("vector")))
+    request = H.Search([[1.0]], [], "and", P.CandidateFilter(media_type=1, place=_BOX))
+    out = H.diagnostics(rows, request, ["cats"], unresolved="Nowhere")
+    return out.withColumns({c: F.array_join(c, "|") for c in ("clauses", "warnings")})
 
 
 QUERIES = {
@@ -147,6 +202,11 @@ QUERIES = {
     "geo_box": lambda s, d: S.searchable(s, d).where("latitude IS NOT NULL").select("asset_id", *(F.round(v, 5).alias(k) if k != "crosses" else v.alias(k) for k, v in geo.box(F.col("latitude"), F.col("longitude"), 250.0).items())),
     "geo_grid": lambda s, d: G.grid(S.searchable(s, d), 5.0),
     "geo_clusters": lambda s, d: G.clusters(S.searchable(s, d), 40),
+    "geo_grid_members": lambda s, d: G.grid_members(S.searchable(s, d), 5.0),
+    "log_rankings": _rankings,
+    "log_plans": _log_plans,
+    "log_meta": _log_meta,
+    "search_diagnostics": _diagnosed,
     "gazetteer_check": lambda s, d: G.validate(G.gazetteer(s, FAULTY)),
     "model_guard": _guarded,
     "implied_places": _implied,
@@ -182,6 +242,14 @@ ORACLE = {
     "geo_box": with_views("""SELECT asset_id, round(greatest(latitude - d, -90), 5) AS south, round(least(latitude + d, 90), 5) AS north, round(CASE WHEN x OR e >= 180 THEN -180 ELSE longitude - e END, 5) AS west, round(CASE WHEN x OR e >= 180 THEN 180 ELSE longitude + e END, 5) AS east, x AS crosses
   FROM (SELECT *, longitude - e < -180 OR longitude + e > 180 AS x FROM (SELECT *, 250 / 111.32 AS d, 250 / (111.32 * greatest(cos(radians(latitude)), 0.01)) AS e FROM searchable WHERE latitude IS NOT NULL))""", "searchable"),
     "geo_grid": with_views("SELECT floor(latitude / 5.0)::BIGINT AS cell_lat, floor(longitude / 5.0)::BIGINT AS cell_lon, count(*) AS n, min(asset_id) AS representative FROM searchable WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 GROUP BY 1, 2", "searchable"),
+    "geo_clusters": _clusters_sql(40, 0.02),
+    "geo_grid_members": with_views("SELECT asset_id, min(asset_id) OVER (PARTITION BY floor(latitude / 5.0), floor(longitude / 5.0)) AS representative FROM searchable WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180", "searchable"),
+    "place_resolution": _places_sql(),
+    "log_rankings": "SELECT 'eval' AS kind, 'order ' || l_orderkey AS query, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice)::INT AS rank, 'p:' || l_partkey AS item, l_extendedprice AS score FROM lineitem",
+    "log_plans": """SELECT c_custkey::VARCHAR AS query, 'nation' AS field, c_nationkey::VARCHAR AS value FROM customer UNION ALL SELECT c_custkey::VARCHAR, 'segment', CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'early=x' END FROM customer
+  UNION ALL SELECT c_custkey::VARCHAR, 'last', '' FROM customer""",
+    "log_meta": with_views("SELECT status AS query, asset_id::VARCHAR AS item, coalesce(floor(latitude)::INT::VARCHAR, '') AS latitude, coalesce(floor(longitude)::INT::VARCHAR, '') AS longitude, created::DATE::VARCHAR AS date FROM searchable", "searchable"),
+    "search_diagnostics": with_views(f"SELECT count(*) AS candidate_count, count(*) AS scored_count, true AS used_vectors, 'cats' AS clauses, 'Nowhere' AS unresolved, 'no place is known as Nowhere' AS warnings FROM searchable WHERE status <> 'pending' AND media_type = 1 AND {_IN_BOX}", "searchable"),
     "gazetteer_check": f"WITH {_FAULTY}",
     "model_guard": with_views("SELECT asset_id, round(list_dot_product(vector, (SELECT vector FROM searchable WHERE asset_id = 4)), 6) AS score FROM searchable WHERE asset_id % 3 <> 0 ORDER BY score DESC, asset_id LIMIT 25", "searchable"),
     "implied_places": _implied_sql(),

@@ -10,6 +10,7 @@ from ..operators import cleanup as C
 from ..operators import mutations as M
 from ..operators import predicates as P
 from ..operators import workspace as W
+from ..sources import files as I
 from ..sources import tables as S
 from ..sources.tables import with_views
 
@@ -110,6 +111,56 @@ def _history(spark, sf):
     return W.history(c.where("sequence % 2 = 0"), c.where("sequence % 2 = 1"), at="sequence")
 
 
+def _slots(spark, sf):
+    """Half of the vectors appended to nothing, then all of them to those."""
+    rows = S.searchable(spark, sf).select("asset_id", F.col("vector").cast("array<double>").alias("vector"))
+    dimension = 64
+    first = M.slotted(rows.select("asset_id", F.lit(0).cast("long").alias("slot")).where("false"), rows.where("asset_id % 2 = 0"), dimension)
+    return first.unionByName(M.slotted(first, rows, dimension)).select("asset_id", "slot")
+
+
+def _repicked(spark, sf):
+    """Every visited path once; every third asset picked again, and some that were never there."""
+    rows = S.changes(spark, sf).select(F.col("asset_id").alias("path"), F.col("sequence").alias("ordinal"), F.col("op").alias("name"))
+    picked = S.assets(spark, sf).where("asset_id % 3 = 0").select(F.col("asset_id").alias("path"), F.lit("picked").alias("name"))
+    return M.repicked(rows, picked)
+
+
+def _remote(spark, sf):
+    """Albums on servers: every third is renamed twice, and every one gets a neighbour of the same name on server 99."""
+    s = S.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("server"), F.col("s_name").alias("path"), F.col("s_suppkey").cast("string").alias("album_id"), F.col("s_name").alias("title"))
+    renamed = [s.where("cast(album_id AS int) % 3 = 0").select("server", "path", F.lit(f"name {k}").alias("title"), F.lit(k).alias("seen")) for k in (1, 2)]
+    new = s.select(F.lit(99).alias("server"), "path", F.lit("new").alias("title"), F.lit(3).alias("seen"))
+    return M.natural_upsert(s, renamed[0].union(renamed[1]).union(new), ["server", "path"], "album_id", "seen")
+
+
+def _unserved(part):
+    """Regions, and the nations of those that stay, without every second region."""
+
+    def run(spark, sf):
+        regions = S.read(spark, sf, "region").select(F.col("r_regionkey").alias("server"), F.col("r_name").alias("title"))
+        nations = S.read(spark, sf, "nation").select(F.col("n_regionkey").alias("server"), F.col("n_name").alias("title"))
+        return M.without_owners(regions, nations, regions.where("server % 2 = 1"), "server")[part]
+
+    return run
+
+
+def _optimistic(spark, sf):
+    """Members added ahead of the sync, and once more by it."""
+    more = S.assets(spark, sf).where("asset_id % 3 = 0").select(F.lit(3).cast("long").alias("album_id"), "asset_id")
+    state = spark.sql("SELECT true AS indexed, false AS running")
+    before = S.members(spark, sf)
+    early = M.if_idle(before, M.add_members(before, more, S.assets(spark, sf)), state)
+    return M.add_members(early, more, S.assets(spark, sf))
+
+
+def _listing(spark, sf):
+    s = S.read(spark, sf, "supplier")
+    name = F.when(F.col("s_suppkey") % 4 == 0, F.concat("s_name", F.lit("$"))).otherwise(F.col("s_name"))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, F.lit(3)).when(F.col("s_suppkey") % 3 == 1, F.lit(2147483648)).otherwise(F.lit(0))
+    return I.shares(s.select(name.alias("name"), kind.alias("type"), F.col("s_nationkey").alias("comment")))
+
+
 QUERIES = {
     "size_histogram": lambda s, d: C.size_histogram(S.assets(s, d)),
     "daily_storage": lambda s, d: C.daily_storage(S.assets(s, d)),
@@ -141,6 +192,13 @@ QUERIES = {
     "apply_changes": lambda s, d: M.apply_changes(_table(s, d), M.fold(S.changes(s, d))),
     "first_per_path": lambda s, d: M.first_per_path(S.changes(s, d).select("sequence", F.when(F.col("asset_id") % 2 == 0, F.col("asset_id")).alias("path"), F.col("sequence").alias("ordinal")).select("sequence", "path", "ordinal")),
     "compression_history": _history,
+    "vector_slots": _slots,
+    "repicked_paths": _repicked,
+    "remote_albums": _remote,
+    "servers_kept": _unserved(0),
+    "server_albums_kept": _unserved(1),
+    "optimistic_members": _optimistic,
+    "share_listing": _listing,
 }
 
 ORACLE = {
@@ -174,4 +232,13 @@ ORACLE = {
     "apply_changes": with_views(f''', {_FEED}, {_FOLD}, t AS (SELECT asset_id, min("at") AS "at", 0::BIGINT AS bytes FROM changes WHERE sequence % 10 = 0 GROUP BY asset_id) SELECT asset_id, "at", bytes FROM t WHERE asset_id NOT IN (SELECT asset_id FROM folded) UNION ALL SELECT asset_id, "at", bytes FROM folded WHERE op = 'upsert' ''', "changes"),
     "first_per_path": with_views(", p AS (SELECT sequence, CASE WHEN asset_id % 2 = 0 THEN asset_id END AS path, sequence AS ordinal FROM changes) SELECT * FROM p QUALIFY path IS NULL OR row_number() OVER (PARTITION BY path ORDER BY ordinal) = 1", "changes"),
     "compression_history": with_views(", h AS (SELECT asset_id, sequence, op = 'update' AS replaced FROM changes) SELECT * FROM h QUALIFY NOT replaced OR row_number() OVER (PARTITION BY asset_id, replaced ORDER BY sequence DESC) = 1", "changes"),
+    "vector_slots": with_views("SELECT asset_id, row_number() OVER (ORDER BY asset_id % 2, asset_id) - 1 AS slot FROM searchable", "searchable"),
+    "repicked_paths": with_views(""", f AS (SELECT asset_id AS path, min(sequence) AS ordinal, arg_min(op, sequence) AS name FROM changes GROUP BY 1), p AS (SELECT asset_id AS path FROM assets WHERE asset_id % 3 = 0)
+SELECT path, ordinal, CASE WHEN path IN (SELECT path FROM p) THEN 'picked' ELSE name END AS name FROM f UNION ALL SELECT path, NULL, 'picked' FROM p WHERE path NOT IN (SELECT path FROM f)""", "changes", "assets"),
+    "remote_albums": """SELECT s_nationkey AS server, s_name AS path, s_suppkey::VARCHAR AS album_id, CASE WHEN s_suppkey % 3 = 0 THEN 'name 2' ELSE s_name END AS title FROM supplier
+UNION ALL SELECT 99, s_name, md5('["99","' || s_name || '"]'), 'new' FROM supplier""",
+    "servers_kept": "SELECT r_regionkey AS server, r_name AS title FROM region WHERE r_regionkey % 2 = 0",
+    "server_albums_kept": "SELECT n_regionkey AS server, n_name AS title FROM nation WHERE n_regionkey % 2 = 0",
+    "optimistic_members": with_views("SELECT album_id, asset_id FROM members UNION SELECT 3, asset_id FROM assets WHERE asset_id % 3 = 0", "members", "assets"),
+    "share_listing": "SELECT s_name AS name, s_nationkey AS comment FROM supplier WHERE s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0",
 }

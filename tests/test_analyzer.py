@@ -81,3 +81,18 @@ def test_implied_places(spark):
     assert got[2][0] is None and got[2][2] == "Paris"
     assert got[3] == ("Beijing", ["猫"], None) and got[4] == (None, ["海边"], None)
     assert got[5] == ("Kyoto", [], None) and got[6] == ("Rome", ["dogs", "Paris"], None)
+
+
+def test_diagnostics(spark):
+    schema = "asset_id long, created timestamp, media_type int, favorite boolean, latitude double, longitude double, text string, vector array<double>"
+    rows = [(1, NOW, 1, True, -17.7, 178.0, None, [1.0, 0.0]), (2, NOW, 2, False, None, None, "x", None), (3, NOW, 1, False, 48.85, 2.35, None, [0.0, 1.0])]
+    df, encoder = spark.createDataFrame(rows, schema), search.ConceptEncoder(["cat"])
+    told = lambda text: analyzer.explain(df, text, encoder, NOW).first()
+    got = told("cat in Fiji")
+    assert (got.candidate_count, got.scored_count, got.used_vectors, got.clauses, got.unresolved) == (1, 1, True, ["cat"], None) and "Fiji" in got.warnings[0]
+    got = told("cat in Atlantis")
+    assert got.unresolved == "Atlantis" and len(got.warnings) == 1 and (got.candidate_count, got.scored_count) == (2, 2)
+    got = told("")
+    assert (got.candidate_count, got.scored_count, got.used_vectors) == (0, 0, False) and len(got.warnings) == 1
+    got = told("favorite photos")
+    assert (got.candidate_count, got.scored_count, got.used_vectors, got.warnings) == (1, 0, False, [])

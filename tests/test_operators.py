@@ -249,8 +249,74 @@ def test_snapshot_and_log(spark, tmp_path):
     assert values(files.restore_albums(spark, str(tmp_path / "s"), "album_id long, title string", known)) == [(2, "y")]
     with pytest.raises(ValueError):
         files.restore_albums(spark, str(tmp_path / "s"), "album_id long, title string", known, version=2)
-    log = spark.createDataFrame([("12:00 eval|a|b|3|cat.png|0.5",), ("noise",)], "value string")
-    assert values(files.evaluation_log(log)) == [("eval", "a|b", 3, "cat.png", 0.5)]
+
+
+LOG = """eval|cats|old.png:0.9
+  eval|cats|a.png:0.5 C:b.png:-0.25 nothing x:y c.png:1e-1
+similar|a.png|b.png:0.75
+eval|none|
+12:00 eval|skipped|a:1
+evalplan|cats|candidates=3|combine=and=or|bare|candidates=4
+evalmeta|cats|a.png|1.5,-2.0,2024-01-01,late
+evalmeta|cats|b.png|
+"""
+
+
+def test_log(spark):
+    lines = spark.createDataFrame([*enumerate(LOG.splitlines()), (99, None), (100, "")], "n int, value string")
+    hits = [("eval", "cats", 1, "a.png", 0.5), ("eval", "cats", 2, "C:b.png", -0.25), ("eval", "cats", 3, "c.png", 0.1)]
+    assert values(files.evaluation_log(lines, order="n")) == [*hits, ("similar", "a.png", 1, "b.png", 0.75)]
+    assert ("eval", "cats", 1, "old.png", 0.9) in values(files.evaluation_log(lines))
+    plan = [("cats", "bare", ""), ("cats", "candidates", "4"), ("cats", "combine", "and=or")]
+    assert values(files.evaluation_plans(lines, order="n")) == plan
+    assert values(files.evaluation_meta(lines)) == [("cats", "a.png", "1.5", "-2.0", "2024-01-01,late"), ("cats", "b.png", "", "", "")]
+
+
+def test_vectors_are_appended_once(spark, tmp_path):
+    path = str(tmp_path / "vectors")
+    schema = "asset_id long, vector array<double>"
+    files.append_vectors(spark, path, spark.createDataFrame([(7, [1.0, 0.0]), (3, [0.0, 1.0]), (3, [1.0, 1.0]), (9, [1.0]), (8, None)], schema), 2)
+    for _ in range(2):
+        files.append_vectors(spark, path, spark.createDataFrame([(7, [5.0, 5.0]), (1, [0.5, 0.5])], schema), 2)
+    assert values(files.stored_vectors(spark, path)) == [(1, [0.5, 0.5], 2), (3, [1.0, 1.0], 0), (7, [1.0, 0.0], 1)]
+
+
+def test_early_change_waits_for_a_run(spark):
+    before, after = spark.range(1), spark.range(2)
+    for indexed, running, n in ((True, False, 2), (True, True, 1), (False, False, 1), (None, None, 1)):
+        state = spark.createDataFrame([(indexed, running)], "indexed boolean, running boolean")
+        assert mutations.if_idle(before, after, state).count() == n
+    assert mutations.if_idle(before, after, spark.createDataFrame([], "indexed boolean, running boolean")).count() == 1
+
+
+def test_natural_keys(spark):
+    schema = "server string, path string, album_id string, title string"
+    old = spark.createDataFrame([("s", "/a", "1", "A"), ("s", "/b", "2", "B")], schema)
+    new = spark.createDataFrame([("s", "/a", "A2", 2), ("s", "/a", "A1", 1), ("t", "/a", "T", 1)], "server string, path string, title string, seen int")
+    got = {(r.server, r.path): (r.album_id, r.title) for r in mutations.natural_upsert(old, new, ["server", "path"], "album_id", "seen").collect()}
+    assert got["s", "/a"] == ("1", "A2") and got["s", "/b"] == ("2", "B") and len(got["t", "/a"][0]) == 32
+    owners, owned = mutations.without_owners(old.select("server").distinct(), old, spark.createDataFrame([("s",)], "server string"), "server")
+    assert owners.count() == owned.count() == 0
+
+
+def test_shares(spark):
+    rows = [("Photo 10", 0, "x"), ("photo 9", 0x80000000, None), ("IPC$", 3, ""), ("C$", 0, ""), ("printer", 1, ""), (None, 0, ""), ("n", None, "")]
+    assert [r.name for r in files.shares(spark.createDataFrame(rows, "name string, type long, comment string")).collect()] == ["photo 9", "Photo 10"]
+
+
+def test_progress_is_told_at_a_bounded_rate():
+    from types import SimpleNamespace as N
+
+    from shutterlake.streaming.progress import Progress
+
+    now, told = [0.0], []
+    p = Progress(lambda *x: told.append(x), clock=lambda: now[0])
+    p.onQueryStarted(N(id="q"))
+    for batch, at in enumerate((0.0, 0.1, 0.24, 0.25, 0.3, 0.6)):
+        now[0] = at
+        p.onQueryProgress(N(progress=N(id="q", batchId=batch, numInputRows=5)))
+    p.onQueryTerminated(N(id="q"))
+    assert [(e, b) for e, _, b, _ in told] == [("started", -1), ("progress", 0), ("progress", 3), ("progress", 5), ("ended", -1)]
 
 
 def test_stream_of_changes(spark, tmp_path):
