@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, html_extract, lm_score, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter
+from . import chat_format, clustering, decontaminate, html_extract, lm_score, merkle, mixing, near_dup, quality, secret_scan, sql, substring_dedup, url_filter, warc
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,9 @@ QUERIES: dict = {
     "op8_secret_scan": secret_scan.op8,
     "op9_near_dedup": near_dup.op9,
     "op10_lm_score": lm_score.op10,
+    "op11_warc": warc.op11,
+    "op12_merkle_manifest": merkle.op12,
+    "op13_centroid_clusters": clustering.op13,
     "pipeline": pipeline,
 }
 
@@ -34,6 +37,9 @@ ORACLE: dict = {
     "op8_secret_scan": sql.OP8,
     "op6_chat_format": sql.OP6,
     "op9_near_dedup": sql.OP9,
+    "op11_warc": sql.OP11,
+    "op12_merkle_manifest": sql.OP12,
+    "op13_centroid_clusters": sql.OP13,
 }
 
 

@@ -99,3 +99,57 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sum(13 + length({_TURN}) + length({_SAID}))::BIGINT AS formatted_chars,
   bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user') WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant' WHEN before = 'assistant' THEN role IN ('user', 'tool') ELSE role IN ('assistant', 'tool') END) AS valid
 FROM s GROUP BY conv_id"""
+
+
+_LETTER = " + ".join(f"{16 >> k} * (bits[5 * i + {k + 1}] = '1')::INT" for k in range(5))
+OP11 = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first, unhex(sha1(html))::BIT::VARCHAR AS bits FROM p)
+SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + {_LETTER}]), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
+def _encoded(field: str) -> str:
+    return f"CASE WHEN {field} IS NULL THEN '-' ELSE octet_length(encode({field}::VARCHAR)) || ':' || {field}::VARCHAR END"
+
+
+def _leaf(chars: str) -> str:
+    return "sha256(" + " || ".join(_encoded(f) for f in ("doc_id", "source", "lang", chars, "text")) + ")"
+
+
+def _tree(name: str, rows: str, levels: int) -> str:
+    """CTEs over rows (rid, g, idx, n, h, folded): {name}_h (g, h): the roots; {name}_d (rid, proof, folded)."""
+    steps = [f"{name}_h0 AS MATERIALIZED (SELECT g, idx, n, h FROM {rows}), {name}_d0 AS MATERIALIZED (SELECT rid, g, idx AS i, '' AS proof, folded FROM {rows})"]
+    for k in range(levels):
+        steps.append(f"""{name}_d{k + 1} AS MATERIALIZED (SELECT rid, d.g, i // 2 AS i, proof || coalesce(s.h, '') AS proof,
+    CASE WHEN o.n > 1 THEN sha256(CASE WHEN i % 2 = 1 THEN s.h ELSE '' END || folded || CASE WHEN i % 2 = 0 THEN coalesce(s.h, '') ELSE '' END) ELSE folded END AS folded
+    FROM {name}_d{k} d JOIN {name}_h{k} o ON o.g = d.g AND o.idx = d.i LEFT JOIN {name}_h{k} s ON s.g = d.g AND s.idx = xor(d.i, 1)),
+  {name}_h{k + 1} AS MATERIALIZED (SELECT g, idx // 2 AS idx, (any_value(n) + 1) // 2 AS n, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY idx)) ELSE any_value(h) END AS h FROM {name}_h{k} GROUP BY g, idx // 2)""")
+    return ", ".join(steps) + f", {name}_h AS (SELECT g, h FROM {name}_h{levels}), {name}_d AS (SELECT rid, proof, folded FROM {name}_d{levels})"
+
+
+#: A step of the reflected polynomial of crc32 for a bit.
+_BITS = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END)"
+_CRC = f"xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)), lambda c, b: {_BITS}))"
+OP12 = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, lang, {_leaf("n_chars")} AS h, CASE WHEN {_CRC} % 7 = 0 THEN {_leaf("(n_chars + 1)")} ELSE {_leaf("n_chars")} END AS folded FROM documents),
+inner_rows AS MATERIALIZED (SELECT rid, doc_id, h, folded, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM docs),
+{_tree("inner", "inner_rows", 18)},
+outer_rows AS MATERIALIZED (SELECT rid, 0 AS g, r.g AS idx, (SELECT count(*) FROM inner_h) AS n, o.h, d.folded FROM inner_rows r JOIN inner_h o USING (g) JOIN inner_d d USING (rid)),
+tops AS MATERIALIZED (SELECT DISTINCT 0 AS g, idx, n, h FROM outer_rows),
+{_tree("outer", "outer_rows", 6).replace("SELECT g, idx, n, h FROM outer_rows", "SELECT g, idx, n, h FROM tops")}
+SELECT doc_id, r.h AS leaf, o.h AS subroot, t.h AS root, sha256(i.proof || d.proof) AS proof_sha256, d.folded AS folded_root, d.folded = t.h AS verified
+FROM inner_rows r JOIN inner_h o USING (g) JOIN inner_d i USING (rid) JOIN outer_d d USING (rid) CROSS JOIN outer_h t"""
+
+
+def _clusters(k: int, rounds: int, dimension: int) -> str:
+    steps = [f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dimension})""", f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v AS w FROM kept ORDER BY sha256('2:' || vec_id) LIMIT {k})"]
+    for r in range(rounds + 1):
+        steps.append(f"far{r} AS (SELECT rid, vec_id, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM kept CROSS JOIN c{r}), a{r} AS MATERIALIZED (SELECT rid, vec_id, any_value(v) AS v, arg_min(c, row(d, c)) AS c, min(d) AS d FROM far{r} GROUP BY rid, vec_id)")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT c, pos, sum(v[pos]) AS s, count(*) AS n FROM a{r} CROSS JOIN range(1, {dimension + 1}) AS u(pos) GROUP BY c, pos),
+w{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY pos)::BIGINT[] AS w FROM m{r} GROUP BY c), c{r + 1} AS MATERIALIZED (SELECT c0.c, coalesce(w{r}.w, c0.w) AS w FROM c{r} c0 LEFT JOIN w{r} ON w{r}.c = c0.c)""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c::INT AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (c)"""
+
+
+OP13 = _clusters(40, 5, 64)

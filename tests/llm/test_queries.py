@@ -18,7 +18,7 @@ def test_against_sql(spark, oracle, rows, name):
 
 def test_names():
     have = set(registry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {q[: q.index("_") + 1] for q in have - {"pipeline"}}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[: q.index("_") + 1] for q in have - {"pipeline"}}
 
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, host string, word int, chunk int, key int, kind int"
@@ -33,6 +33,24 @@ ODD = [
 ]
 
 
+def vector(*xs):
+    return [float(x) for x in xs] + [0.5] * (64 - len(xs))
+
+
+VECTORS = [
+    (1, None, 0, 7, "x"),
+    (2, [], 0, 7, "x"),
+    (3, vector(1, float("nan")), 0, 7, "x"),
+    (4, vector(float("inf")), 0, 7, "x"),
+    (5, [*vector()[:-1], None], 0, 7, "x"),
+    (6, vector(1e30), 0, 7, "x"),
+    (7, vector(-1), 0, 7, None),
+    (7, vector(-1), 0, 7, None),
+    (7, vector(2, 3), None, None, "x"),
+    (None, vector(-0.001), 0, 7, "x"),
+]
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     return spark.createDataFrame(ODD, DOCS)
@@ -47,6 +65,7 @@ def odd_dir(spark, odd, tmp_path_factory):
         "pages": pages,
         "benchmark": spark.createDataFrame([(1, None), (2, ""), (3, "g h i j k l. m n o p")], "item_id long, text string"),
         "labels": spark.createDataFrame([(1, None, None), (3, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int"),
+        "embeddings": spark.createDataFrame(VECTORS, "vec_id long, embedding array<float>, label int, cluster int, v string"),
         "conversations": spark.createDataFrame([(1, 1, "user", None), (1, 2, None, "x"), (None, None, "tool", "<|end|>\n"), (1, 1, "user", None)], "conv_id long, turn long, role string, text string"),
     }
     full, empty = (str(tmp_path_factory.mktemp(n)) for n in ("odd", "none"))
@@ -61,7 +80,7 @@ def test_odd_rows_and_empty_tables(spark, odd_dir, name):
     full, empty = odd_dir
     got = registry.queries()[name](spark, full).collect()
     if name != "pipeline":
-        assert len(got) == (4 if name in ("op3_url_filter", "op7_html_extract") else len(ODD))
+        assert len(got) == (4 if name in ("op3_url_filter", "op7_html_extract", "op11_warc", "op13_centroid_clusters") else len(ODD))
     none = registry.queries()[name](spark, empty)
     assert none.collect() == [] and none.columns == registry.queries()[name](spark, SF).columns
 
