@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from . import trees
 from .predicates import SlideshowFilter
 
 NEWEST = (F.desc, "created"), (F.desc, "asset_id")
@@ -186,9 +187,10 @@ def dock_list(albums: DataFrame, which: str, joined: DataFrame | None = None, vi
 def folder_previews(folders: DataFrame, albums: DataFrame) -> DataFrame:
     """(folder_id, preview): the first preview in a folder, its own albums (folder_id, album_id, title, preview) by title before those of the folders below it, depth first; null if none has one."""
     own = albums.where("folder_id IS NOT NULL AND preview IS NOT NULL").groupBy("folder_id").agg(F.min_by("preview", F.struct(natural_key(F.col("title")), "album_id")).alias("preview"))
-    inside = folder_paths(folders).select(F.explode("path").alias("above"), "folder_id", "path").join(own, "folder_id", "left")
-    first = F.min_by("preview", F.when(F.col("preview").isNotNull(), F.col("path")))
-    return inside.groupBy("above").agg(first.alias("preview")).withColumnRenamed("above", "folder_id")
+    nodes = trees.outline(trees.forest(folders)).join(own.withColumnRenamed("folder_id", "id"), "id", "left")
+    first = F.when(F.col("preview").isNotNull(), F.struct("place", "preview"))
+    inside = trees.closed(nodes.select("id", "up", first.alias("first")), {"first": "min"})
+    return inside.select(F.col("id").alias("folder_id"), F.col("first.preview").alias("preview"))
 
 
 def signature(rows: DataFrame, authorised: str) -> DataFrame:
@@ -204,34 +206,25 @@ def if_ready(rows: DataFrame, meta: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ready)).drop("_ready")
 
 
-def without_folder_parents(folders: DataFrame) -> DataFrame:
-    """Folders that are nobody's child. folders: folder_id, parent_id."""
-    return folders.where(F.col("parent_id").isNull()).unionByName(folders.where(F.col("parent_id").isNotNull()).join(folders.select(F.col("folder_id").alias("parent_id")), "parent_id", "left_anti").select(folders.columns))
+def folder_paths(folders: DataFrame) -> DataFrame:
+    """(folder_id, depth, path): every folder with its way from the root, itself last; folders on or below a cycle are roots of depth 0.
 
+    path is as long as the tree is deep; folder_outline orders a listing without it."""
+    nodes = trees.forest(folders).withColumn("path", F.array("id"))
+    rows = trees.closed(nodes, above={"path": F.concat})
+    return rows.select(F.col("id").alias("folder_id"), (F.size("path") - 1).alias("depth"), "path")
 
-def folder_paths(folders: DataFrame) -> DataFrame:
-    """(folder_id, depth, path): every folder under its root, by a recursive CTE; folders on a cycle come last, as roots of depth 0.
-
-    path orders a depth-first listing. A folder that it already holds ends the walk, so cycles are harmless."""
-    spark = folders.sparkSession
-    without_folder_parents(folders).createOrReplaceTempView("_roots")
-    folders.createOrReplaceTempView("_folders")
-    walked = spark.sql(
-        """WITH RECURSIVE walk (folder_id, depth, path) AS (
-             SELECT folder_id, 0, array(folder_id) FROM _roots
-             UNION ALL
-             SELECT f.folder_id, w.depth + 1, concat(w.path, array(f.folder_id)) FROM walk w JOIN _folders f ON f.parent_id = w.folder_id WHERE NOT array_contains(w.path, f.folder_id))
-           SELECT * FROM walk"""
-    )
-    left = folders.join(walked.select("folder_id"), "folder_id", "left_anti").select("folder_id", F.lit(0).alias("depth"), F.array("folder_id").alias("path"))
-    return walked.unionByName(left)
+
+def folder_outline(folders: DataFrame) -> DataFrame:
+    """(folder_id, depth, place): place orders a depth-first listing, siblings by id; folders on or below a cycle come last, as roots."""
+    return trees.outline(trees.forest(folders)).select(F.col("id").alias("folder_id"), "depth", "place")
 
 
 def folder_rollup(folders: DataFrame, counts: DataFrame) -> DataFrame:
-    """(folder_id, albums, assets): counts (folder_id, albums, assets) summed over each folder and all below it."""
-    inside = folder_paths(folders).select(F.explode("path").alias("above"), "folder_id")
-    facts = inside.join(counts, "folder_id", "left").groupBy("above").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("albums", "assets")))
-    return facts.withColumnRenamed("above", "folder_id")
+    """(folder_id, albums, assets): counts (folder_id, albums, assets) summed over each folder and all below it. Folders on or below a cycle have their own counts."""
+    own = counts.select(F.col("folder_id").alias("id"), *(F.col(c).cast("long").alias(c) for c in ("albums", "assets")))
+    nodes = trees.forest(folders).join(own, "id", "left").na.fill(0, ["albums", "assets"])
+    return trees.closed(nodes, {"albums": "sum", "assets": "sum"}).select(F.col("id").alias("folder_id"), "albums", "assets")
 
 
 def empty_folders(folders: DataFrame, counts: DataFrame) -> DataFrame:
@@ -242,8 +235,11 @@ def empty_folders(folders: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.join(above, "parent_id", "left_anti").select("folder_id")
 
 
-def tree_rows(folders: DataFrame, expanded: Iterable[int]) -> DataFrame:
-    """Rows of a tree view: folders whose ancestors are all expanded, with depth; path gives the order."""
-    open_ = F.array(*(F.lit(int(x)) for x in expanded)) if list(expanded) else F.array().cast("array<int>")
-    above = F.slice("path", 1, F.size("path") - 1)
-    return folder_paths(folders).where(F.forall(F.when(F.size("path") > 1, above).otherwise(F.array().cast("array<int>")), lambda x: F.array_contains(open_, x)))
+def tree_rows(folders: DataFrame, expanded: Iterable[int], ordered: bool = False) -> DataFrame:
+    """(folder_id, depth) of a tree view: folders whose ancestors are all expanded; with ordered, also their `place` in the listing."""
+    ids = [int(x) for x in expanded]
+    nodes = trees.forest(folders)
+    shown = F.col("up").isNull() | F.col("up").isin(ids)
+    rows = trees.closed(nodes.select("id", "up", F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.coalesce(shown, F.lit(False)).alias("shown")), above={"depth": trees.added, "shown": lambda a, b: a & b})
+    rows = rows.where("shown OR loop").select(F.col("id").alias("folder_id"), F.when(F.col("loop"), 0).otherwise(F.col("depth")).alias("depth"))
+    return rows.join(folder_outline(folders).drop("depth"), "folder_id") if ordered else rows

@@ -31,6 +31,15 @@ def _folder_counts(spark, sf):
     return kept.groupBy((F.col("folder_id") + 100).cast("int").alias("folder_id")).agg(F.count("*").alias("albums"), F.sum("asset_count").alias("assets"))
 
 
+def _threads(spark, sf):
+    """Conversations as trees of folders: a turn lies in the turn before it; every turn is an album, its characters are assets."""
+    turns = S.read(spark, sf, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL")
+    name = lambda back: F.concat_ws(":", F.col("conv_id"), F.col("turn") - back)
+    folders = turns.select(name(0).alias("folder_id"), name(1).alias("parent_id"))
+    counts = turns.groupBy(name(0).alias("folder_id")).agg(F.count("*").alias("albums"), F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("assets"))
+    return folders, counts
+
+
 _CATALOGUE = """catalogue AS (SELECT a.album_id, a.title, a.kind, CASE WHEN kind <> 'shared' THEN folder_id END AS folder_id, coalesce(n, 0) AS asset_count, preview FROM albums a LEFT JOIN
   (SELECT album_id, count(*) AS n, arg_max(asset_id, row(created, asset_id)) AS preview FROM members JOIN assets USING (asset_id) GROUP BY album_id) f USING (album_id) WHERE kind <> 'smart' OR coalesce(n, 0) > 0)"""
 _FOLDERS = """folders AS (SELECT r_regionkey AS folder_id, NULL::INT AS parent_id FROM region UNION ALL SELECT n_nationkey + 100, n_regionkey FROM nation),
@@ -130,6 +139,8 @@ QUERIES = {
     "album_dock_starred": lambda s, d: L.dock_list(S.albums(s, d), "starred", starred=[7, 1, 123456789, 2], query="supplier").select("album_id", "position"),
     "album_dock_all": lambda s, d: L.dock_list(S.albums(s, d), "all", query="00001", reverse=True).select("album_id", "position"),
     "note_search": lambda s, d: P.note_search(S.read(s, d, "documents").select(F.col("doc_id").alias("asset_id"), F.col("text").alias("note")), " ÉN ").select("asset_id"),
+    "folder_outline": lambda s, d: L.folder_outline(_folders(s, d)),
+    "thread_rollup": lambda s, d: L.folder_rollup(*_threads(s, d)),
     "folder_tree": lambda s, d: L.tree_rows(_folders(s, d), [1, 3]).select("folder_id", "depth"),
     "timeline_year": _timeline("year"),
     "timeline_month": _timeline("month"),
@@ -191,6 +202,9 @@ ORACLE = {
     "album_dock_starred": with_views("SELECT album_id, row_number() OVER (ORDER BY list_position([7, 1, 2], album_id)) - 1 AS position FROM albums WHERE kind = 'user' AND album_id IN (7, 1, 2) AND contains(lower(title), 'supplier')", "albums"),
     "album_dock_all": with_views(f"SELECT album_id, row_number() OVER (ORDER BY {_KEY} DESC, album_id DESC) - 1 AS position FROM albums WHERE kind = 'user' AND contains(lower(title), '00001')", "albums"),
     "note_search": "SELECT doc_id AS asset_id FROM documents WHERE contains(lower(strip_accents(text)), 'en') ORDER BY 1",
+    "folder_outline": with_views(f", {_CATALOGUE}, {_FOLDERS} SELECT folder_id, depth, row_number() OVER (ORDER BY path) - 1 AS place FROM walk", "assets", "albums", "members", recursive=True),
+    "thread_rollup": """WITH t AS (SELECT conv_id, turn, count(*) AS n, sum(coalesce(length(text), 0)) AS chars FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL), r AS (SELECT *, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM t)
+  SELECT conv_id || ':' || turn AS folder_id, sum(n) OVER w AS albums, sum(chars) OVER w AS assets FROM r WINDOW w AS (PARTITION BY conv_id, run ORDER BY turn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
     "folder_tree": "SELECT r_regionkey AS folder_id, 0 AS depth FROM region UNION ALL SELECT n_nationkey + 100, 1 FROM nation WHERE n_regionkey IN (1, 3)",
     "timeline_year": _timeline_sql("year"),
     "timeline_month": _timeline_sql("month"),
