@@ -28,6 +28,22 @@ def box(lat: Column | float, lon: Column | float, radius_km: Column | float) ->
     }
 
 
+def strips(lat: Column | float, lon: Column | float, radius_km: Column | float) -> Column:
+    """array of (south, north, west, east): the box as it is on a globe. One that crosses the antimeridian is two strips, one wider than the globe is all of it."""
+    lat, lon, radius = _value(lat), _value(lon), _value(radius_km)
+    b = box(lat, lon, radius)
+    d_lon = radius / (KM_PER_DEGREE * F.greatest(F.cos(F.radians(lat)), F.lit(0.01)))
+    strip = lambda west, east: F.struct(b["south"].alias("south"), b["north"].alias("north"), west.alias("west"), east.alias("east"))
+    edge = lambda x: F.lit(x)
+    west, east = lon - d_lon, lon + d_lon
+    return (
+        F.when(d_lon >= 180, F.array(strip(edge(-180.0), edge(180.0))))
+        .when(west < -180, F.array(strip(edge(-180.0), east), strip(west + 360, edge(180.0))))
+        .when(east > 180, F.array(strip(west, edge(180.0)), strip(edge(-180.0), east - 360)))
+        .otherwise(F.array(strip(west, east)))
+    )
+
+
 def valid(lat: Column, lon: Column) -> Column:
     """Both present and in range; never null."""
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))

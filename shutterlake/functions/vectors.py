@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def dot(a: Column, b: Column) -> Column:
     """In double; null if the lengths differ."""
@@ -41,3 +46,108 @@ def scores(vector: Column, queries: list[list[float]]) -> Column:
         return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()), mask=pa.array(~there))
 
     return F.arrow_udf(product, "array<double>")(vector)
+
+
+#: Vectors in a packed row, and packed rows that meet in a task at most, about: 64 of a thousand vectors.
+BLOCK, GROUP = 1024, 64
+
+
+def packed(rows: DataFrame, key: str, vector: str, block: int = BLOCK) -> DataFrame:
+    """(block, ids, size, data): rows packed, `block` vectors to a row, where they are; null keys and vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, serial, ids, parts = TaskContext.get().partitionId() << 32, 0, [], []
+
+        def row() -> pa.RecordBatch:
+            keys, data = np.concatenate(ids), np.concatenate(parts)
+            return pa.RecordBatch.from_pydict({"block": pa.array([at + serial]), "ids": pa.array([keys]), "size": pa.array([data.shape[1]], pa.int32()), "data": pa.array([data.tobytes()], pa.binary())})
+
+        held = 0
+        for b in batches:
+            vectors = b.column(1)
+            sizes = np.diff(np.asarray(vectors.offsets))
+            if len(sizes) and (sizes != sizes[0]).any() or parts and len(sizes) and sizes[0] != parts[0].shape[1]:
+                raise ValueError("vectors are not of one length")
+            matrix = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(sizes), -1)
+            keys, at_row = b.column(0).to_numpy(), 0
+            while at_row < len(keys):
+                take = min(block - held, len(keys) - at_row)
+                ids.append(keys[at_row : at_row + take])
+                parts.append(matrix[at_row : at_row + take])
+                held, at_row = held + take, at_row + take
+                if held == block:
+                    yield row()
+                    serial, ids, parts, held = serial + 1, [], [], 0
+        if held:
+            yield row()
+
+    there = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    return there.mapInArrow(run, "block long, ids array<long>, size int, data binary")
+
+
+def _matrix(ids: pa.ListScalar, data: pa.BinaryScalar, size: int) -> tuple[np.ndarray, np.ndarray]:
+    return ids.values.to_numpy(), np.frombuffer(data.as_buffer(), np.float64).reshape(-1, size)
+
+
+def _best(rows: list[np.ndarray], k: int) -> list[np.ndarray]:
+    """Of (query row, item, score): the k best of every query row, ties by item."""
+    query, item, score = rows
+    order = np.lexsort((item, -score, query))
+    query = query[order]
+    first = np.searchsorted(query, query, "left")
+    kept = order[np.arange(len(order)) - first < k]
+    return [x[kept] for x in rows]
+
+
+def scored(queries: DataFrame, rows: DataFrame, k: int | None, key: str, vector: str = "vector") -> DataFrame:
+    """(query, item, score) of every query (key, vector) against every row (key, vector), scores to six decimals; with k, of each group of rows the k best only.
+
+    Blocks of queries meet blocks of rows: both are packed, a thousand vectors to a row, and dealt by two small numbers; a task
+    multiplies the two matrices of each pair that meets and holds k results for each query of at most GROUP blocks. Queries travel
+    once for every group of rows, rows once for every group of queries, unless Spark finds one side small; no task's memory grows
+    with the tables."""
+    spark = rows.sparkSession
+    asked, all_ = (written(packed(t, key, vector), n) for t, n in ((queries, "query-blocks"), (rows, "vector-blocks")))
+    n_asked, n_all = asked.count(), all_.count()  # packed rows
+    groups_asked = max(1, -(-n_asked // GROUP))
+    groups_all = max(1, -(-n_all // GROUP), min(n_all, 2 * spark.sparkContext.defaultParallelism))
+    place = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    left = all_.withColumn("b", place(groups_all)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(groups_asked - 1))))
+    right = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns), place(groups_asked).alias("q_a"), F.explode(F.sequence(F.lit(0), F.lit(groups_all - 1))).alias("q_b"))
+    met = left.join(right, (F.col("a") == F.col("q_a")) & (F.col("b") == F.col("q_b"))).select("q_block", "q_ids", "q_size", "q_data", "ids", "size", "data")
+
+    def pairs(query: np.ndarray, item: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"query": query, "item": item, "score": score})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, list[np.ndarray], np.ndarray]] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for ids, best, _ in held.values():
+                if len(best[0]):
+                    yield pairs(ids[best[0]], best[1], best[2])
+            held.clear()
+
+        for b in batches:
+            for i in range(b.num_rows):
+                of, q_size, size = (b.column(c)[i].as_py() for c in ("q_block", "q_size", "size"))
+                if q_size != size:
+                    raise ValueError(f"a vector has not {q_size} dimensions")
+                (ids, matrix), (items, vectors) = (_matrix(b.column(x)[i], b.column(y)[i], size) for x, y in (("q_ids", "q_data"), ("ids", "data")))
+                product = np.round(matrix @ vectors.T, 6) + 0.0  # no negative zero
+                if k is None:
+                    yield pairs(np.repeat(ids, len(items)), np.tile(items, len(ids)), product.ravel())
+                    continue
+                if of not in held and len(held) >= GROUP:
+                    yield from out()
+                ids, best, least = held.get(of) or (ids, [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)], np.full(len(ids), -np.inf))
+                floor = np.maximum(least, -np.partition(-product, k - 1, axis=1)[:, k - 1]) if 0 < k <= product.shape[1] else least
+                at, col = np.nonzero(product >= floor[:, None])
+                best = _best([np.concatenate(x) for x in zip(best, (at, items[col], product[at, col]), strict=True)], k)
+                counts = np.bincount(best[0], minlength=len(ids))
+                full = np.flatnonzero(counts >= k) if k else np.zeros(0, np.int64)
+                least[full] = best[2][np.cumsum(counts)[full] - 1]
+                held[of] = ids, best, least
+        yield from out()
+
+    return met.mapInArrow(meet, "query long, item long, score double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
 from . import trees
+from .ordering import positions
 from .predicates import SlideshowFilter
 
 NEWEST = (F.desc, "created"), (F.desc, "asset_id")
@@ -78,15 +79,9 @@ def rank_of(rows: DataFrame, assets: DataFrame, asset_id: int) -> DataFrame:
     return ahead.agg(F.count("*").alias("rank"))
 
 
-def ranked(rows: DataFrame, buckets: str = "month") -> DataFrame:
-    """rows with a 0-based `rank`, newest first. Ranks are taken per period and offset by the counts of later periods, so that no task sees all rows."""
-    rows = rows.withColumn("_period", F.date_trunc(buckets, "created"))
-    counts = rows.groupBy("_period").agg(F.count("*").alias("_n"))
-    later = Window.orderBy(F.desc_nulls_last("_period")).rowsBetween(Window.unboundedPreceding, -1)  # one row per period
-    offsets = counts.select("_period", F.coalesce(F.sum("_n").over(later), F.lit(0)).alias("_offset"))
-    own = F.row_number().over(Window.partitionBy("_period").orderBy(*newest())) - 1
-    numbered = rows.withColumn("_own", own).withColumnRenamed("_period", "_p")
-    return numbered.join(F.broadcast(offsets), F.col("_p").eqNullSafe(F.col("_period"))).withColumn("rank", F.col("_offset") + F.col("_own")).drop("_p", "_period", "_offset", "_own", "_n")
+def ranked(rows: DataFrame) -> DataFrame:
+    """rows with a 0-based `rank`, newest first."""
+    return positions(rows, newest(), "rank")
 
 
 def page_of(numbered: DataFrame, page_size: int) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
+from .ordering import positions
 
 
 def ranks(scored: DataFrame) -> DataFrame:
@@ -48,10 +51,23 @@ def agreement(reference: DataFrame, other: DataFrame, k: int = 20) -> DataFrame:
     return retrieval(ranks(other), relevant, k)
 
 
-def percentiles(rows: DataFrame, column: str, by: str | None = None) -> DataFrame:
-    """p50 and p95, exact (linear between neighbours)."""
-    out = [F.round(F.percentile(column, p), 6).alias(n) for n, p in (("p50", 0.5), ("p95", 0.95))]
-    return rows.groupBy(by).agg(*out) if by else rows.agg(*out)
+def percentiles(rows: DataFrame, column: str, by: str | None = None, at: Mapping[str, float] = {"p50": 0.5, "p95": 0.95}) -> DataFrame:  # noqa: B006
+    """One row per group with the named percentiles, exact (linear between neighbours); null for a group without values.
+
+    Values are selected by their places in the order of all groups and values: a group's places begin after those of the groups
+    before, and only the two neighbours of a percentile are looked up. No task and no state holds the values of a group."""
+    label = F.col(by) if by else F.lit(0)
+    values = rows.select(label.alias("g"), F.col(column).cast("double").alias("x"))
+    placed = written(positions(values.where("x IS NOT NULL"), [F.col("g"), F.col("x")], "place"), "percentiles")
+    groups = written(placed.groupBy("g").agg(F.min("place").alias("first"), F.count("*").alias("n")), "percentile-groups")
+    wanted = groups.select("g", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), (F.col("first") + (F.col("n") - 1) * F.lit(float(p))).alias("goal")) for n, p in at.items()))).alias("w")).select("g", "w.*")
+    sides = wanted.select("*", F.explode(F.array(F.floor("goal"), F.ceil("goal"))).alias("side")).distinct()
+    found = placed.select("place", "x").join(sides, F.col("place") == F.col("side"))
+    share = F.greatest(1 - F.abs(F.col("goal") - F.col("place")), F.lit(0.0))
+    out = found.groupBy("g").pivot("name", list(at)).agg(F.round(F.sum(F.col("x") * share), 6))
+    all_ = rows.select(label.alias("_g")).distinct() if by else rows.sparkSession.range(1).select(F.lit(0).alias("_g"))
+    out = all_.join(out, F.col("_g").eqNullSafe(F.col("g")), "left").select(*([F.col("_g").alias(by)] if by else []), *at)
+    return out
 
 
 def mean_confidence(rows: DataFrame, key: str, observations: str) -> DataFrame:

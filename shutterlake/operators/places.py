@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ PLACES = (
 #: Endings that a place name may carry.
 SUFFIXES = ("特别行政区", "自治区", "省", "市", "区", "县", " city", " province", " county", " island")
 ENDS = "(" + "|".join(s.replace(" ", r"\s") for s in SUFFIXES) + ")+$"
+_ENDING = re.compile(ENDS)
 
 
 def names_of(name: str) -> list[str]:
@@ -78,31 +84,111 @@ def resolve(mentions: DataFrame, places: DataFrame, column: str = "mention") ->
     return mentions.join(found, column, "left")
 
 
-#: Longest name, in characters, that is looked for inside a clause.
+#: Longest run, in characters, that is looked for inside a clause.
 INSIDE = 8
 
 
+def _endings(text: str, at: int, room: int) -> list[int]:
+    """Lengths of the chains of endings that begin at a place of a text, up to room."""
+    out, open_ = set(), [0]
+    while open_:
+        n = open_.pop()
+        more = [n + len(s) for s in SUFFIXES if n + len(s) <= room and text.startswith(s, at + n)]
+        open_ += [m for m in more if m not in out]
+        out.update(more)
+    return sorted(out)
+
+
+def _longest(said: str, names: ahocorasick.Automaton) -> tuple[int, int, list[str]] | None:
+    """(at from 1, length, names) of the longest run that is a name, the leftmost of these."""
+    text = "".join(low if len(low := c.lower()) == 1 else "\0" for c in said)
+    best: dict[tuple[int, int], list[str]] = {}
+    for last, name in names.iter(text):
+        start = last + 1 - len(name)
+        for ending in (0, *_endings(text, last + 1, INSIDE - len(name))):
+            core = text[start : last + 1 + ending]
+            if ending and _ENDING.sub("", core) != name:
+                continue
+            room = INSIDE - len(core)
+            before = min(room, start - len(text[:start].rstrip(" ")))
+            after = text[start + len(core) :]
+            total = len(core) + before + min(room - before, len(after) - len(after.lstrip(" ")))
+            if total >= 2:
+                best.setdefault((-total, start - before), []).append(name)
+    if not best:
+        return None
+    total, at = min(best)
+    return at + 1, -total, best[total, at]
+
+
 def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id", column: str = "clause") -> DataFrame:
     """(key, place, at, length, remainder and the place's numbers) of the clauses that hold a place's whole name: the longest run of 2 to INSIDE
     characters that is one, with or without an ending, the leftmost of these; spaces around the name belong to the run. remainder: the clause without it, white space as one space. Keys should be distinct.
 
-    All runs of a clause are generated in one pass per length and joined with the gazetteer, which is a list in the program."""
-    said = clauses.where(F.length(column) >= 2).select(key, column)
-    runs = F.array(*(F.struct(F.lit(n).alias("length"), F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)).alias("all")) for n in range(2, INSIDE + 1)))
-    rows = said.select(F.col(key), F.inline(runs)).select(key, "length", F.posexplode("all").alias("at", "run"))
-    rows = rows.select(F.col(key), (F.col("at") + 1).alias("at"), "length", F.trim(F.lower("run")).alias("run"))
-    rows = rows.withColumn("key", F.explode(F.when(F.col("run").rlike(ENDS), F.array("run", F.regexp_replace("run", ENDS, ""))).otherwise(F.array("run")))).drop("run")
+    An Aho-Corasick automaton of the names (a gazetteer, a list that a program or person keeps: it goes to each task) is walked once
+    over a clause, so the cost does not depend on how many names there are; only clauses with a name make rows."""
+    known = sorted({r.key for r in places.select("key").distinct().collect() if r.key and len(r.key) <= INSIDE})
     numbers = ("place", "latitude", "longitude", "radius")
-    found = rows.join(F.broadcast(places), "key").groupBy(F.col(key)).agg(F.min_by(F.struct("at", "length", *numbers), F.struct(-F.col("length"), "at", "place")).alias("b"))
-    left = F.concat(F.substring(F.col(column), F.lit(1), F.col("b.at") - 1), F.substring(F.col(column), F.col("b.at") + F.col("b.length"), F.length(column)))
-    return found.join(said, key).select(key, "b.place", "b.at", "b.length", F.trim(F.regexp_replace(left, r"\s+", " ")).alias("remainder"), *(f"b.{n}" for n in numbers[1:]))
+
+    def found(said: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        names = ahocorasick.Automaton()
+        for name in known:
+            names.add_word(name, name)
+        names.make_automaton()
+        for batch in said:
+            hits = [_longest(c, names) if known and c else None for c in batch.to_pylist()]
+            yield pa.array([h and dict(zip(("at", "length", "keys"), h, strict=True)) for h in hits], pa.struct([("at", pa.int32()), ("length", pa.int32()), ("keys", pa.list_(pa.string()))]))
+
+    run = F.arrow_udf(found, "at int, length int, keys array<string>")
+    rows = clauses.select(key, column).withColumn("b", run(F.col(column))).where("b IS NOT NULL")
+    named = rows.select(key, column, "b.at", "b.length", F.explode("b.keys").alias("key"))
+    best = named.join(F.broadcast(places), "key").groupBy(key, column, "at", "length").agg(F.min(F.struct(*numbers)).alias("p"))
+    left = F.concat(F.substring(F.col(column), F.lit(1), F.col("at") - 1), F.substring(F.col(column), F.col("at") + F.col("length"), F.length(column)))
+    return best.select(key, "p.place", "at", "length", F.trim(F.regexp_replace(left, r"\s+", " ")).alias("remainder"), *(f"p.{n}" for n in numbers[1:]))
 
 
 def validate(places: DataFrame) -> DataFrame:
-    """(place, problem): coordinates or radius out of range, and names of more than one place."""
-    bad = places.select("place", F.array_compact(F.array(F.when(~geo.valid(F.col("latitude"), F.col("longitude")), F.lit("coordinates")), F.when(~((F.col("radius") > 0) & (F.col("radius") <= 2000)), F.lit("radius")))).alias("p"))
-    twice = places.groupBy("key").agg(F.collect_set("place").alias("ps")).where(F.size("ps") > 1).select(F.explode("ps").alias("place"), F.concat(F.lit("name: "), "key").alias("problem"))
-    return bad.select("place", F.explode("p").alias("problem")).distinct().unionByName(twice)
+    """(place, problem): coordinates or radius out of range, a box turned inside out, and names of more than one place. Rows without a place or a name have no say in the last."""
+    turned = geo.box(F.col("latitude"), F.col("longitude"), F.col("radius"))
+    wrong = (("coordinates", ~geo.valid(F.col("latitude"), F.col("longitude"))), ("radius", ~F.coalesce((F.col("radius") > 0) & (F.col("radius") <= 2000), F.lit(False))), ("box", F.coalesce((turned["south"] > turned["north"]) | (turned["west"] > turned["east"]), F.lit(False))))
+    bad = places.select("place", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in wrong))).alias("p"))
+    shared = places.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most").select(F.col("key").alias("shared"))
+    twice = places.where("place IS NOT NULL").join(shared, F.col("key") == F.col("shared")).select("place", F.concat(F.lit("name: "), "key").alias("problem"))
+    return bad.select("place", F.explode("p").alias("problem")).unionByName(twice).distinct()
+
+
+#: Smallest cell of the join of assets and places, in degrees; larger ones are this times powers of two.
+CELL = 0.25
+
+
+def _level(extent: Column) -> Column:
+    """The smallest power of two by which a cell is as wide as an extent."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(CELL)) / CELL))).cast("int")
+
+
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x / (F.pow(F.lit(2.0), level) * CELL)).cast("long")
+
+
+def located(assets: DataFrame, places: DataFrame, wrap: bool = True, key: str = "asset_id", place: str = "place") -> DataFrame:
+    """(place, key) of every asset in the box of every place. places: place, latitude, longitude, radius, any number of them.
+
+    A range join on cells: a box goes under the cells, of the size of its own height and width, that it touches (four at most); an
+    asset goes under its cell of each size that occurs (some hundred at most, whatever the tables); pairs that meet are checked.
+    wrap: a box over the antimeridian is two strips; without it, it counts for all longitudes, as in `within`.
+    Rows without a valid position give nothing; a place is one box for each distinct position and radius."""
+    b = geo.box(F.col("latitude"), F.col("longitude"), F.col("radius"))
+    whole = F.array(F.struct(*(b[k].alias(k) for k in ("south", "north", "west", "east"))))
+    shape = geo.strips(F.col("latitude"), F.col("longitude"), F.col("radius")) if wrap else whole
+    known = places.where(geo.valid(F.col("latitude"), F.col("longitude")) & (F.col("radius") >= 0)).select(place, "latitude", "longitude", "radius").distinct()
+    boxes = known.select(F.col(place).alias("place"), F.inline(shape)).withColumns({"tall": _level(F.col("north") - F.col("south")), "wide": _level(F.col("east") - F.col("west"))})
+    ends = {n: F.sequence(_cell(F.col(lo), F.col(level)), _cell(F.col(hi), F.col(level))) for n, lo, hi, level in (("row", "south", "north", "tall"), ("col", "west", "east", "wide"))}
+    boxes = written(boxes.withColumn("row", F.explode(ends["row"])).withColumn("col", F.explode(ends["col"])), "boxes")
+    sizes = boxes.select("tall", "wide").distinct()  # at most one row for each pair of powers of two up to the globe
+    points = assets.where(geo.valid(F.col("latitude"), F.col("longitude"))).select(F.col(key).alias("id"), "latitude", "longitude").join(F.broadcast(sizes))
+    points = points.select("id", "latitude", "longitude", "tall", "wide", _cell(F.col("latitude"), F.col("tall")).alias("row"), _cell(F.col("longitude"), F.col("wide")).alias("col"))
+    met = points.join(boxes, ["tall", "wide", "row", "col"]).where(geo.inside(F.col("latitude"), F.col("longitude"), {k: F.col(k) for k in ("south", "north", "west", "east")}))
+    return met.select(F.col("place").alias(place), F.col("id").alias(key))
 
 
 def within(assets: DataFrame, lat: float, lon: float, radius_km: float) -> DataFrame:
@@ -122,16 +208,33 @@ def grid_members(assets: DataFrame, size: float = 0.02) -> DataFrame:
     return points.join(grid(assets, size), ["cell_lat", "cell_lon"]).select("asset_id", "representative")
 
 
-def clusters(assets: DataFrame, most: int = 400, size: float = 0.02) -> DataFrame:
-    """(cluster, n, latitude, longitude): a grid whose cells double until there are at most `most`; each merges cells by the place of its representative.
-
-    The loop is over grouped tables and takes a count to the driver each time: 15 rounds at most, as the world is 360 degrees wide."""
+def _merged(assets: DataFrame, most: int, size: float, inside: bool) -> tuple[DataFrame, DataFrame | None]:
+    """(clusters, and with inside the cluster of each base cell's representative), both written."""
     points = assets.select(F.col("asset_id").alias("cluster"), "latitude", "longitude")
     rows = written(grid(assets, size).select(F.col("representative").alias("cluster"), "n").join(points, "cluster"), "clusters")
+    owner = rows.select(F.col("cluster").alias("representative"), "cluster") if inside else None
     while rows.count() > most and size < 360:
         size *= 2
         cells = [geo.cell(F.col(c), size).alias(f"_{c}") for c in ("latitude", "longitude")]
+        placed = rows.select("*", *cells)
         first = F.struct("latitude", "longitude")
-        rows = rows.select("*", *cells).groupBy("_latitude", "_longitude").agg(F.min("cluster").alias("c"), F.sum("n").alias("n"), F.min_by(first, "cluster").alias("at"))
+        rows = placed.groupBy("_latitude", "_longitude").agg(F.min("cluster").alias("c"), F.sum("n").alias("n"), F.min_by(first, "cluster").alias("at"))
         rows = written(rows.select(F.col("c").alias("cluster"), "n", "at.latitude", "at.longitude"), "clusters")
-    return rows
+        if inside:
+            now = rows.select(F.col("cluster").alias("now"), *(geo.cell(F.col(c), size).alias(f"_{c}") for c in ("latitude", "longitude")))
+            moved = placed.select("cluster", "_latitude", "_longitude").join(now, ["_latitude", "_longitude"]).select("cluster", "now")
+            owner = written(owner.join(moved, "cluster").select("representative", F.col("now").alias("cluster")), "cluster-owner")
+    return rows, owner
+
+
+def clusters(assets: DataFrame, most: int = 400, size: float = 0.02) -> DataFrame:
+    """(cluster, n, latitude, longitude): a grid whose cells double until there are at most `most`; each merges cells by the place of its representative.
+
+    The loop is over grouped tables and takes a count to the driver each time: 15 rounds at most, as the world is 360 degrees wide."""
+    return _merged(assets, most, size, False)[0]
+
+
+def cluster_members(assets: DataFrame, most: int = 400, size: float = 0.02) -> DataFrame:
+    """(asset_id, cluster): the cluster of clusters() that every valid point is in. Base cells keep their cluster through the rounds, so a point is looked up once, by its cell."""
+    owner = _merged(assets, most, size, True)[1]
+    return grid_members(assets, size).join(owner, "representative").select("asset_id", "cluster")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -91,6 +91,16 @@ def top_k(rows: DataFrame, query: list[float], k: int, key: str = "asset_id") ->
     return scored.orderBy(F.desc("score"), F.asc(key)).limit(max(0, k))
 
 
+def top_k_each(queries: DataFrame, rows: DataFrame, k: int, key: str = "asset_id") -> DataFrame:
+    """(query, rank, item, score): for every query (key, vector) the k best rows (key, vector) by dot product, rank from 1, ties by item.
+
+    Any number of queries: blocks of them meet blocks of rows, each keeps k results a query, and what the blocks kept is ranked
+    per query. A query without a vector gives nothing; one that is among the rows finds itself. Keys should be distinct."""
+    found = vectors.scored(queries, rows, max(0, k), key)
+    best = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("item"))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "rank", "item", "score")
+
+
 def similar(assets: DataFrame, asset_id: int, limit: int = RESULTS, floor: float = FLOOR) -> DataFrame:
     """Like the stored vector of an asset, itself left out; an unknown asset gives nothing."""
     own = assets.where(F.col("asset_id") == asset_id).select("vector").limit(1).collect()  # one vector

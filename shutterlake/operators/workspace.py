@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def recent_list(visits: DataFrame, key: str, at: str = "at", most: int = 40) -> DataFrame:
     """(key, at) of the keys visited last, each once, latest first."""
@@ -14,16 +16,14 @@ def recent_list(visits: DataFrame, key: str, at: str = "at", most: int = 40) ->
 def within_budget(files: DataFrame, budget: int, key: str = "asset_id", at: str = "created", size: str = "bytes") -> DataFrame:
     """The newest files whose running size stays within the budget (sizes missing: 0); the one that crosses it and all older ones go.
 
-    Sizes are summed per month first, so only the months up to the one that crosses the budget are looked at file by file:
-    no task sees more than what the budget holds and one month."""
+    Sizes are summed per month first, so only files of the months up to the one that crosses the budget are put in order; of
+    those, ranges of the order are summed each on its own."""
     size_ = F.coalesce(F.col(size), F.lit(0))
     month = F.date_trunc("month", at)
     newer = Window.orderBy(F.desc_nulls_last("_month")).rowsBetween(Window.unboundedPreceding, -1)  # one row per month
     months = files.groupBy(month.alias("_month")).agg(F.sum(size_).alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(newer), F.lit(0)))
-    rows = files.withColumn("_m", month).join(F.broadcast(months.where(F.col("_before") <= budget)), F.col("_m").eqNullSafe(F.col("_month")))
-    running = Window.partitionBy("_m").orderBy(F.desc_nulls_last(at), F.desc(key)).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("_before") + F.sum(size_).over(running)
-    return rows.withColumn("_total", total).where(F.col("_total") <= budget).select(files.columns)
+    near = files.join(F.broadcast(months.where(F.col("_before") <= budget).select("_month")), month.eqNullSafe(F.col("_month")), "left_semi")
+    return running(near, [F.desc_nulls_last(at), F.desc(key)], size_, "_total").where(F.col("_total") + size_ <= budget).select(files.columns)
 
 
 def sample(rows: DataFrame, n: int, seed: int, key: str = "asset_id", excluding: DataFrame | None = None) -> DataFrame:

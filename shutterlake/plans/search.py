@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import geo, text
-from ..functions.vectors import scores
+from ..functions.vectors import scored
 from ..operators import analyzer as A
 from ..operators import metrics as M
 from ..operators import places as G
@@ -53,13 +53,15 @@ def _candidates_sql(where):
     return with_views(f", s AS (SELECT *, {_SAID} AS said FROM searchable) SELECT asset_id FROM s WHERE {where}", "searchable")
 
 
-def _scored(spark, sf, start: int):
-    """Ten queries (vectors start to start + 9) against all items."""
-    rows = S.searchable(spark, sf).select("asset_id", "vector")
-    ids = list(range(start, start + 10))
-    q = H.vectors_of(rows, ids)
-    scored = rows.select(F.col("asset_id").alias("item"), F.posexplode(scores(F.col("vector"), q)).alias("at", "s"))
-    return scored.select((F.col("at") + start).cast("long").alias("query"), "item", F.round("s", 6).alias("score"))
+def _asked(rows, key="asset_id"):
+    """The queries: every row whose id is divisible by 100."""
+    return rows.where(F.col(key) % 100 == 0)
+
+
+def _scored(spark, sf):
+    """Every query against all items."""
+    rows = S.vectors(spark, sf)
+    return scored(_asked(rows), rows, None, "asset_id")
 
 
 def _plans(spark, sf):
@@ -74,23 +76,53 @@ def _relevant(spark, sf):
     e = S.read(spark, sf, "embeddings").select("vec_id", "label")
     d = S.read(spark, sf, "documents").select(F.col("doc_id").alias("vec_id"))
     e = e.join(d, "vec_id")
-    q = e.where(F.col("vec_id") < 10).select(F.col("vec_id").alias("query"), "label")
+    q = _asked(e, "vec_id").select(F.col("vec_id").alias("query"), "label")
     return q.join(e.select(F.col("vec_id").alias("item"), "label"), "label").select("query", "item").distinct()
 
 
-_SCORED = "scored AS (SELECT q.asset_id AS query, i.asset_id AS item, round(list_dot_product(i.vector, q.vector), 6) AS score FROM searchable q, searchable i WHERE q.asset_id BETWEEN 0 AND 9)"
+_SCORED = "scored AS (SELECT q.asset_id AS query, i.asset_id AS item, round(list_dot_product(i.vector, q.vector), 6) AS score FROM searchable q, searchable i WHERE q.asset_id % 100 = 0)"
 _RANKED = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM scored)"
 _PER_QUERY = """sizes AS (SELECT query, count(*) AS n FROM relevant GROUP BY query),
 per AS (SELECT s.query, coalesce(max((rank = 1)::INT), 0) AS hit_at_1, round(coalesce(count(rank) FILTER (WHERE rank <= 20) / any_value(n), 0), 6) AS recall, round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank,
   round(coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE rank <= 20), 0) / list_sum(list_transform(range(1, least(any_value(n), 20) + 1), lambda r: 1 / log2(r + 1))), 6) AS ndcg
   FROM sizes s LEFT JOIN (SELECT r.* FROM ranked r JOIN relevant USING (query, item)) h ON h.query = s.query GROUP BY s.query)"""
-_RELEVANT = "relevant AS (SELECT DISTINCT q.vec_id AS query, i.vec_id AS item FROM embeddings q JOIN embeddings i USING (label) WHERE q.vec_id < 10 AND q.vec_id IN (SELECT doc_id FROM documents) AND i.vec_id IN (SELECT doc_id FROM documents))"
+_RELEVANT = "relevant AS (SELECT DISTINCT q.vec_id AS query, i.vec_id AS item FROM embeddings q JOIN embeddings i USING (label) WHERE q.vec_id % 100 = 0 AND q.vec_id IN (SELECT doc_id FROM documents) AND i.vec_id IN (SELECT doc_id FROM documents))"
 
 #: A gazetteer with one fault of each kind.
 FAULTY = (("Good", "fine", 10.0, 20.0, 30), ("North", "", 95.0, 0.0, 10), ("East", "", 0.0, 181.0, 10), ("Point", "", 1.0, 1.0, 0), ("Wide", "", 2.0, 2.0, 2001), ("Twin", "fine", 11.0, 21.0, 30), ("Edge", "", -90.0, 180.0, 2000))
-_FAULTY = f"""g (place, others, lat, lon, km) AS (VALUES {', '.join(repr(p) for p in FAULTY)}), n AS (SELECT lower(place) AS key, place FROM g UNION SELECT others, place FROM g WHERE others <> '')
-SELECT place, 'coordinates' AS problem FROM g WHERE NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) UNION ALL SELECT place, 'radius' FROM g WHERE NOT (km > 0 AND km <= 2000)
-UNION ALL SELECT place, 'name: ' || key FROM n WHERE key IN (SELECT key FROM n GROUP BY key HAVING count(DISTINCT place) > 1)"""
+_FAULTY = f"g (place, others, lat, lon, km) AS (VALUES {', '.join(repr(p) for p in FAULTY)}), n AS (SELECT lower(place) AS key, place, lat, lon, km FROM g UNION SELECT others, place, lat, lon, km FROM g WHERE others <> '')"
+
+
+
+def _claimed(spark, sf):
+    """A gazetteer of all embeddings, right and wrong ones: a name for every three of them, place and radius out of their numbers."""
+    v = [F.element_at("embedding", i).cast("double") for i in (1, 2, 3)]
+    return S.read(spark, sf, "embeddings").select(F.concat(F.lit("k"), F.floor(F.col("vec_id") / 3)).alias("key"), F.concat(F.lit("v"), F.col("vec_id")).alias("place"), (v[0] * 600).alias("latitude"), (v[1] * 1200).alias("longitude"), F.floor(v[2] * 8000).cast("double").alias("radius"))
+
+
+_CLAIMED = """claimed AS (SELECT * FROM n UNION ALL SELECT 'k' || vec_id // 3 AS key, 'v' || vec_id AS place, embedding[1]::DOUBLE * 600 AS lat, embedding[2]::DOUBLE * 1200 AS lon, floor(embedding[3]::DOUBLE * 8000) AS km FROM embeddings),
+d AS (SELECT *, km / 111.32 AS a, km / (111.32 * greatest(cos(radians(lat)), 0.01)) AS e FROM claimed),
+boxed AS (SELECT *, greatest(lat - a, -90) AS south, least(lat + a, 90) AS north, CASE WHEN lon - e < -180 OR lon + e > 180 OR e >= 180 THEN -180 ELSE lon - e END AS west, CASE WHEN lon - e < -180 OR lon + e > 180 OR e >= 180 THEN 180 ELSE lon + e END AS east FROM d)
+SELECT DISTINCT place, unnest(list_filter([CASE WHEN NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) THEN 'coordinates' END, CASE WHEN NOT (km > 0 AND km <= 2000) THEN 'radius' END, CASE WHEN south > north OR west > east THEN 'box' END], lambda x: x IS NOT NULL)) AS problem FROM boxed
+UNION ALL SELECT place, 'name: ' || key FROM claimed WHERE key IN (SELECT key FROM claimed GROUP BY key HAVING count(DISTINCT place) > 1)"""
+
+
+def _spots(spark, sf):
+    """A spot for every embedding whose id is divisible by 100, its place from the vector, its radius from its id, up to some that reach over the antimeridian or are wider than the globe."""
+    x, y = F.element_at("embedding", 1).cast("double"), F.element_at("embedding", 2).cast("double")
+    place = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), x * 300)).alias("latitude"), F.greatest(F.lit(-180.0), F.least(F.lit(180.0), y * 900)).alias("longitude")
+    return _asked(S.read(spark, sf, "embeddings"), "vec_id").select(F.concat(F.lit("near "), F.col("vec_id")).alias("place"), *place, F.pow(F.lit(3.0), 5 + F.col("vec_id") / 100 % 5).alias("radius"))
+
+
+_SPOTS = """spots AS (SELECT 'near ' || vec_id AS place, greatest(-90, least(90, embedding[1]::DOUBLE * 300)) AS lat, greatest(-180, least(180, embedding[2]::DOUBLE * 900)) AS lon, pow(3.0, 5 + vec_id / 100 % 5) AS km FROM embeddings WHERE vec_id % 100 = 0),
+b AS (SELECT place, lat, lon, km / 111.32 AS d, km / (111.32 * greatest(cos(radians(lat)), 0.01)) AS e FROM spots)
+SELECT place, asset_id FROM b JOIN searchable ON latitude BETWEEN greatest(lat - d, -90) AND least(lat + d, 90) AND (e >= 180 OR longitude BETWEEN lon - e AND lon + e OR longitude - 360 BETWEEN lon - e AND lon + e OR longitude + 360 BETWEEN lon - e AND lon + e)"""
+
+
+def _place_assets_sql():
+    boxes = ", ".join(repr((name, float(lat), float(lon), float(km))) for name, _, lat, lon, km in G.PLACES)
+    return with_views(f""", k (place, lat, lon, km) AS (VALUES {boxes}), b AS (SELECT place, lat, lon, km / 111.32 AS d, km / (111.32 * greatest(cos(radians(lat)), 0.01)) AS e FROM k)
+SELECT place, asset_id FROM b JOIN searchable ON latitude BETWEEN greatest(lat - d, -90) AND least(lat + d, 90) AND (lon - e < -180 OR lon + e > 180 OR e >= 180 OR longitude BETWEEN lon - e AND lon + e)""", "searchable")
 
 
 def _guarded(spark, sf):
@@ -147,6 +179,26 @@ def _clusters_sql(most, size):
     return with_views(f", {', '.join(steps)} SELECT * FROM c{len(steps) - 1}", "searchable")
 
 
+def _members_sql(most, size):
+    """As _clusters_sql, with the cluster of every base cell carried along."""
+    top = _clusters_sql(most, size).removesuffix(f" SELECT * FROM c{(n := _levels(size))}")
+    steps, wide = ["o0 AS MATERIALIZED (SELECT cluster AS representative, cluster FROM c0)"], size
+    for k in range(1, n + 1):
+        wide *= 2
+        cell = lambda t: f"floor({t}.latitude / {wide}), floor({t}.longitude / {wide})"  # noqa: B023, E731
+        steps.append(f"""o{k} AS MATERIALIZED (SELECT representative, CASE WHEN (SELECT count(*) FROM c{k - 1}) > {most} THEN q.cluster ELSE o.cluster END AS cluster FROM o{k - 1} o JOIN c{k - 1} p ON p.cluster = o.cluster
+  LEFT JOIN c{k} q ON (SELECT count(*) FROM c{k - 1}) > {most} AND ({cell('p')}) = ({cell('q')}))""")
+    base = f"SELECT asset_id, min(asset_id) OVER (PARTITION BY floor(latitude / {size}), floor(longitude / {size})) AS representative FROM searchable WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180"
+    return f"{top}, {', '.join(steps)} SELECT asset_id, cluster FROM ({base}) JOIN o{n} USING (representative)"
+
+
+def _levels(size):
+    n = 0
+    while size < 360:
+        size, n = size * 2, n + 1
+    return n
+
+
 def _rankings(spark, sf):
     """The lines of every order as one line of a log, and read back."""
     fields = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -185,7 +237,10 @@ QUERIES = {
     "metadata_only_search": lambda s, d: H.search(S.searchable(s, d), H.Search(filter=P.CandidateFilter(after=AFTER, favorite=True), constrained=True), 60),
     "empty_plan": lambda s, d: H.search(S.searchable(s, d), H.Search()),
     "similar_items": lambda s, d: H.similar(S.searchable(s, d), 5, 60),
-    "vector_topk": lambda s, d: H.top_k(S.searchable(s, d), H.vectors_of(S.searchable(s, d), [3])[0], 25),
+    "vector_topk": lambda s, d: H.top_k(S.vectors(s, d), H.vectors_of(S.vectors(s, d), [3])[0], 25),
+    "vector_topk_each": lambda s, d: H.top_k_each(_asked(S.vectors(s, d)), S.vectors(s, d), 20),
+    "place_assets": lambda s, d: G.located(S.searchable(s, d), G.gazetteer(s), wrap=False),
+    "place_assets_wrapped": lambda s, d: G.located(S.searchable(s, d), _spots(s, d)),
     "norm_check": lambda s, d: H.norm_check(S.searchable(s, d)),
     "candidate_filter_date": _candidates(after=AFTER, before=BEFORE, media_type=1),
     "candidate_filter_geo": _candidates(place=_BOX),
@@ -203,16 +258,17 @@ QUERIES = {
     "geo_grid": lambda s, d: G.grid(S.searchable(s, d), 5.0),
     "geo_clusters": lambda s, d: G.clusters(S.searchable(s, d), 40),
     "geo_grid_members": lambda s, d: G.grid_members(S.searchable(s, d), 5.0),
+    "geo_cluster_members": lambda s, d: G.cluster_members(S.searchable(s, d), 40),
     "log_rankings": _rankings,
     "log_plans": _log_plans,
     "log_meta": _log_meta,
     "search_diagnostics": _diagnosed,
-    "gazetteer_check": lambda s, d: G.validate(G.gazetteer(s, FAULTY)),
+    "gazetteer_check": lambda s, d: G.validate(G.gazetteer(s, FAULTY).unionByName(_claimed(s, d))),
     "model_guard": _guarded,
     "implied_places": _implied,
-    "retrieval_metrics": lambda s, d: M.retrieval(M.ranks(_scored(s, d, 0)), _relevant(s, d), 20),
-    "retrieval_summary": lambda s, d: M.summary(M.retrieval(M.ranks(_scored(s, d, 0)), _relevant(s, d), 20)),
-    "ranking_agreement": lambda s, d: M.agreement(_scored(s, d, 0), _scored(s, d, 0).withColumn("score", F.round(F.col("score") + F.col("item") % 7 / 50, 6))),
+    "retrieval_metrics": lambda s, d: M.retrieval(M.ranks(_scored(s, d)), _relevant(s, d), 20),
+    "retrieval_summary": lambda s, d: M.summary(M.retrieval(M.ranks(_scored(s, d)), _relevant(s, d), 20)),
+    "ranking_agreement": lambda s, d: M.agreement(_scored(s, d), _scored(s, d).withColumn("score", F.round(F.col("score") + F.col("item") % 7 / 50, 6))),
     "percentiles": lambda s, d: M.percentiles(S.read(s, d, "events"), "value", "event_type"),
     "confidence_mean": lambda s, d: M.mean_confidence(S.searchable(s, d).select("asset_id", F.col("vector").alias("o")), "asset_id", "o"),
     "store_consistency": lambda s, d: M.store_consistency(S.searchable(s, d).withColumn("slot", F.col("asset_id")), "slot"),
@@ -250,7 +306,11 @@ ORACLE = {
   UNION ALL SELECT c_custkey::VARCHAR, 'last', '' FROM customer""",
     "log_meta": with_views("SELECT status AS query, asset_id::VARCHAR AS item, coalesce(floor(latitude)::INT::VARCHAR, '') AS latitude, coalesce(floor(longitude)::INT::VARCHAR, '') AS longitude, created::DATE::VARCHAR AS date FROM searchable", "searchable"),
     "search_diagnostics": with_views(f"SELECT count(*) AS candidate_count, count(*) AS scored_count, true AS used_vectors, 'cats' AS clauses, 'Nowhere' AS unresolved, 'no place is known as Nowhere' AS warnings FROM searchable WHERE status <> 'pending' AND media_type = 1 AND {_IN_BOX}", "searchable"),
-    "gazetteer_check": f"WITH {_FAULTY}",
+    "gazetteer_check": f"WITH {_FAULTY}, {_CLAIMED}",
+    "vector_topk_each": with_views(f", {_SCORED}, {_RANKED} SELECT query, rank::INT AS rank, item, score FROM ranked WHERE rank <= 20", "searchable"),
+    "place_assets": _place_assets_sql(),
+    "place_assets_wrapped": with_views(f", {_SPOTS}", "searchable"),
+    "geo_cluster_members": _members_sql(40, 0.02),
     "model_guard": with_views("SELECT asset_id, round(list_dot_product(vector, (SELECT vector FROM searchable WHERE asset_id = 4)), 6) AS score FROM searchable WHERE asset_id % 3 <> 0 ORDER BY score DESC, asset_id LIMIT 25", "searchable"),
     "implied_places": _implied_sql(),
     "retrieval_metrics": with_views(f", {_SCORED}, {_RANKED}, {_RELEVANT}, {_PER_QUERY} SELECT * FROM per", "searchable"),
