@@ -106,6 +106,24 @@ def store_text(rows: DataFrame, texts: DataFrame, version: int) -> DataFrame:
     return both.select(*(F.when(F.col("_version").isNotNull(), new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in rows.columns))
 
 
+def encoded(texts: list[str | None], encode: Callable[[str], list[float]]) -> list[list[float] | None]:
+    """A vector per text, null for one that fails. An encoder with `encode_all` gets all texts in one call; if that call fails, one after another."""
+    owner = getattr(encode, "__self__", encode)
+    if hasattr(owner, "encode_all"):
+        try:
+            return [[float(x) for x in v] for v in owner.encode_all(texts)]
+        except Exception:  # noqa: BLE001, S110  some text is at fault: the next lines find it
+            pass
+
+    def one(text: str | None) -> list[float] | None:
+        try:
+            return [float(x) for x in encode(text)]
+        except Exception:  # noqa: BLE001  the row is marked, whatever the encoder raised
+            return None
+
+    return [one(t) for t in texts]
+
+
 def index_step(rows: DataFrame, encode: Callable[[str], list[float]], now: datetime) -> DataFrame:
     """One pass over pending or failed rows that are due: their text is encoded, in batches on the executors.
 
@@ -113,13 +131,7 @@ def index_step(rows: DataFrame, encode: Callable[[str], list[float]], now: datet
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = []
-            for text in batch["text"]:
-                try:
-                    vectors.append([float(x) for x in encode(text)])
-                except Exception:  # noqa: BLE001  the row is marked, whatever the encoder raised
-                    vectors.append(None)
-            yield pd.DataFrame({"asset_id": batch["asset_id"], "_vector": vectors})
+            yield pd.DataFrame({"asset_id": batch["asset_id"], "_vector": encoded(list(batch["text"]), encode)})
 
     due = F.col("status").isin("pending", "failed") & (F.col("retry_at").isNull() | (F.col("retry_at") <= F.lit(now).cast("timestamp_ntz")))
     tried = rows.where(due).select("asset_id", "text").mapInPandas(run, "asset_id long, _vector array<double>").withColumn("_tried", F.lit(True))
@@ -197,3 +209,17 @@ def apply_changes(table: DataFrame, folded: DataFrame) -> DataFrame:
     """table (asset_id, at, bytes) after the folded changes; applying them again changes nothing."""
     rest = table.join(folded.where("op = 'delete'"), "asset_id", "left_anti")
     return upsert(rest, folded.where("op = 'upsert'").select("asset_id", "at", "bytes"), "asset_id")
+
+
+#: A table of the latest change of every asset, deletions too.
+LATEST = "asset_id long, sequence long, gone boolean, at timestamp_ntz, bytes long"
+
+
+def merge_latest(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """stored (LATEST) and changes (sequence, at, asset_id, op, bytes): of each asset the one with the greatest sequence.
+
+    The result does not depend on the order or number of times that changes are merged in; one aggregation with partial results."""
+    new = changes.select("asset_id", "sequence", (F.col("op") == "delete").alias("gone"), "at", "bytes")
+    last = F.max_by(F.struct("gone", "at", "bytes"), "sequence").alias("v")
+    both = stored.select("asset_id", "sequence", "gone", "at", "bytes").unionByName(new)
+    return both.groupBy("asset_id").agg(F.max("sequence").alias("sequence"), last).select("asset_id", "sequence", "v.gone", "v.at", "v.bytes")

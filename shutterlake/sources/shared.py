@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -55,3 +56,26 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def move_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder to a name that must not exist, in one step; whether this was done. The folder must not be empty."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    here, there = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    fs = here.getFileSystem(conf)
+    here, there = fs.makeQualified(here), fs.makeQualified(there)
+    try:
+        if here.toUri().getScheme() == "file":  # the file system's own rename: it does not go onto a folder that has something in it
+            files = [jvm.java.nio.file.Paths.get(p.toUri()) for p in (here, there)]
+            how = spark.sparkContext._gateway.new_array(jvm.java.nio.file.CopyOption, 1)
+            how[0] = jvm.java.nio.file.StandardCopyOption.ATOMIC_MOVE
+            jvm.java.nio.file.Files.move(*files, how)
+        else:
+            none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+            none[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(here.toUri(), conf).rename(here, there, none)
+    except Py4JJavaError:
+        if exists(spark, target):
+            return False
+        raise
+    return True
