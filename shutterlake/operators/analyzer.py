@@ -7,6 +7,7 @@ Words in Latin letters count at word boundaries only. A date must begin its clau
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,14 +21,29 @@ from .search import Encoder, Search, diagnostics, search
 
 #: The words of the rules, Chinese and English.
 LEADING = (
-    "拍摄的", "拍照的", "拍的", "拍摄", "拍照", "拍", "请帮我", "帮我", "帮忙", "麻烦", "请", "我想要", "我要", "我想", "给我", "替我", "找一下", "找找", "查找", "搜索", "搜一下", "搜", "找", "查一下", "查",
-    "show me", "find me", "search for", "look for", "show", "find", "search", "i want", "i need", "give me",
+    "拍摄的", "拍照的", "拍的", "拍摄", "拍照", "拍",
+    "请帮我", "帮我", "帮忙", "麻烦", "请", "我要", "我想", "我想要", "给我", "替我",
+    "找一下", "找找", "查找", "搜索", "搜一下", "搜", "找", "查一下", "查",
+    "show me", "find me", "search for", "look for", "show", "find", "search",
+    "i want", "i need", "give me",
+)
+TRAILING = (
+    "的照片", "的图片", "的图", "照片", "图片", "相片",
+    "photos", "pictures", "pics", "photo", "picture", "images", "image",
+)
+NEGATIONS = (
+    "不要有", "不含有", "不包含", "不要", "没有", "不是", "别", "无",
+    "without any", "without", "doesn't have", "does not have", "don't have",
+    "do not have", "not a", "not an", "excluding", "except", "no", "not",
+)
+CONJUNCTIONS = (
+    "还有", "以及", "和", "与", "跟", "及", "、", "＋", "+",
+    " as well as ", " along with ", " and ", "&",
 )
-TRAILING = ("的照片", "的图片", "的图", "照片", "图片", "相片", "photos", "pictures", "pics", "photo", "picture", "images", "image")
-NEGATIONS = ("不要有", "不含有", "不包含", "不要", "没有", "不是", "别", "无", "without any", "without", "doesn't have", "does not have", "don't have", "do not have", "not an", "not a", "excluding", "except", "not", "no")
 ALTERNATIVES = ("或者", "或是", "或", " either ", " or ")
-CONJUNCTIONS = ("还有", "以及", "和", "与", "跟", "及", "、", "+", " as well as ", " along with ", " and ", "&")
-FAVOURITES = ("最喜欢的", "收藏的", "收藏", "最爱", "favourite", "favorite", "starred")
+FAVOURITES = (
+    "收藏的", "收藏", "最喜欢的", "最爱", "favourite", "favorite", "starred",
+)
 MEDIA = (("screenshot", ("截屏", "截图", "screenshot", "屏幕快照", "screen shot")), ("live", ("实况照片", "live photo", "livephoto")), ("video", ("视频", "录像", "影片", "video", "movie", "clip")))
 COUNTS = ((1, ("一张", "a single", "one")), (2, ("两张", "two")), (3, ("三张", "three")), (4, ("四张",)), (5, ("五张",)))
 DETERMINERS = ("the", "a", "an", "my", "our", "your", "his", "her", "their", "this", "that", "these", "those")
@@ -68,22 +84,64 @@ def _without(text: Column, pattern: str) -> Column:
     return F.trim(F.regexp_replace(text, "(?i)" + pattern, ""))
 
 
-def clauses(requests: DataFrame, id_col: str = "request_id", text_col: str = "text") -> DataFrame:
-    """(request_id, terms, alternatives, part, piece, excluded, rest): one row per clause of each request."""
-    rows = requests.select(F.col(id_col).alias("request_id"), F.trim(fold_width(F.coalesce(F.col(text_col), F.lit("")))).alias("said"))
-    rows = rows.withColumn("terms", F.transform(F.regexp_extract_all("said", F.lit(_QUOTED), F.lit(0)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2)))
-    rows = rows.withColumn("body", F.regexp_replace("said", _QUOTED, " "))
-    full = lambda parts: F.filter(parts, lambda p: F.trim(p) != "")
-    rows = rows.withColumn("ors", full(F.split("body", "(?i)" + _words(ALTERNATIVES)))).withColumn("ands", full(F.split("body", "(?i)" + _words(CONJUNCTIONS))))
+#: White space at the ends of a text.
+EDGES = r"^[\t-\r ]+|[\t-\r ]+$"
+#: A closed quotation in the strict reading; then any quote that is left open, up to the end of the text.
+CLOSED = "\"[^\"”]*[\"”]|“[^”]*”|'[^'”]*['”]"
+OPEN = "[\"“'](?s:.*)$"
+#: Words that exclude, in the strict reading: the first of the list at a place counts; those in Latin letters stand alone, next to neither letter nor digit.
+EXCLUDING = "(?i)(?:" + "|".join(rf"(?<![\p{{L}}\p{{N}}]){re.escape(w)}(?![\p{{L}}\p{{N}}])" if re.match("[a-z]", w) else w for w in NEGATIONS) + ")"
+
+
+def in_turn(separators: tuple[str, ...]) -> list[str]:
+    """The order in which the strict reading splits: longer ones first, so that none is cut by one inside it."""
+    return sorted(separators, key=len, reverse=True)
+
+
+def _split_in_turn(text: Column, separators: tuple[str, ...]) -> Column:
+    """The parts that hold more than white space; every separator is looked for in all that the ones before have left."""
+    def cut(separator: str) -> Callable[[Column], Column]:
+        return lambda p: F.split(p, re.escape(separator))
+
+    parts = F.array(text)
+    for s in in_turn(separators):
+        parts = F.flatten(F.transform(parts, cut(s)))
+    return F.filter(parts, lambda p: F.regexp_replace(p, EDGES, "") != "")
+
+
+def _scanned(said: Column) -> tuple[Column, Column]:
+    """(quoted texts, the rest), read from left to right: a quote that is never closed is put back with all that follows."""
+    quotes = F.filter(F.regexp_extract_all(said, F.lit(f"{CLOSED}|{OPEN}"), F.lit(0)), lambda q: q.rlike(f"^(?:{CLOSED})$"))
+    terms = F.transform(quotes, lambda q: F.trim(F.substring(q, F.lit(2), F.length(q) - 2)))
+    return F.filter(terms, lambda t: t != ""), F.regexp_replace(said, f"{CLOSED}|({OPEN})", "$1")
+
+
+def clauses(requests: DataFrame, id_col: str = "request_id", text_col: str = "text", strict: bool = False) -> DataFrame:
+    """(request_id, terms, alternatives, part, piece, excluded, rest): one row per clause of each request, in the order of part and piece.
+
+    strict: quotes are read as a scan from left to right; separators count as they are written, spaces and case included, one after
+    the other; an excluded clause runs up to the next word that excludes. Without it, separators in Latin letters are whole words in
+    any case, and what looks like a quotation anywhere is one."""
+    rows = requests.select(F.col(id_col).alias("request_id"), F.regexp_replace(fold_width(F.coalesce(F.col(text_col), F.lit(""))), EDGES, "").alias("said"))
+    if strict:
+        terms, body = _scanned(F.col("said"))
+        rows = rows.withColumns({"terms": terms, "body": body})
+        rows = rows.withColumns({"ors": _split_in_turn(F.col("body"), ALTERNATIVES), "ands": _split_in_turn(F.col("body"), CONJUNCTIONS)})
+    else:
+        rows = rows.withColumn("terms", F.transform(F.regexp_extract_all("said", F.lit(_QUOTED), F.lit(0)), lambda q: F.substring(q, F.lit(2), F.length(q) - 2)))
+        rows = rows.withColumn("body", F.regexp_replace("said", _QUOTED, " "))
+        full = lambda parts: F.filter(parts, lambda p: F.trim(p) != "")
+        rows = rows.withColumn("ors", full(F.split("body", "(?i)" + _words(ALTERNATIVES)))).withColumn("ands", full(F.split("body", "(?i)" + _words(CONJUNCTIONS))))
     rows = rows.withColumn("alternatives", F.size("ors") > 1)
     rows = rows.select("request_id", "terms", "alternatives", F.posexplode_outer(F.when(F.col("alternatives"), F.col("ors")).otherwise(F.col("ands"))).alias("part", "chunk"))
-    rows = rows.select("request_id", "terms", "alternatives", "part", F.posexplode(F.split(F.coalesce("chunk", F.lit("")), "(?i)" + _words(NEGATIONS))).alias("piece", "rest"))
-    return rows.withColumn("excluded", F.col("piece") > 0).withColumn("rest", F.trim("rest"))
+    excluding = EXCLUDING if strict else "(?i)" + _words(NEGATIONS)
+    rows = rows.select("request_id", "terms", "alternatives", "part", F.posexplode(F.split(F.coalesce("chunk", F.lit("")), excluding)).alias("piece", "rest"))
+    return rows.withColumn("excluded", F.col("piece") > 0).withColumn("rest", F.regexp_replace("rest", EDGES, ""))
 
 
-def analyse(requests: DataFrame, now: datetime, first_weekday: int = 0, id_col: str = "request_id", text_col: str = "text") -> DataFrame:
-    """One plan per request: positive and negative clauses, combine (and, or), terms, date_start, date_end, media, favorite, place, count, empty."""
-    rows = clauses(requests, id_col, text_col)
+def analyse(requests: DataFrame, now: datetime, first_weekday: int = 0, id_col: str = "request_id", text_col: str = "text", strict: bool = False) -> DataFrame:
+    """One plan per request: positive and negative clauses, combine (and, or), terms, date_start, date_end, media, favorite, place, count, empty. strict: see clauses."""
+    rows = clauses(requests, id_col, text_col, strict)
     # Dates: digits at the beginning, else the first relative word.
     number = lambda k: F.nullif(F.regexp_extract("rest", _NUMBERS, k), F.lit(""))
     rows = rows.withColumns({"y": number(1), "m": F.coalesce(number(2), number(4)), "d": F.coalesce(number(3), number(5)), "digits": number(0)})

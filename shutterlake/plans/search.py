@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -53,6 +54,35 @@ def _candidates_sql(where):
     return with_views(f", s AS (SELECT *, {_SAID} AS said FROM searchable) SELECT asset_id FROM s WHERE {where}", "searchable")
 
 
+def _clauses(spark, sf):
+    """The clauses of every turn of every conversation, read strictly."""
+    said = S.read(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), "text")
+    rows = A.clauses(said, strict=True).where("rest <> ''")
+    return rows.select("request_id", "part", "piece", "excluded", "alternatives", F.md5(F.col("rest").cast("binary")).alias("rest"), F.array_join("terms", "|").alias("terms"))
+
+
+def _clauses_sql():
+    """Word ends are marked by chr(1) on both sides of whatever is neither letter nor digit, as the expressions here cannot look around."""
+    q = lambda s: s.replace("'", "''")
+    edge = lambda x: f"regexp_replace({x}, '{A.EDGES}', '', 'g')"
+    ends = r"\x01"
+    marked = [ends + "".join(c if c.isalnum() else f"{ends}{re.escape(c)}{ends}" for c in w) + ends if re.match("[a-z]", w) else w for w in A.NEGATIONS]
+
+    def parts(separators):
+        out = "[body]"
+        for s in A.in_turn(separators):
+            out = f"flatten(list_transform({out}, lambda x: string_split(x, '{s}')))"
+        return f"list_filter({out}, lambda x: {edge('x')} <> '')"
+
+    return f"""WITH s AS (SELECT conv_id || ':' || turn AS request_id, {edge(f"translate(coalesce(text, ''), '{q(text._FULL)}', '{q(text._HALF)}')")} AS said FROM conversations),
+b AS (SELECT request_id, list_filter(list_transform(list_filter(regexp_extract_all(said, '{q(f"{A.CLOSED}|{A.OPEN}")}'), lambda x: regexp_full_match(x, '{q(A.CLOSED)}')), lambda x: trim(x[2:-2])), lambda x: x <> '') AS terms, regexp_replace(said, '{q(f"{A.CLOSED}|({A.OPEN})")}', '\\1', 'g') AS body FROM s),
+o AS (SELECT request_id, terms, {parts(A.ALTERNATIVES)} AS ors, {parts(A.CONJUNCTIONS)} AS ands FROM b),
+c AS (SELECT request_id, terms, len(ors) > 1 AS alternatives, unnest(CASE WHEN len(ors) > 1 THEN ors ELSE ands END) AS chunk, generate_subscripts(CASE WHEN len(ors) > 1 THEN ors ELSE ands END, 1) - 1 AS part FROM o),
+m AS (SELECT *, string_split_regex(chr(1) || regexp_replace(chunk, '([^\\p{{L}}\\p{{N}}])', chr(1) || '\\1' || chr(1), 'g') || chr(1), '(?i)(?:{q("|".join(marked))})') AS pieces FROM c),
+p AS (SELECT request_id, terms, alternatives, part, unnest(pieces) AS rest, generate_subscripts(pieces, 1) - 1 AS piece FROM m)
+SELECT request_id, part::INT AS part, piece::INT AS piece, piece > 0 AS excluded, alternatives, md5({edge("replace(rest, chr(1), '')")}) AS rest, array_to_string(terms, '|') AS terms FROM p WHERE {edge("replace(rest, chr(1), '')")} <> ''"""
+
+
 def _asked(rows, key="asset_id"):
     """The queries: every row whose id is divisible by 100."""
     return rows.where(F.col(key) % 100 == 0)
@@ -108,13 +138,12 @@ UNION ALL SELECT place, 'name: ' || key FROM claimed WHERE key IN (SELECT key FR
 
 
 def _spots(spark, sf):
-    """A spot for every embedding whose id is divisible by 100, its place from the vector, its radius from its id, up to some that reach over the antimeridian or are wider than the globe."""
-    x, y = F.element_at("embedding", 1).cast("double"), F.element_at("embedding", 2).cast("double")
-    place = F.greatest(F.lit(-90.0), F.least(F.lit(90.0), x * 300)).alias("latitude"), F.greatest(F.lit(-180.0), F.least(F.lit(180.0), y * 900)).alias("longitude")
-    return _asked(S.read(spark, sf, "embeddings"), "vec_id").select(F.concat(F.lit("near "), F.col("vec_id")).alias("place"), *place, F.pow(F.lit(3.0), 5 + F.col("vec_id") / 100 % 5).alias("radius"))
+    """A spot for every nation, its numbers from its key: some reach over the antimeridian, some nearly around the globe."""
+    n = F.col("n_nationkey").cast("double")
+    return S.read(spark, sf, "nation").select(F.col("n_name").alias("place"), (n * 5 - 60).alias("latitude"), (n * 15 - 180).alias("longitude"), F.pow(F.lit(3.0), 5 + n % 5).alias("radius"))
 
 
-_SPOTS = """spots AS (SELECT 'near ' || vec_id AS place, greatest(-90, least(90, embedding[1]::DOUBLE * 300)) AS lat, greatest(-180, least(180, embedding[2]::DOUBLE * 900)) AS lon, pow(3.0, 5 + vec_id / 100 % 5) AS km FROM embeddings WHERE vec_id % 100 = 0),
+_SPOTS = """spots AS (SELECT n_name AS place, n_nationkey::DOUBLE * 5 - 60 AS lat, n_nationkey::DOUBLE * 15 - 180 AS lon, pow(3.0, 5 + n_nationkey % 5) AS km FROM nation),
 b AS (SELECT place, lat, lon, km / 111.32 AS d, km / (111.32 * greatest(cos(radians(lat)), 0.01)) AS e FROM spots)
 SELECT place, asset_id FROM b JOIN searchable ON latitude BETWEEN greatest(lat - d, -90) AND least(lat + d, 90) AND (e >= 180 OR longitude BETWEEN lon - e AND lon + e OR longitude - 360 BETWEEN lon - e AND lon + e OR longitude + 360 BETWEEN lon - e AND lon + e)"""
 
@@ -254,6 +283,7 @@ QUERIES = {
     "pending_work": lambda s, d: P.pending(S.searchable(s, d), datetime(2024, 1, 1), 200).select("asset_id", "created"),
     "place_resolution": _places,
     "request_plans": _plans,
+    "request_clauses": _clauses,
     "geo_box": lambda s, d: S.searchable(s, d).where("latitude IS NOT NULL").select("asset_id", *(F.round(v, 5).alias(k) if k != "crosses" else v.alias(k) for k, v in geo.box(F.col("latitude"), F.col("longitude"), 250.0).items())),
     "geo_grid": lambda s, d: G.grid(S.searchable(s, d), 5.0),
     "geo_clusters": lambda s, d: G.clusters(S.searchable(s, d), 40),
@@ -313,6 +343,7 @@ ORACLE = {
     "geo_cluster_members": _members_sql(40, 0.02),
     "model_guard": with_views("SELECT asset_id, round(list_dot_product(vector, (SELECT vector FROM searchable WHERE asset_id = 4)), 6) AS score FROM searchable WHERE asset_id % 3 <> 0 ORDER BY score DESC, asset_id LIMIT 25", "searchable"),
     "implied_places": _implied_sql(),
+    "request_clauses": _clauses_sql(),
     "retrieval_metrics": with_views(f", {_SCORED}, {_RANKED}, {_RELEVANT}, {_PER_QUERY} SELECT * FROM per", "searchable"),
     "retrieval_summary": with_views(f", {_SCORED}, {_RANKED}, {_RELEVANT}, {_PER_QUERY} SELECT round(avg(hit_at_1), 6) AS precision_at_1, round(avg(recall), 6) AS recall, round(avg(reciprocal_rank), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM per", "searchable"),
     "ranking_agreement": with_views(f""", {_SCORED}, first AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank, count(*) OVER (PARTITION BY query) AS n FROM scored),

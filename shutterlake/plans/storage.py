@@ -189,6 +189,7 @@ QUERIES = {
     "defer_work": lambda s, d: M.defer(S.searchable(s, d), S.searchable(s, d).where("asset_id % 4 = 0"), NOW).select("asset_id", "status", "retry_at"),
     "requeue_all": lambda s, d: M.requeue(S.searchable(s, d)).select("asset_id", "status", "failures", "retry_at"),
     "change_fold": lambda s, d: M.fold(S.changes(s, d)),
+    "latest_changes": lambda s, d: M.merge_latest(s.createDataFrame([], M.LATEST), S.changes(s, d)).withColumn("at", F.col("at").cast("timestamp_ntz")),
     "apply_changes": lambda s, d: M.apply_changes(_table(s, d), M.fold(S.changes(s, d))),
     "first_per_path": lambda s, d: M.first_per_path(S.changes(s, d).select("sequence", F.when(F.col("asset_id") % 2 == 0, F.col("asset_id")).alias("path"), F.col("sequence").alias("ordinal")).select("sequence", "path", "ordinal")),
     "compression_history": _history,
@@ -229,6 +230,7 @@ ORACLE = {
     "defer_work": with_views("SELECT asset_id, CASE WHEN asset_id % 4 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN asset_id % 4 = 0 THEN TIMESTAMP '2024-01-01' ELSE retry_at END AS retry_at FROM searchable", "searchable"),
     "requeue_all": with_views("SELECT asset_id, 'pending' AS status, 0 AS failures, NULL::TIMESTAMP AS retry_at FROM searchable", "searchable"),
     "change_fold": with_views(f", {_FEED}, {_FOLD} SELECT * FROM folded", "changes"),
+    "latest_changes": with_views("""SELECT asset_id, sequence, op = 'delete' AS gone, "at", bytes FROM changes QUALIFY row_number() OVER (PARTITION BY asset_id ORDER BY sequence DESC) = 1""", "changes"),
     "apply_changes": with_views(f''', {_FEED}, {_FOLD}, t AS (SELECT asset_id, min("at") AS "at", 0::BIGINT AS bytes FROM changes WHERE sequence % 10 = 0 GROUP BY asset_id) SELECT asset_id, "at", bytes FROM t WHERE asset_id NOT IN (SELECT asset_id FROM folded) UNION ALL SELECT asset_id, "at", bytes FROM folded WHERE op = 'upsert' ''', "changes"),
     "first_per_path": with_views(", p AS (SELECT sequence, CASE WHEN asset_id % 2 = 0 THEN asset_id END AS path, sequence AS ordinal FROM changes) SELECT * FROM p QUALIFY path IS NULL OR row_number() OVER (PARTITION BY path ORDER BY ordinal) = 1", "changes"),
     "compression_history": with_views(", h AS (SELECT asset_id, sequence, op = 'update' AS replaced FROM changes) SELECT * FROM h QUALIFY NOT replaced OR row_number() OVER (PARTITION BY asset_id, replaced ORDER BY sequence DESC) = 1", "changes"),

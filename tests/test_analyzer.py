@@ -57,6 +57,28 @@ def test_plan(plans, said):
     assert {k: plans[said][k] for k in CASES[said]} == CASES[said]
 
 
+STRICT = {
+    '猫 " 和 狗': ([], "and", ['猫 "', "狗"], []),
+    "it's 'a b": (["s"], "and", ["ita b"], []),
+    "it's \"x\" isn't": (['s "x" isn'], "and", ["itt"], []),
+    "“a” \"b” c 'd'": (["a", "b", "d"], "and", ["c"], []),
+    '"" cat': ([], "and", ["cat"], []),
+    "rock And roll and jazz": ([], "and", ["rock And roll", "jazz"], []),
+    "cats or dogs and birds": ([], "or", ["cats", "dogs and birds"], []),
+    "不要A不要B": ([], "and", [], ["A", "B"]),
+    "notebook with no lines not a pen": ([], "and", ["notebook with"], ["lines", "pen"]),
+    "not an apple": ([], "and", [], ["apple"]),
+    "猫没有狗和鸟": ([], "and", ["猫", "鸟"], ["狗"]),
+    "note1 nox no": ([], "and", ["note1 nox"], []),
+    "发票还有登机牌": ([], "and", ["发票", "登机牌"], []),
+}
+
+
+def test_strict_reading(spark):
+    rows = analyzer.analyse(spark.createDataFrame([(t, t) for t in STRICT], "request_id string, text string"), NOW, strict=True).collect()
+    assert {r.request_id: (r.terms, r.combine, r.positive, r.negative) for r in rows} == STRICT
+
+
 def test_missing_text(plans):
     assert plans[None]["empty"]
 
