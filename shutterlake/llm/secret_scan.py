@@ -11,12 +11,14 @@ candidate that verification then turns down. Spans are code points, end exclusiv
 and do not overlap; rules are independent of one another.
 
 Defined results: a null text counts as empty and has no spans; repeated rows and null ids each give their own row; an
-empty table gives an empty result; other columns are not looked at, whatever their names are.
+empty table gives an empty result; other columns are not looked at, whatever their names are. A text may have any
+number of matches: the work grows with it in proportion.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as sre
 from re import _parser as parser
@@ -145,22 +147,55 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame | None:
     return whole.groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
+#: Entries of an array that one fold goes over.
+_CHUNK = 256
+
+
+def _chunks(parts: Column) -> Column:
+    """An array in pieces of _CHUNK entries, one empty piece at least."""
+    starts = lambda xs: F.sequence(F.lit(0), F.greatest(F.size(xs) - 1, F.lit(0)).cast("int"), F.lit(_CHUNK))
+    return _let(parts, lambda xs: F.transform(starts(xs), lambda k: F.slice(xs, k + 1, F.lit(_CHUNK))))
+
+
+def _before(values: Column, both: Callable[[Column, Column], Column]) -> Column:
+    """For each of the values (int, 0 at least), what both makes of all before it, 0 of none.
+
+    A fold that appends to an array copies it each time. Here none grows beyond _CHUNK entries, but for the list of chunks, so
+    that a text may have any number of matches."""
+
+    def walk(xs: Column, first: Column) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            return F.struct(both(state["at"], x).alias("at"), F.concat(state["out"], F.array(state["at"])).alias("out"))
+
+        return F.aggregate(xs, F.struct(first.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda s: s["out"])
+
+    def each(chunks: Column) -> Column:
+        heads = walk(F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), both)), F.lit(0))
+        return F.flatten(F.zip_with(chunks, heads, walk))
+
+    return _let(_chunks(values), each)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _spans(rule: Rule, rank: int) -> Column:
     """(start, rank, end) of the rule's matches in body, in order."""
     regex = F.lit(rule.regex)
     match = F.regexp_extract_all("body", regex, F.lit(0))
     held = F.regexp_extract_all("body", regex, F.lit(rule.group)) if rule.group else match
-    parts = F.arrays_zip(F.split("body", rule.regex, -1).alias("gap"), match.alias("all"), held.alias("held"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int>>")
+    length = lambda xs: F.transform(xs, lambda x: F.length(x))
+    parts = F.arrays_zip(length(F.slice(F.split("body", rule.regex, -1), F.lit(1), F.size(match))).alias("gap"), length(match).alias("all"), length(held).alias("held"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["all"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.when(F.length(x["held"]) >= rule.least, one).otherwise(none)).alias("out"))
+    def found(ps: Column) -> Column:
+        ends = _before(F.transform(ps, lambda p: p["gap"] + p["all"]), lambda x, y: x + y)
+        spans = F.zip_with(ps, ends, lambda p, at: F.struct((at + p["gap"]).alias("start"), F.lit(rank).alias("rank"), (at + p["gap"] + p["all"]).alias("end"), p["held"].alias("held")))
+        return F.transform(F.filter(spans, lambda s: s["held"] >= rule.least), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(match) > 0, found).otherwise(none)
+    return F.when(F.col("body").rlike(rule.regex), _let(parts, found)).otherwise(none)
 
 
 def _scanned(docs: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
@@ -188,14 +223,21 @@ def _said(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with every span replaced by mark; texts without spans, null ones too, stay as they are."""
-    rows, zero = _scanned(docs, text_col, rules), F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("body"), state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], F.when(s["start"] >= state["at"], F.concat(gap, F.lit(mark))).otherwise("")).alias("out"))
+    rows = _scanned(docs, text_col, rules)
 
-    clean = F.aggregate("spans", zero, step, lambda s: F.concat(s["out"], F.substring(F.col("body"), s["at"] + 1, F.length("body"))))
-    return rows.select(*((F.when(F.size("spans") > 0, clean).otherwise(F.col(f"in_{k}")) if c == text_col else F.col(f"in_{k}")).alias(c) for k, c in enumerate(docs.columns)))
+    def clean(marked: Column) -> Column:
+        """marked: (start, end, upto), upto being the end of all spans before. A span that begins inside an earlier one adds no mark."""
+        gaps = F.transform(F.filter(marked, lambda s: s["start"] >= s["upto"]), lambda s: F.struct(s["upto"].alias("a"), s["start"].alias("b")))
+        last = F.aggregate(marked, F.lit(0), lambda x, s: F.greatest(x, s["end"]))
+        # A place in a text is found by counting its characters, so it is cut in long pieces first and those in short ones.
+        piece = lambda c: F.substring(F.col("body"), F.get(c, F.lit(0))["a"] + 1, F.element_at(c, -1)["b"] - F.get(c, F.lit(0))["a"])
+        cut = lambda text, c: F.array_join(F.transform(c, lambda g: F.concat(F.substring(text, g["a"] - F.get(c, F.lit(0))["a"] + 1, g["b"] - g["a"]), F.lit(mark))), "")
+        return F.concat(F.array_join(F.transform(_chunks(gaps), lambda c: _let(piece(c), lambda text: cut(text, c))), ""), F.substring(F.col("body"), last + 1, F.length("body")))
+
+    ends = _before(F.transform("spans", lambda s: s["end"]), lambda x, y: F.greatest(x, y))
+    marked = F.zip_with("spans", ends, lambda s, at: F.struct(s["start"].alias("start"), s["end"].alias("end"), at.alias("upto")))
+    redacted = F.when(F.size("spans") > 0, _let(marked, clean))
+    return rows.select(*((F.when(F.size("spans") > 0, redacted).otherwise(F.col(f"in_{k}")) if c == text_col else F.col(f"in_{k}")).alias(c) for k, c in enumerate(docs.columns)))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

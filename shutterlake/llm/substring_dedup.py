@@ -29,6 +29,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import positions
 from . import textkernel as K
 from .common import small_batches, table, written
 
@@ -38,8 +39,8 @@ COVER = (1, 5, 11, 24, 25, 27)
 _ON = np.isin(np.arange(PERIOD), COVER)
 #: Occurrences that a task holds before it combines and sends them.
 HELD = 2_000_000
-#: An occurrence is its id and (tag << 40 | word index); the tag tells apart texts under one id.
-_AT, _TAG = 40, (1 << 23) - 1
+#: An occurrence is its id and (tag << 31 | word index); the tag tells apart texts under one id, a number for each of them.
+_AT = 31
 #: What the words' hashes are mixed with for the second hash of a window.
 _SECOND = np.uint64(0xA5A3_5C1D_9E6B_70F7)
 
@@ -251,13 +252,28 @@ def _search(rows: DataFrame, bits: int, anchors: bool) -> DataFrame:
     return found.groupBy("id", "tag").agg(F.flatten(F.collect_list("pos")).alias("pos"))  # at most a text's own words
 
 
+def _tagged(docs: DataFrame) -> DataFrame:
+    """docs (id, text) with tag: different texts under one id are numbered, a text under an id of its own has 0.
+
+    Of the repeated ids, the digests (128 bits) are put in order by ranges; no task sees all texts of an id."""
+    twice = written(docs.where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "substring-ids")
+    if twice.isEmpty():
+        return docs.withColumn("tag", F.lit(0).cast("long"))
+    texts = docs.join(twice, "id", "left_semi").select("id", F.md5(F.col("text").cast("binary")).alias("digest")).distinct()
+    placed = written(positions(texts, [F.col("id"), F.col("digest")], "place"), "substring-places")
+    first = placed.groupBy("id").agg(F.min("place").alias("first"))
+    tags = written(placed.join(first, "id").select(F.col("id").alias("_id"), "digest", (F.col("place") - F.col("first")).alias("tag")), "substring-tags")
+    joined = docs.join(tags, (F.col("id") == F.col("_id")) & (F.md5(F.col("text").cast("binary")) == F.col("digest")), "left")
+    return joined.select("id", "text", F.coalesce("tag", F.lit(0).cast("long")).alias("tag"))
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per document."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     bits = min(20, max(6, (docs.count() // 64).bit_length()))  # hash ranges: a few thousand occurrences each, tens of MB at 10^10 documents
-    docs = docs.withColumn("tag", F.xxhash64("text").bitwiseAND(F.lit(_TAG)))
+    docs = _tagged(docs)
     marks = _search(docs.where("id IS NOT NULL"), bits, anchors=True)
     settled = docs.join(marks, ["id", "tag"], "left").select("id", "tag", "text", "pos").mapInArrow(_settle, _DONE)
     settled = written(settled, "substring-settled", by="kind")
