@@ -11,11 +11,12 @@ has just arrived); they stand for themselves.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import remove, shared_path, write
+from ..sources.shared import shared_path, write
 from .ordering import running
 
 #: What two values from below make, and how many of them are gathered.
@@ -26,33 +27,37 @@ MERGES: dict[str, tuple[Callable[[str], Column], Callable[[Column, Column], Colu
 
 
 def _jump(now: DataFrame, below: Mapping[str, str], above: Mapping[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """now a round later, with `done`: the node points nowhere and nobody has pointed to it, so nobody will and nobody needs it."""
     live = now.where("up IS NOT NULL")
     ahead = now.select(F.col("id").alias("_id"), F.col("up").alias("_up"), *(F.col(n).alias(f"_{n}") for n in above))
     moved = live.join(ahead, F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), *below, *(f(F.col(f"_{n}"), F.col(n)).alias(n) for n, f in above.items()))
     rows = moved.unionByName(now.where("up IS NULL"))
-    if not below:
-        return rows
-    gained = live.groupBy(F.col("up").alias("_to")).agg(*(MERGES[kind][0](n).alias(f"_{n}") for n, kind in below.items()))
-    return rows.join(gained, F.col("id") == F.col("_to"), "left").select("id", "up", *(MERGES[kind][1](F.col(n), F.col(f"_{n}")).alias(n) for n, kind in below.items()), *above)
+    gained = live.groupBy(F.col("up").alias("_to")).agg(F.count("*").alias("_n"), *(MERGES[kind][0](n).alias(f"_{n}") for n, kind in below.items()))
+    rows = rows.join(gained, F.col("id") == F.col("_to"), "left")
+    return rows.select("id", "up", *(MERGES[kind][1](F.col(n), F.col(f"_{n}")).alias(n) for n, kind in below.items()), *above, (F.col("up").isNull() & F.col("_to").isNull()).alias("done"))
 
 
 def closed(nodes: DataFrame, below: Mapping[str, str] | None = None, above: Mapping[str, Callable[[Column, Column], Column]] | None = None) -> DataFrame:
     """nodes (id, up, and the named columns) with `loop` instead of up: each column of below (name: "sum" or "min") taken over the node
     and all nodes under it, each column of above (name: function of what is above and what is here) over the way from the root to the node.
 
-    ids must be distinct, and a parent one of them or null. Nodes that lead into a cycle have loop set and their values as they were."""
+    ids must be distinct, and a parent one of them or null. Nodes that lead into a cycle have loop set and their values as they were.
+    A node leaves the rounds as soon as it points nowhere and nothing is as far below it as a round reaches, so that a few deep
+    branches cost rounds of their own size."""
     spark, below, above = nodes.sparkSession, dict(below or {}), dict(above or {})
     folder, turn, before = shared_path(spark, "tree"), 0, -1
+    names = ["id", *below, *above]
     now = first = write(nodes.select("id", "up", *below, *above), f"{folder}/0")
+    out = []
     while (left := now.where("up IS NOT NULL").count()) not in (0, before):
         turn, before = turn + 1, left
-        now = write(_jump(now, below, above), f"{folder}/{turn}")
-        if turn > 1:
-            remove(spark, f"{folder}/{turn - 1}")
-    out = now.where("up IS NULL").drop("up").withColumn("loop", F.lit(False))
+        both = write(_jump(now, below, above), f"{folder}/{turn}", by="done")
+        out.append(both.where("done").select(names))
+        now = both.where("NOT done").drop("done")
+    done = reduce(DataFrame.unionByName, [*out, now.where("up IS NULL").select(names)]).withColumn("loop", F.lit(False))
     if left:
-        out = out.unionByName(first.join(now.where("up IS NOT NULL").select("id"), "id", "left_semi").drop("up").withColumn("loop", F.lit(True)))
-    return out
+        done = done.unionByName(first.join(now.where("up IS NOT NULL").select("id"), "id", "left_semi").select(names).withColumn("loop", F.lit(True)))
+    return done
 
 
 def forest(folders: DataFrame, key: str = "folder_id", parent: str = "parent_id") -> DataFrame:
