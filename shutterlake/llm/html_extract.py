@@ -5,7 +5,7 @@ article, the kind of its class and id names, the length of its own text and the
 parent-child potential connects it to its parent. Sum-product messages, once up and once down the tree, give each node's
 exact marginal; the text of nodes with a marginal above one half is the page's text. Potentials are relative
 frequencies, with one added, counted on labelled pages, those of a pair for parts of a page and for pieces of text each: HTML in which data-content="1" or "0" labels an element and what
-it holds.
+it holds. Where no text has a marginal above one half, the text is that of the densest part of the page (`densest`).
 
 Pages are independent, so the work is one mapInArrow over the rows, whole pages, nothing shuffled; the model is a
 few hundred numbers. Memory is one batch of pages and one page's tree; time is linear in the page, whatever it holds.
@@ -45,7 +45,7 @@ SCOPE = frozenset("table td th caption button object html".split())
 
 #: Word stems in class and id names, by what they say; the first kind that matches counts.
 NAMES = (
-    ("comment", "comment comments commentlist reply replies disqus discussion respond kommentare commentaires comentarios"),
+    ("comment", "comment comments commentlist reply replies response responses disqus discussion respond reactions opinions feedback kommentar kommentare commentaire commentaires comentario comentarios"),
     ("notice", "cookie cookies consent notice notification alert gdpr popup modal overlay toast warning"),
     ("ad", "ad ads adv advert adverts advertisement advertising adsense adslot sponsor sponsored promo promotion banner commercial werbung anzeige publicite publicidad"),
     ("form", "form subscribe subscription newsletter signup login search contact"),
@@ -57,8 +57,13 @@ NAMES = (
 )
 _KIND = {w: k for k, ws in NAMES for w in ws.split()}
 _RANK = {k: n for n, (k, _) in enumerate(NAMES)}
+#: Words beside which a short word for an advert means one; beside others (`ad-history`) it does not.
+SLOTS = frozenset("area banner block body bottom bottomad box center code col column container content footer frame google header holder inline inner label leaderboard left middle module mpu native outer panel place placeholder placement rail rectangle right section side sidebar sky slot slots space sticky text top unit units widget wrap wrapper zone".split())
+_SHORT = frozenset("ad ads adv".split())
+#: Kinds that are not content, nor is what they hold.
+NEVER = frozenset("comment notice ad form nav side footer header".split())
 _GROUP = {t: g for g, ts in {"heading": "h1 h2 h3 h4 h5 h6", "list": "ul ol dl menu", "item": "li dt dd", "cell": "td th", "table": "table tr tbody thead tfoot caption", "quote": "blockquote pre", "figure": "figure figcaption", "form": "form fieldset legend dialog", "main": "article main"}.items() for t in ts.split()}
-_BOXES = frozenset("article aside body center dialog div fieldset footer form header html main nav search section table".split())
+_BOXES = frozenset("article aside body center dialog div fieldset footer form header html main nav search section table td th".split())
 _OWN = frozenset("nav header footer aside section div p body html".split())
 
 _START = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -76,7 +81,13 @@ _ABOUT = ("no-", "has-", "with-", "without-")
 
 def kind_of(names: str) -> str:
     """The kind that class, id and role names tell of."""
-    found = {_KIND[w] for name in names.split() if not name.startswith(_ABOUT) for w in _LETTERS.findall(_CAMEL.sub(r"\1 \2", name).lower()) if w in _KIND}
+    found = set()
+    for name in names.split():
+        if name.startswith(_ABOUT):
+            continue
+        words = _LETTERS.findall(_CAMEL.sub(r"\1 \2", name).lower())
+        advert = all(w in SLOTS or w in _SHORT or len(w) < 3 or _KIND.get(w) == "ad" for w in words)
+        found |= {_KIND[w] for w in words if w in _KIND and (advert or w not in _SHORT)}
     return min(found, key=_RANK.__getitem__) if found else "none"
 
 
@@ -139,7 +150,7 @@ class Page:
     """The DOM without inline elements: per node its parent, tag, kind and own pieces of text, and the blocks in order."""
 
     def __init__(self, html: str) -> None:
-        self.parent, self.tag, self.kind, self.label, self.inside = [-1], ["html"], ["none"], [None], [False]
+        self.parent, self.tag, self.kind, self.label, self.inside = [-1], ["html"], ["none"], [None], [""]
         self.chars, self.linked = [0], [0]
         self.blocks: list[tuple[int, str]] = []  # (node, text)
         self._read(html)
@@ -181,7 +192,10 @@ class Page:
             self.tag.append(tag)
             self.kind.append(kind_of(f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}") if attributes else "none")
             self.label.append(int(attributes["data-content"]) if "data-content" in attributes else self.label[parent])
-            self.inside.append(self.inside[parent] or self.tag[parent] in ("article", "main") or self.kind[parent] == "content" and self.tag[parent] not in ("body", "html"))
+            tag_, kind = self.tag[parent], self.kind[parent]
+            against = tag_ in ("nav", "footer", "aside", "form") or kind in NEVER and kind != "header" and tag_ not in ("body", "html")
+            within = tag_ in ("article", "main") or kind == "content" and tag_ not in ("body", "html")
+            self.inside.append("-" if against else "+" if within else self.inside[parent])
             self.chars.append(0)
             self.linked.append(0)
             stack.append(len(self.tag) - 1)
@@ -234,12 +248,14 @@ class Page:
         flush()
 
     def features(self, node: int) -> tuple[str, ...]:
-        """tag and size (which count together), kind, and link."""
+        """tag, with what the element is inside of (+ content, - anything else that tells), and size, which count together; kind; link."""
         tag, n = self.tag[node], self.chars[node]
         group = _GROUP.get(tag) or (tag if tag in _OWN else "other")
-        size = "none" if not n else "short" if n <= 25 else "middle" if n <= 100 else "long"
+        size = "none" if not n else "short" if n <= 25 else "middle" if n <= 100 else "long" if n <= 400 else "huge"
         link = "none" if not n or not self.linked[node] else "some" if 2 * self.linked[node] < n else "most"
-        return f"tag:{group}{'+' if self.inside[node] else ''}", "size:" + size, "kind:" + self.kind[node], "link:" + link
+        within = self.inside[node]
+        # A name says less of an element that holds much text itself.
+        return f"tag:{group}{within}", "size:" + size, f"kind:{self.kind[node]}{'!' if n > 100 else ''}", f"link:{link}{within}"
 
     def is_box(self, node: int) -> bool:
         """Whether the node stands for a part of the page rather than for a piece of text."""
@@ -307,13 +323,45 @@ class TreeModel:
         if not page.blocks:
             return ""
         content = self.marginals(page)
+        if not any(content[k] > 0.5 for k, _ in page.blocks):
+            chosen = densest(page)
+            return "\n\n".join(t for k, t in page.blocks if chosen[k])
         return "\n\n".join(t for k, t in page.blocks if content[k] > 0.5)
 
 
+#: Characters that a piece of text must have beyond its links to speak for the part of the page that it is in.
+WORTH = 60
+
+
+def densest(page: Page) -> list[bool]:
+    """Where the model finds no content at all: the nodes of the part of the page that is worth most, each piece of its text being
+    worth its characters outside links less WORTH; none if no part is worth anything. Navigation, forms and the like are not in it."""
+    n = len(page.tag)
+    out = [page.kind[k] in NEVER or page.tag[k] in ("nav", "footer", "aside", "form") for k in range(n)]
+    worth = [0] * n
+    for k in range(1, n):
+        out[k] = out[k] or out[page.parent[k]]
+    for k in range(n - 1, -1, -1):
+        if page.chars[k] and not out[k]:
+            worth[k] += page.chars[k] - 2 * page.linked[k] - WORTH
+        if k and worth[k] > -2 * WORTH:  # a heading or a short line does not take from what is around it; a list of links does
+            worth[page.parent[k]] += max(worth[k], 0)
+        elif k:
+            worth[page.parent[k]] += worth[k]
+    best = max(range(n), key=lambda k: (worth[k], k))
+    if best and not page.is_box(best):  # a piece of text stands for what it is a piece of
+        best = page.parent[best]
+    inside = [False] * n
+    if worth[best] > 0:
+        for k in range(n):
+            inside[k] = k == best or k > 0 and inside[page.parent[k]]
+    return [i and not o and not (page.chars[k] and 2 * page.linked[k] >= page.chars[k]) for k, (i, o) in enumerate(zip(inside, out, strict=True))]
+
+
 def labelled_pages() -> Iterator[str]:
     """Labelled pages in many layouts, put together from parts: containers of content, and what stands around and in them."""
     word = "lorem"
-    texts = {"short": word, "middle": " ".join([word] * 9), "long": " ".join([word] * 40)}
+    texts = {"short": word, "middle": " ".join([word] * 9), "long": " ".join([word] * 40), "huge": " ".join([word] * 130)}
     links = "".join(f'<li><a href="/{k}">{word} {k}</a></li>' for k in range(5))
     around = [
         f"<nav><ul>{links}</ul></nav>", f'<div class="menu"><ul>{links}</ul></div>', f"<header><h1>{word}</h1><p>{texts['middle']}</p></header>", f'<div id="header"><a href="/">{word}</a></div>',
@@ -356,6 +404,7 @@ def labelled_pages() -> Iterator[str]:
             if step % 4 == 0:
                 wrapper = ("div id=page", 'div class="wrapper"', 'div class="container"', "div id=main")[step // 4 % 4]
                 yield f"<html><body>{near[0]}<{wrapper}>{near[1]}{plain if step % 3 else mixed}{near[2]}{near[5]}</div>{near[3]}</body></html>"
+    yield from _nameless(texts, links)
     for k, body in enumerate([*[b for b in bodies if "<header" not in b] * 6, word, f"<p>{word}</p>", word, f"<h1>{word}</h1><p>{word}</p>"]):  # pages without a container, and of nothing else
         yield f'<html data-content="1"><head><title>x</title></head>{body}</html>'
         yield f'<html data-content="1">{body}</html>'
@@ -363,6 +412,40 @@ def labelled_pages() -> Iterator[str]:
         yield f'<html data-content="1"><body>{_unlabelled(around[k % len(around)])}{body}{_unlabelled(either[k % len(either)])}{_unlabelled(around[4 + k % 4])}</body></html>'
 
 
+def _nameless(texts: dict[str, str], links: str) -> Iterator[str]:
+    """Labelled pages whose elements have no telling names: wrappers in wrappers, text with br, tables for layout, paragraphs that are one link."""
+    word, line = texts["short"], "".join(f'<a href="/{k}">{texts["short"]}</a> ' for k in range(4))
+    link = f'<p><a href="/x">{texts["middle"]}</a></p>'
+    bodies = [
+        f"{texts['huge']}<br><br>{texts['long']}", f"{texts['long']}<br><br>{texts['long']}", texts["huge"],
+        f"<h1>{word}</h1><p>{texts['huge']}</p><p>{texts['middle']}</p><ul><li>{word}</li><li>{texts['middle']}</li></ul>",
+        f"<h1>{texts['middle']}</h1><p>{texts['long']}</p>{link}<p>{texts['long']}</p>",
+        f"<h1>{word}</h1><p>{texts['middle']}</p><p>{texts['long']}</p><p>{word}</p><p>{texts['huge']}</p>",
+        f"<h2>{texts['middle']}</h2><p>{texts['long']}</p><p><a href=y>{word}</a></p><h3>{word}</h3><p>{texts['long']}</p>",
+        f"<p>{texts['long']}</p><blockquote>{texts['middle']}</blockquote><p>{texts['long']} <a href=z>{word}</a></p>",
+    ]
+    beside = [f"<div>{line}</div>", f"<div><ul>{links}</ul></div>", f"<div>{word}</div>", f"<ul>{links}</ul>", f"<div><p>{line}</p></div>", f"<div><div>{line}</div></div>", f"<div>{word} {line}</div>", f"<p>{line}</p>"]
+    step = 0
+    for body in bodies:
+        for wrap in ("{}", "<div>{}</div>", "<div><div>{}</div></div>", "<section>{}</section>", "<article>{}</article>"):
+            step += 1
+            one, two, three = (beside[(step * 3 + k * 5) % len(beside)] for k in range(3))
+            whole = f'<div data-content="1">{wrap.format(body)}</div>'
+            yield f"<html><body>{one}{whole}{two}</body></html>"
+            yield f"<html><body><div>{one}{whole}{three}</div></body></html>"
+            if step % 2:
+                yield f'<html data-content="1"><body>{whole}</body></html>'
+            else:
+                yield f"<html><body><div><div>{one}{two}</div><div>{whole}</div></div><div>{three}</div></body></html>"
+        cells = f'<td data-content="0">{line}</td><td data-content="1">{body}</td>', f'<td data-content="0"><ul>{links}</ul></td><td data-content="1">{body}</td>', f'<td data-content="1">{body}</td>'
+        for k, row in enumerate(cells):
+            top = (f'<tr data-content="0"><td>{word}</td></tr>', "", f'<tr data-content="0"><td>{line}</td></tr>')[k]
+            yield f"<html><body><table>{top}<tr>{row}</tr></table></body></html>"
+            yield f"<html><body>{beside[k]}<table><tr>{row}</tr></table>{beside[k + 2]}</body></html>"
+        yield f'<html><body data-content="1">{_unlabelled(beside[3])}{body}</body></html>'
+        yield f'<html><body data-content="1">{_unlabelled(beside[step % len(beside)])}{body}{_unlabelled(beside[(step + 2) % len(beside)])}</body></html>'
+
+
 def _unlabelled(html: str) -> str:
     return re.sub(r"^<(\w+)", r'<\1 data-content="0"', html)
 
