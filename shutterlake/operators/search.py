@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import text, vectors
@@ -158,3 +159,11 @@ def observed(rows: DataFrame, name: str = "candidates") -> tuple[DataFrame, Obse
     """rows, and an observation that has their number and those with a vector once an action has run: diagnostics without another pass."""
     seen = Observation(name)
     return rows.observe(seen, F.count(F.lit(1)).alias("candidates"), F.count("vector").alias("scored")), seen
+
+
+def answered(assets: DataFrame, request: Search, limit: int = RESULTS) -> tuple[list[Row], Row, float]:
+    """(the results, best first; the row of diagnostics; the seconds that the search took, without those of the diagnostics)."""
+    start = time.perf_counter()
+    found = search(assets, request, limit).collect()  # MOST_RESULTS rows at most
+    elapsed = time.perf_counter() - start
+    return found, diagnostics(assets, request, limit=limit).first(), elapsed

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import closing, contextmanager
+from threading import Lock
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -30,15 +33,32 @@ def shared_path(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+_lock, _writing = Lock(), [0, ""]
+
+
+@contextmanager
+def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The setting holds while any thread writes; the last one puts back what was there before."""
+    with _lock:
+        if not _writing[0]:
+            _writing[1] = spark.conf.get(_CLEANUP, None) or "false"
+            spark.conf.set(_CLEANUP, "true")
+        _writing[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing[0] -= 1
+            if not _writing[0]:
+                spark.conf.set(_CLEANUP, _writing[1])
+
+
 def write(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     """df at path, and read from there. The shuffle files of the write go when it has ended, as nothing else reads them."""
-    spark, before = df.sparkSession, df.sparkSession.conf.get(_CLEANUP, None)
+    spark = df.sparkSession
     writer = df.write.option("compression", "zstd")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _dropping_shuffles(spark):
         (writer.partitionBy(by) if by else writer).parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before or "false")
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -79,3 +99,20 @@ def move_new(spark: SparkSession, source: str, target: str) -> bool:
             return False
         raise
     return True
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small new file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    with closing(target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, False)) as out:
+        out.write(bytearray(text.encode()))
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A small file's text; None if there is no such file."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    with closing(fs.open(target)) as lines:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(lines, "UTF-8")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +12,36 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..operators.mutations import LATEST, apply_changes, fold, merge_latest
-from ..sources.shared import move_new, remove
+from ..sources.shared import get_text, move_new, put_text, remove
 
 TABLE = "asset_id long, at timestamp_ntz, bytes long"
 #: Name of a snapshot's note; readers of Parquet pass over it.
 NOTE = "_note.json"
 
 
+class Position:
+    """A position in a feed that is kept in a file: set, read, and cleared, after which there is none."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def set(self, position: int | None) -> None:
+        """None clears it. A reader sees the old one, none, or the new one, never half of it."""
+        remove(self.spark, self.path)
+        if position is not None:
+            made = f"{self.path}-{uuid.uuid4().hex}"
+            put_text(self.spark, f"{made}/position", str(position))
+            move_new(self.spark, made, self.path)
+            remove(self.spark, made)
+
+    def get(self) -> int | None:
+        said = get_text(self.spark, f"{self.path}/position")
+        return None if said is None else int(said)
+
+    def clear(self) -> None:
+        self.set(None)
+
+
 class StaleWriter(RuntimeError):
     """Another writer has published the version that this one was about to."""
 
@@ -57,12 +79,8 @@ class SnapshotTable:
         version = self.version if version is None else version
         if version < 0:
             return {}
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}/{NOTE}")
-        fs = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(target):
-            return {}
-        with closing(fs.open(target)) as lines:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(lines, "UTF-8"))
+        said = get_text(self.spark, f"{self.path}/v={version}/{NOTE}")
+        return {} if said is None else json.loads(said)
 
     def publish(self, rows: DataFrame, version: int, note: dict | None = None) -> bool:
         """rows as that version, if neither it nor a later one is there; whether they are. Nothing is left of rows that come too late."""
@@ -71,17 +89,11 @@ class SnapshotTable:
         made = f"{self.path}/_new-{uuid.uuid4().hex}"
         try:
             rows.write.parquet(made)
-            self._say(f"{made}/{NOTE}", json.dumps(note or {}))
+            put_text(self.spark, f"{made}/{NOTE}", json.dumps(note or {}))
             return move_new(self.spark, made, f"{self.path}/v={version}")
         finally:
             remove(self.spark, made)
 
-    def _say(self, path: str, text: str) -> None:
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        out = target.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(target, False)
-        with closing(out):
-            out.write(bytearray(text.encode()))
-
     def prune(self, keep: int = 2) -> None:
         """Delete all but the newest snapshots; readers of those deleted fail."""
         for v in self._versions()[: -max(1, keep)]:
@@ -150,4 +162,4 @@ def event_counts(events: DataFrame, window: str = "1 hour", late: str = "2 hours
     return events.withWatermark("at", late).groupBy(F.window("at", window), "op").agg(F.count("*").alias("n"))
 
 
-__all__ = ["LATEST", "SnapshotTable", "StaleWriter", "apply_any_order", "apply_batch", "apply_stream", "deduplicated", "event_counts", "present", "rebuild", "recover"]
+__all__ = ["LATEST", "Position", "SnapshotTable", "StaleWriter", "apply_any_order", "apply_batch", "apply_stream", "deduplicated", "event_counts", "present", "rebuild", "recover"]

@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import random
 import re
+from datetime import datetime
 
 import numpy as np
 import pytest
 
 from shutterlake.functions import vectors
-from shutterlake.operators import metrics, places, search
+from shutterlake.operators import metrics, mutations, places, predicates, search
 
 
 def boxed(lat, lon, km, wrap, x, y):
@@ -121,3 +122,24 @@ def test_percentiles_of_groups(spark):
     whole = metrics.percentiles(frame, "x").first()
     assert whole.p50 == pytest.approx(float(np.percentile([x for _, x in rows if x is not None], 50)), abs=1e-6)
     assert metrics.percentiles(frame.where("false"), "x").first().p50 is None
+
+
+def test_queries_that_are_empty_on_the_tables_are_not_empty_by_nature(spark):
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], datetime(2024, 1, 1 + i), 1, False, None) for i in range(6)]
+    df = spark.createDataFrame(rows, "asset_id long, vector array<double>, created timestamp_ntz, media_type int, favorite boolean, latitude double")
+    only = search.Search(negative=[[1.0, 0.0]], floor=0.0)
+    assert [r.asset_id for r in search.search(df, only).collect()] == [0, 2, 4]
+    assert search.search(df, search.Search(negative=[[1.0, 0.0]])).collect() == []
+    assert [r.asset_id for r in search.search(df, search.Search(constrained=True)).collect()] == [5, 4, 3, 2, 1, 0]
+    table = spark.createDataFrame([(1, None, 5), (2, None, 6)], "asset_id long, at timestamp_ntz, bytes long")
+    folded = spark.createDataFrame([(1, "delete", None, None), (3, "upsert", None, 9)], "asset_id long, op string, at timestamp_ntz, bytes long")
+    assert sorted((r.asset_id, r.bytes) for r in mutations.apply_changes(table, folded).collect()) == [(2, 6), (3, 9)]
+
+
+def test_an_answer_tells_what_it_took(spark):
+    rows = [(i, None if i == 4 else [1.0, i / 10], datetime(2024, 1, 1 + i), i % 2, False, None) for i in range(6)]
+    df = spark.createDataFrame(rows, "asset_id long, vector array<double>, created timestamp_ntz, media_type int, favorite boolean, latitude double")
+    found, told, seconds = search.answered(df, search.Search([[1.0, 1.0]], filter=predicates.CandidateFilter(media_type=0)), 2)
+    assert [r.asset_id for r in found] == [2, 0] and (told.candidate_count, told.scored_count, told.used_vectors) == (3, 2, True) and seconds > 0
+    found, told, _ = search.answered(df, search.Search(constrained=True), 3)
+    assert len(found) == told.candidate_count == 3 and told.scored_count == 0

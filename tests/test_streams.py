@@ -170,3 +170,20 @@ def test_an_encoder_may_take_many_texts_at_once():
     assert mutations.encoded(["a", "bb"], m.encode) == [[1.0], [2.0]] and m.calls == 1
     assert mutations.encoded(["a", "bad", None], m.encode) == [[1.0], None, None]
     assert mutations.encoded(["bad", "b"], flaky) == [None, [1.0]]
+
+
+def test_a_position_is_set_and_cleared(spark, tmp_path):
+    kept = changes.Position(spark, str(tmp_path / "position"))
+    assert kept.get() is None
+    for p in (5, 7):
+        kept.set(p)
+        assert kept.get() == p == changes.Position(spark, kept.path).get()
+    kept.clear()
+    assert kept.get() is None and list(Path(tmp_path).iterdir()) == []
+
+
+def test_writes_in_threads_leave_the_session_as_it_was(spark, tmp_path):
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None)
+    with ThreadPoolExecutor(3) as pool:
+        rows = list(pool.map(lambda k: shared.write(spark.range(50 + k).groupBy(F.col("id") % 3).count(), str(tmp_path / str(k))).count(), range(3)))
+    assert rows == [3, 3, 3] and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (before, "false")
