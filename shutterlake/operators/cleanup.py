@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,17 +51,42 @@ def exact_duplicates(rows: DataFrame, content: str = "text", key: str = "asset_i
     return digests.join(groups, "digest").select(key, "digest", "first", "copies")
 
 
+#: Words whose buckets a task remembers.
+REMEMBERED = 1 << 20
+
+
+class _Buckets(dict):
+    """A word's bucket, worked out when it is first asked for: words come again and again."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = out = int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:4], 16) % 65
+        return out
+
+
+def _hashed(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """(hash, chars, n) of texts in lower case; words are what stands between ASCII white space."""
+    buckets = _Buckets()
+    for batch in texts:
+        lengths, out = pa.compute.utf8_length(batch).to_pylist(), []
+        for text, length in zip(batch.cast(pa.binary()), lengths, strict=True):
+            said = text.as_py() or b""
+            words = said.split()
+            counts = np.bincount(list(map(buckets.__getitem__, words)), minlength=65) if words else np.zeros(65, np.int64)
+            bits = np.packbits(counts[:-1] > counts[1:], bitorder="little").view("<i8")[0]
+            spaces = len(said) - len(b"".join(words))
+            out.append((int(bits), (length or 0) - spaces, len(words)))
+        yield pa.array([dict(zip(("hash", "chars", "n"), x, strict=True)) for x in out], pa.struct([("hash", pa.int64()), ("chars", pa.int64()), ("n", pa.int64())]))
+
+
 def difference_hash(rows: DataFrame, key: str = "asset_id", content: str = "text") -> DataFrame:
     """(key, hash, ratio): 64 bits, bit i set if words of bucket i outnumber those of bucket i + 1; ratio is the mean word length.
 
-    A word's bucket is the first four hex digits of its md5 modulo 65. Counts are partial sums per row and bucket."""
-    words = rows.select(key, F.explode(F.filter(F.split(F.lower(F.col(content)), r"\s+"), lambda w: w != "")).alias("w"))
-    bucket = F.conv(F.substring(F.md5(F.col("w").cast("binary")), 1, 4), 16, 10).cast("int") % 65
-    counts = words.groupBy(key, bucket.alias("b")).agg(F.count("*").alias("n"), F.sum(F.length("w")).alias("chars"))
-    whole = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("m"), (F.sum("chars") / F.sum("n")).alias("ratio"))  # 65 entries at most
-    n = lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0))
-    bits = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(n(i) > n(i + 1), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return whole.select(key, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)).alias("hash"), F.round("ratio", 6).alias("ratio"))
+    A word's bucket is the first four hex digits of its md5 modulo 65. Each row is hashed where it is, without a shuffle; rows
+    without words give nothing."""
+    told = rows.select(key, F.arrow_udf(_hashed, "hash long, chars long, n long")(F.lower(F.col(content))).alias("h")).where("h.n > 0")
+    return told.select(key, "h.hash", F.round(F.col("h.chars") / F.col("h.n"), 6).alias("ratio"))
 
 
 def hamming(a: str, b: str) -> Column:
@@ -79,21 +109,24 @@ def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts
     The 64 bits are cut into parts; hashes within distance agree in parts - distance of them, so every choice of that many
     parts is a join key, and no pair is missed. Ratios are cut into bands as wide as the difference allowed, so partners
     are in the same band or in neighbouring ones: the band is part of the key too, and one side is there under both. Keys
-    that many classes share, as those of short texts do, are split by Spark's skew join; a pair is checked where it meets."""
+    that many classes share, as those of short texts do, are split by Spark's skew join; a pair is checked where it meets, and
+    counts under the first key that it shares, so that nothing is shuffled after the join."""
     classes = written(classes, "near-classes")
     parts = parts or _parts(classes.count(), distance)
     width = 64 // parts
     part = [F.shiftrightunsigned("hash", width * i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(parts)]
-    keys = []
-    for k, chosen in enumerate(combinations(range(parts), parts - distance)):
-        keys.append(F.xxhash64(F.lit(k), *(part[i] for i in chosen)))
-    keyed = classes.withColumn("k", F.explode(F.array(*keys))).withColumn("band", F.floor(F.col("ratio") / ratio))
-    a = keyed.select("k", "band", *(F.col(c).alias(f"{c}_a") for c in ("rep", "hash", "ratio")))
+    # The last part of a choice goes with its key: of the choices in which a pair agrees, the one of the first such parts counts.
+    keys = [F.struct(F.xxhash64(F.lit(k), *(part[i] for i in chosen)).alias("k"), F.lit(chosen[-1]).alias("last")) for k, chosen in enumerate(combinations(range(parts), parts - distance))]
+    keyed = classes.withColumn("key", F.explode(F.array(*keys))).select(*classes.columns, "key.*").withColumn("band", F.floor(F.col("ratio") / ratio))
+    a = keyed.select("k", "last", "band", *(F.col(c).alias(f"{c}_a") for c in ("rep", "hash", "ratio")))
     b = keyed.select("k", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "hash", "ratio")))
     # b is in its own band and the one below, so a pair of neighbouring bands meets once, with b in the upper one.
     met = (F.col("rep_a") < F.col("rep_b")) | (F.floor(F.col("ratio_a") / ratio) < F.floor(F.col("ratio_b") / ratio))
     near = a.join(b, ["k", "band"]).where(met & (F.col("rep_a") != F.col("rep_b")) & (hamming("hash_a", "hash_b") <= distance) & (F.abs(F.col("ratio_a") - F.col("ratio_b")) < ratio))
-    return near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), hamming("hash_a", "hash_b").alias("distance")).distinct()
+    apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
+    agree = sum((F.when((F.lit(i) <= F.col("last")) & (F.shiftrightunsigned(apart, width * i).bitwiseAND(F.lit((1 << width) - 1)) == 0), 1).otherwise(0) for i in range(parts)), F.lit(0))
+    near = near.where(agree == parts - distance)
+    return near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), hamming("hash_a", "hash_b").alias("distance"))
 
 
 def near_groups(hashes: DataFrame, key: str = "asset_id", distance: int = 5, ratio: float = 0.05) -> DataFrame:
