@@ -10,7 +10,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from shutterlake.llm import secret_scan, substring_dedup
+from shutterlake.llm import secret_scan, substring_dedup, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,3 +79,16 @@ def test_overlapping_spans_leave_one_mark(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = secret_scan.redact(docs).first().text
     assert got == "a [SECRET] b [SECRET] " + " ".join("[SECRET]" for _ in range(700))
+
+
+def test_marks_that_the_trees_never_saw_are_found(spark):
+    """Hosts with three of the marks, and a fifth of all hosts, are kept from the trees."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url")
+    host = F.regexp_extract("url", "://([^/?#]*)", 1)
+    unseen = lambda c: F.arrays_overlap(F.split(F.lower(c), "[.:-]"), F.array(*map(F.lit, ("casino", "pills", "win"))))
+    held = unseen(host) | (F.crc32(host.cast("binary")) % 5 == 0)
+    rows = url_filter.url_filter(pages.where(held), url_filter.marked(pages.where(~held)), rules=()).select("verdict", unseen(F.col("host")).alias("unseen")).collect()
+    found = [r.verdict == "block" for r in rows if r.unseen]
+    wrong = [r.verdict == "block" for r in rows if not r.unseen]
+    assert len(found) > 30 and sum(found) >= 0.9 * len(found)
+    assert len(wrong) > 500 and sum(wrong) <= 0.02 * len(wrong)
