@@ -148,9 +148,9 @@ def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id"
 
 
 def validate(places: DataFrame) -> DataFrame:
-    """(place, problem): coordinates or radius out of range, a box turned inside out, and names of more than one place. Rows without a place or a name have no say in the last."""
+    """(place, problem): coordinates or radius out of range, a box turned inside out (where the coordinates are right), and names of more than one place. Rows without a place or a name have no say in the last."""
     turned = geo.box(F.col("latitude"), F.col("longitude"), F.col("radius"))
-    wrong = (("coordinates", ~geo.valid(F.col("latitude"), F.col("longitude"))), ("radius", ~F.coalesce((F.col("radius") > 0) & (F.col("radius") <= 2000), F.lit(False))), ("box", F.coalesce((turned["south"] > turned["north"]) | (turned["west"] > turned["east"]), F.lit(False))))
+    wrong = (("coordinates", ~geo.valid(F.col("latitude"), F.col("longitude"))), ("radius", ~F.coalesce((F.col("radius") > 0) & (F.col("radius") <= 2000), F.lit(False))), ("box", geo.valid(F.col("latitude"), F.col("longitude")) & F.coalesce((turned["south"] > turned["north"]) | (turned["west"] > turned["east"]), F.lit(False))))
     bad = places.select("place", F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in wrong))).alias("p"))
     shared = places.groupBy("key").agg(F.min("place").alias("least"), F.max("place").alias("most")).where("least < most").select(F.col("key").alias("shared"))
     twice = places.where("place IS NOT NULL").join(shared, F.col("key") == F.col("shared")).select("place", F.concat(F.lit("name: "), "key").alias("problem"))

@@ -133,7 +133,7 @@ def _claimed(spark, sf):
 _CLAIMED = """claimed AS (SELECT * FROM n UNION ALL SELECT 'k' || vec_id // 3 AS key, 'v' || vec_id AS place, embedding[1]::DOUBLE * 600 AS lat, embedding[2]::DOUBLE * 1200 AS lon, floor(embedding[3]::DOUBLE * 8000) AS km FROM embeddings),
 d AS (SELECT *, km / 111.32 AS a, km / (111.32 * greatest(cos(radians(lat)), 0.01)) AS e FROM claimed),
 boxed AS (SELECT *, greatest(lat - a, -90) AS south, least(lat + a, 90) AS north, CASE WHEN lon - e < -180 OR lon + e > 180 OR e >= 180 THEN -180 ELSE lon - e END AS west, CASE WHEN lon - e < -180 OR lon + e > 180 OR e >= 180 THEN 180 ELSE lon + e END AS east FROM d)
-SELECT DISTINCT place, unnest(list_filter([CASE WHEN NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) THEN 'coordinates' END, CASE WHEN NOT (km > 0 AND km <= 2000) THEN 'radius' END, CASE WHEN south > north OR west > east THEN 'box' END], lambda x: x IS NOT NULL)) AS problem FROM boxed
+SELECT DISTINCT place, unnest(list_filter([CASE WHEN NOT (lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180) THEN 'coordinates' END, CASE WHEN NOT (km > 0 AND km <= 2000) THEN 'radius' END, CASE WHEN lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND (south > north OR west > east) THEN 'box' END], lambda x: x IS NOT NULL)) AS problem FROM boxed
 UNION ALL SELECT place, 'name: ' || key FROM claimed WHERE key IN (SELECT key FROM claimed GROUP BY key HAVING count(DISTINCT place) > 1)"""
 
 
