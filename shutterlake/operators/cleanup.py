@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -55,13 +56,17 @@ def exact_duplicates(rows: DataFrame, content: str = "text", key: str = "asset_i
 REMEMBERED = 1 << 20
 
 
+_md5 = partial(hashlib.md5, usedforsecurity=False)
+
+
 class _Buckets(dict):
     """A word's bucket, worked out when it is first asked for: words come again and again."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = out = int(hashlib.md5(word, usedforsecurity=False).hexdigest()[:4], 16) % 65
+        first = _md5(word).digest()  # two bytes are four digits
+        self[word] = out = (first[0] << 8 | first[1]) % 65
         return out
 
 
@@ -131,6 +136,7 @@ def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts
 
 def near_groups(hashes: DataFrame, key: str = "asset_id", distance: int = 5, ratio: float = 0.05) -> DataFrame:
     """(key, component) of every row in a group of two or more, linked through its hash class."""
+    hashes = written(hashes.select(key, "hash", "ratio"), "hashes")  # texts are hashed once
     classes = written(hash_classes(hashes, key), "hash-classes")
     comps = connected_components(near_pairs(classes, distance, ratio)).select(F.col("node").alias("rep"), "component")
     placed = hashes.join(classes, ["hash", "ratio"]).join(comps, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
