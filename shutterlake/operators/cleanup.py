@@ -127,7 +127,8 @@ def near_pairs(classes: DataFrame, distance: int = 5, ratio: float = 0.05, parts
     b = keyed.select("k", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band"), *(F.col(c).alias(f"{c}_b") for c in ("rep", "hash", "ratio")))
     # b is in its own band and the one below, so a pair of neighbouring bands meets once, with b in the upper one.
     met = (F.col("rep_a") < F.col("rep_b")) | (F.floor(F.col("ratio_a") / ratio) < F.floor(F.col("ratio_b") / ratio))
-    near = a.join(b, ["k", "band"]).where(met & (F.col("rep_a") != F.col("rep_b")) & (hamming("hash_a", "hash_b") <= distance) & (F.abs(F.col("ratio_a") - F.col("ratio_b")) < ratio))
+    # Sorted and merged on the cluster: by the size of classes, which knows nothing of the keys, Spark would send all of b to the driver.
+    near = a.join(b.hint("merge"), ["k", "band"]).where(met & (F.col("rep_a") != F.col("rep_b")) & (hamming("hash_a", "hash_b") <= distance) & (F.abs(F.col("ratio_a") - F.col("ratio_b")) < ratio))
     apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))
     agree = sum((F.when((F.lit(i) <= F.col("last")) & (F.shiftrightunsigned(apart, width * i).bitwiseAND(F.lit((1 << width) - 1)) == 0), 1).otherwise(0) for i in range(parts)), F.lit(0))
     near = near.where(agree == parts - distance)

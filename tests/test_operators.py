@@ -102,6 +102,13 @@ def test_search_fixture(spark):
         search.top_k(df, [1.0, 0.0], 3).collect()
 
 
+def test_keys_of_near_pairs_are_not_broadcast(spark):
+    """The table of classes is small enough for a broadcast; that of its keys, many times as large, has no size that Spark knows."""
+    df = spark.createDataFrame([(i, i * 7919, 4.0) for i in range(50)], "rep long, hash long, ratio double")
+    plan = cleanup.near_pairs(df)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_scores_keep_null_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 1.0])], "k long, v array<double>")
     assert values(df.select("k", vectors.scores(F.col("v"), [[1.0, 1.0], [0.0, 1.0]]))) == [(1, [3.0, 2.0]), (2, None), (3, [1.0, 1.0])]
