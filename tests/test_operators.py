@@ -102,6 +102,12 @@ def test_search_fixture(spark):
         search.top_k(df, [1.0, 0.0], 3).collect()
 
 
+def test_similar_compares_the_newest_candidates(spark, monkeypatch):
+    df = spark.createDataFrame([(i, [1.0, i / 10], datetime(2020, 1, 10 - i // 2)) for i in range(8)], "asset_id long, vector array<double>, created timestamp_ntz")
+    monkeypatch.setattr(search, "MOST_CANDIDATES", 2)
+    assert [r.asset_id for r in search.similar(df, 1).collect()] == [3, 0]  # 0 is the newest; of 2 and 3, of one day, the larger id counts
+
+
 def test_keys_of_near_pairs_are_not_broadcast(spark):
     """The table of classes is small enough for a broadcast; that of its keys, many times as large, has no size that Spark knows."""
     df = spark.createDataFrame([(i, i * 7919, 4.0) for i in range(50)], "rep long, hash long, ratio double")
