@@ -77,6 +77,25 @@ def blocks_of(monkeypatch, block, group):
     monkeypatch.setattr(vectors.packed, "__defaults__", (block,))
 
 
+@pytest.mark.parametrize(("k", "block", "group"), [(1, 1024, 64), (5, 16, 2), (300, 16, 1)])
+def test_retrieval_by_label(spark, monkeypatch, k, block, group):
+    """Ties between equal vectors, labels whose best item is far down, of one item only, and null."""
+    blocks_of(monkeypatch, block, group)
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(12, 4))
+    rows = [(int(i), (base[i % 12] if i % 3 else rng.normal(size=4)).tolist(), None if i % 28 == 0 else 50 if i == 8 else int(i % 7 if i % 4 else 100 + i % 3)) for i in rng.permutation(200)]
+    table = spark.createDataFrame(rows, "asset_id long, vector array<double>, label int").repartition(3)
+    asked = table.where("asset_id % 4 = 0").withColumn("label", F.when(F.col("asset_id") == 12, 3).otherwise(F.col("label")))
+    want = {}
+    for q, v, label in rows:
+        label = 3 if q == 12 else label
+        if q % 4 == 0 and label is not None:
+            want[q] = brute([i for _, i in sorted((-round(float(np.dot(v, w)), 6), i) for i, w, _ in rows)], {i for i, _, x in rows if x == label}, k)
+    got = {r.query: tuple(r)[1:] for r in metrics.retrieval_by_label(asked, table, k).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
+    assert k > 1 or any(0 < w[2] < 0.1 for w in want.values())
+
+
 @pytest.mark.parametrize(("enough", "block", "group"), [(512, 1024, 64), (1, 16, 2)])
 def test_agreement_of_two_rankings(spark, monkeypatch, enough, block, group):
     """Many items of one score, so that the top quarter ends between equal ones; the other ranking is turned around for some."""
