@@ -6,13 +6,18 @@ import math
 import random
 import re
 from datetime import datetime
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shutterlake import catalog
 from shutterlake.functions import vectors
 from shutterlake.operators import metrics, mutations, places, predicates, search
+from shutterlake.sources import tables
+
+from .conftest import SF
 
 
 def boxed(lat, lon, km, wrap, x, y):
@@ -115,6 +120,18 @@ def test_agreement_of_two_rankings(spark, monkeypatch, enough, block, group):
     assert got.keys() == want.keys() and all(np.allclose(got[q], want[q], atol=2e-6) for q in want)
 
 
+@pytest.mark.parametrize("name", ["retrieval_metrics", "retrieval_summary", "ranking_agreement"])
+def test_scores_of_all_pairs_are_not_written(spark, name):
+    folder = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    table = catalog.queries()[name](spark, SF)
+    table.collect()
+    items = tables.vectors(spark, SF)
+    n = items.count() * items.where("asset_id % 100 = 0").count()
+    rows = [spark.read.parquet(str(f)).count() for f in set(folder.iterdir()) - before]
+    assert rows and max(rows) < n / 2
+
+
 def test_vectors_of_two_lengths_raise(spark):
     long_, short = (spark.createDataFrame([(1, v)], "asset_id long, vector array<double>") for v in ([1.0, 2.0], [1.0]))
     with pytest.raises(Exception, match="dimensions"):
