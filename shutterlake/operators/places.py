@@ -86,6 +86,8 @@ def resolve(mentions: DataFrame, places: DataFrame, column: str = "mention") ->
 
 #: Longest run, in characters, that is looked for inside a clause.
 INSIDE = 8
+#: Clauses that a task holds as texts at a time, of those that come in one Arrow batch.
+TEXTS = 256
 
 
 def _endings(text: str, at: int, room: int) -> list[int]:
@@ -99,26 +101,40 @@ def _endings(text: str, at: int, room: int) -> list[int]:
     return sorted(out)
 
 
+class _Lower(dict):
+    """Characters in lower case, one by one; those that become two are no part of a name."""
+
+    def __missing__(self, point: int) -> str:
+        low = chr(point).lower()
+        self[point] = out = low if len(low) == 1 else "\0"
+        return out
+
+
+_LOWER = _Lower()
+
+
 def _longest(said: str, names: ahocorasick.Automaton) -> tuple[int, int, list[str]] | None:
-    """(at from 1, length, names) of the longest run that is a name, the leftmost of these."""
-    text = "".join(low if len(low := c.lower()) == 1 else "\0" for c in said)
-    best: dict[tuple[int, int], list[str]] = {}
+    """(at from 1, length, names) of the longest run that is a name, the leftmost of these. Only the best run so far is held, and nothing as long as the text but its lower case."""
+    text = said.translate(_LOWER)
+    best: tuple[int, int] = (0, 0)
+    found: list[str] = []
     for last, name in names.iter(text):
         start = last + 1 - len(name)
         for ending in (0, *_endings(text, last + 1, INSIDE - len(name))):
             core = text[start : last + 1 + ending]
             if ending and _ENDING.sub("", core) != name:
                 continue
-            room = INSIDE - len(core)
-            before = min(room, start - len(text[:start].rstrip(" ")))
-            after = text[start + len(core) :]
-            total = len(core) + before + min(room - before, len(after) - len(after.lstrip(" ")))
-            if total >= 2:
-                best.setdefault((-total, start - before), []).append(name)
-    if not best:
-        return None
-    total, at = min(best)
-    return at + 1, -total, best[total, at]
+            room, end = INSIDE - len(core), start + len(core)
+            left = text[max(0, start - room) : start]
+            before = len(left) - len(left.rstrip(" "))
+            right = text[end : end + room - before]
+            total = len(core) + before + len(right) - len(right.lstrip(" "))
+            run = -total, start - before
+            if total >= 2 and (not found or run < best):
+                best, found = run, [name]
+            elif total >= 2 and run == best:
+                found.append(name)
+    return (best[1] + 1, -best[0], found) if found else None
 
 
 def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id", column: str = "clause") -> DataFrame:
@@ -136,7 +152,7 @@ def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id"
             names.add_word(name, name)
         names.make_automaton()
         for batch in said:
-            hits = [_longest(c, names) if known and c else None for c in batch.to_pylist()]
+            hits = [_longest(c, names) if known and c else None for at in range(0, len(batch), TEXTS) for c in batch.slice(at, TEXTS).to_pylist()]
             yield pa.array([h and dict(zip(("at", "length", "keys"), h, strict=True)) for h in hits], pa.struct([("at", pa.int32()), ("length", pa.int32()), ("keys", pa.list_(pa.string()))]))
 
     run = F.arrow_udf(found, "at int, length int, keys array<string>")

@@ -152,6 +152,24 @@ def naive_place(said, keys):
     return None
 
 
+def test_a_long_clause_takes_little_memory(spark):
+    import tracemalloc
+
+    import ahocorasick
+
+    names = ahocorasick.Automaton()
+    names.add_word("北京", "北京")
+    names.make_automaton()
+    said = "去 北京市 看猫" * 20_000
+    tracemalloc.start()
+    try:
+        found, peak = places._longest(said, names), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found == (2, 5, ["北京"])
+    assert peak < 8 * len(said)  # the text itself has two bytes a character
+
+
 def test_names_in_clauses(spark):
     rng = random.Random(5)
     gazetteer = places.gazetteer(spark, (("Aa", "aab ba", 1.0, 2.0, 3), ("Bb", "b市 xx", 1.0, 2.0, 3), ("Cc", "aa市", 1.0, 2.0, 3), ("Long Name Here", "", 0.0, 0.0, 1)))
