@@ -140,6 +140,7 @@ def near_groups(hashes: DataFrame, key: str = "asset_id", distance: int = 5, rat
     hashes = written(hashes.select(key, "hash", "ratio"), "hashes")  # texts are hashed once
     classes = written(hash_classes(hashes, key), "hash-classes")
     comps = connected_components(near_pairs(classes, distance, ratio)).select(F.col("node").alias("rep"), "component")
-    placed = hashes.join(classes, ["hash", "ratio"]).join(comps, "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
+    # Merged on the cluster, as the keys of pairs are: packed tables of some MB hold rows of a hundred, which Spark would send through the driver.
+    placed = hashes.join(classes.hint("merge"), ["hash", "ratio"]).join(comps.hint("merge"), "rep", "left").select(key, F.coalesce("component", "rep").alias("component"))
     sizes = placed.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
     return placed.join(sizes, "component", "left_semi").select(key, "component")

@@ -115,6 +115,16 @@ def test_keys_of_near_pairs_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_near_groups_do_not_broadcast_classes(spark):
+    """As its keys, the classes and components of near groups are merged; the plan that Spark ended with counts, of the pairs too."""
+    df = spark.createDataFrame([(i, i // 2 * 7919, 4.0) for i in range(50)], "asset_id long, hash long, ratio double")
+    groups, pairs = cleanup.near_groups(df), cleanup.near_pairs(cleanup.hash_classes(df))
+    assert "BroadcastHashJoin" not in groups._jdf.queryExecution().executedPlan().toString()
+    assert len(values(groups)) == 50
+    assert values(pairs)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
 def test_scores_keep_null_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [0.0, 1.0])], "k long, v array<double>")
     assert values(df.select("k", vectors.scores(F.col("v"), [[1.0, 1.0], [0.0, 1.0]]))) == [(1, [3.0, 2.0]), (2, None), (3, [1.0, 1.0])]
