@@ -189,7 +189,7 @@ def implied_places(plans: DataFrame, gazetteer: DataFrame) -> DataFrame:
     "Beijing cats" is a search for cats in Beijing; a plan with a place of its own is left as it is."""
     bare = plans.where("place IS NULL").select("request_id", F.posexplode("positive").alias("at_clause", "clause"))
     named = bare.withColumn("one", F.concat_ws(":", F.col("request_id").cast("string"), "at_clause"))
-    found = places.longest_exact(named, gazetteer, "one").select("one", F.col("place").alias("implied"), "remainder")
+    found = places.longest_exact(named, gazetteer, "one", whole=True).select("one", F.col("place").alias("implied"), "remainder")
     first = named.join(found, "one").groupBy("request_id").agg(F.min_by(F.struct("at_clause", "implied", "remainder"), "at_clause").alias("b"))
     rows = plans.join(first, "request_id", "left")
     kept = F.filter(F.transform("positive", lambda c, k: F.when(k == F.col("b.at_clause"), F.col("b.remainder")).otherwise(c)), lambda c: c != "")

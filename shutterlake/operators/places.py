@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import ahocorasick
@@ -84,7 +86,7 @@ def resolve(mentions: DataFrame, places: DataFrame, column: str = "mention") ->
     return mentions.join(found, column, "left")
 
 
-#: Longest run, in characters, that is looked for inside a clause.
+#: Longest run, in characters, that spaces around a name add to; and longest run that is looked for inside a clause, unless the whole search is asked for.
 INSIDE = 8
 #: Clauses that a task holds as texts at a time, of those that come in one Arrow batch.
 TEXTS = 256
@@ -101,6 +103,30 @@ def _endings(text: str, at: int, room: int) -> list[int]:
     return sorted(out)
 
 
+#: One ending; none begins with another, so a chain of them has one reading from where it begins.
+_ONE = re.compile("|".join(map(re.escape, SUFFIXES)))
+
+
+class _Chains:
+    """Ends of the chains of endings in a text. The last chain walked is held, so chains that overlap are walked once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.path = text, array("q")
+
+    def end(self, at: int) -> int:
+        """Where the chain that begins at a place ends; the place itself if none does."""
+        walked = array("q", [at])
+        while True:
+            k = bisect_left(self.path, walked[-1])
+            if k < len(self.path) and self.path[k] == walked[-1]:
+                return self.path[-1]
+            one = _ONE.match(self.text, walked[-1])
+            if not one:
+                self.path = walked
+                return walked[-1]
+            walked.append(one.end())
+
+
 class _Lower(dict):
     """Characters in lower case, one by one; those that become two are no part of a name."""
 
@@ -113,22 +139,33 @@ class _Lower(dict):
 _LOWER = _Lower()
 
 
-def _longest(said: str, names: ahocorasick.Automaton) -> tuple[int, int, list[str]] | None:
-    """(at from 1, length, names) of the longest run that is a name, the leftmost of these. Only the best run so far is held, and nothing as long as the text but its lower case."""
+def _beyond(text: str, at: int, name: str, chains: _Chains) -> int:
+    """Length of the chain of endings after a name that makes a core longer than INSIDE; 0 if none does, or if an ending begins inside the name."""
+    one = _ONE.match(text, at)
+    if not one or _ENDING.sub("", name + one[0]) != name:
+        return 0
+    n = chains.end(at) - at
+    return n if len(name) + n > INSIDE else 0
+
+
+def _longest(said: str, names: ahocorasick.Automaton, whole: bool = False) -> tuple[int, int, list[str]] | None:
+    """(at from 1, length, names) of the longest run that is a name, the leftmost of these. Only the best run so far is held, and nothing as long as the text but its lower case (and the ends of one chain of endings)."""
     text = said.translate(_LOWER)
     best: tuple[int, int] = (0, 0)
     found: list[str] = []
+    chains = _Chains(text)
     for last, name in names.iter(text):
         start = last + 1 - len(name)
-        for ending in (0, *_endings(text, last + 1, INSIDE - len(name))):
-            core = text[start : last + 1 + ending]
-            if ending and _ENDING.sub("", core) != name:
+        far = _beyond(text, last + 1, name, chains) if whole else 0
+        for ending in (0, *_endings(text, last + 1, INSIDE - len(name)), *([far] if far else [])):
+            size = len(name) + ending
+            if ending and ending != far and _ENDING.sub("", text[start : start + size]) != name:
                 continue
-            room, end = INSIDE - len(core), start + len(core)
+            room, end = max(0, INSIDE - size), start + size
             left = text[max(0, start - room) : start]
             before = len(left) - len(left.rstrip(" "))
             right = text[end : end + room - before]
-            total = len(core) + before + len(right) - len(right.lstrip(" "))
+            total = size + before + len(right) - len(right.lstrip(" "))
             run = -total, start - before
             if total >= 2 and (not found or run < best):
                 best, found = run, [name]
@@ -137,13 +174,14 @@ def _longest(said: str, names: ahocorasick.Automaton) -> tuple[int, int, list[st
     return (best[1] + 1, -best[0], found) if found else None
 
 
-def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id", column: str = "clause") -> DataFrame:
-    """(key, place, at, length, remainder and the place's numbers) of the clauses that hold a place's whole name: the longest run of 2 to INSIDE
-    characters that is one, with or without an ending, the leftmost of these; spaces around the name belong to the run. remainder: the clause without it, white space as one space. Keys should be distinct.
+def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id", column: str = "clause", whole: bool = False) -> DataFrame:
+    """(key, place, at, length, remainder and the place's numbers) of the clauses that hold a place's whole name: the longest run of 2 characters or more
+    that is one, with or without endings, the leftmost of these; spaces around the name belong to the run, as far as it has INSIDE characters. remainder: the clause without it, white space as one space. Keys should be distinct.
+    whole: names of any length count, with any number of endings; without it, runs of more than INSIDE characters do not.
 
     An Aho-Corasick automaton of the names (a gazetteer, a list that a program or person keeps: it goes to each task) is walked once
     over a clause, so the cost does not depend on how many names there are; only clauses with a name make rows."""
-    known = sorted({r.key for r in places.select("key").distinct().collect() if r.key and len(r.key) <= INSIDE})
+    known = sorted({r.key for r in places.select("key").distinct().collect() if r.key and (whole or len(r.key) <= INSIDE)})
     numbers = ("place", "latitude", "longitude", "radius")
 
     def found(said: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -152,7 +190,7 @@ def longest_exact(clauses: DataFrame, places: DataFrame, key: str = "request_id"
             names.add_word(name, name)
         names.make_automaton()
         for batch in said:
-            hits = [_longest(c, names) if known and c else None for at in range(0, len(batch), TEXTS) for c in batch.slice(at, TEXTS).to_pylist()]
+            hits = [_longest(c, names, whole) if known and c else None for at in range(0, len(batch), TEXTS) for c in batch.slice(at, TEXTS).to_pylist()]
             yield pa.array([h and dict(zip(("at", "length", "keys"), h, strict=True)) for h in hits], pa.struct([("at", pa.int32()), ("length", pa.int32()), ("keys", pa.list_(pa.string()))]))
 
     run = F.arrow_udf(found, "at int, length int, keys array<string>")

@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from shutterlake import catalog
 from shutterlake.operators import analyzer, places, search
 
 NOW = datetime(2026, 9, 15, 12)
@@ -105,6 +106,16 @@ def test_implied_places(spark):
     assert got[5] == ("Kyoto", [], None) and got[6] == ("Rome", ["dogs", "Paris"], None)
 
 
+def test_implied_places_with_long_names(spark, tmp_path):
+    said = [(1, "San Francisco sunset"), (2, "lights of Bangkok city"), (3, "rome or Rio de Janeiro"), (4, "cats in  athens")]
+    plans = spark.createDataFrame([(i, [t], None, "and") for i, t in said], "request_id int, positive array<string>, place string, combine string")
+    got = {r.request_id: (r.implied, r.positive) for r in analyzer.implied_places(plans, places.gazetteer(spark)).collect()}
+    assert got == {1: ("San Francisco", ["sunset"]), 2: ("Bangkok", ["lights of"]), 3: ("Rio de Janeiro", ["rome or"]), 4: ("Athens", ["cats in"])}
+    spark.createDataFrame([(i, 0, t) for i, t in said], "conv_id int, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    rows = {r.request_id: (r.place, r.at, r.length) for r in catalog.queries()["implied_places"](spark, str(tmp_path)).collect()}
+    assert rows == {"1:0": ("San Francisco", 1, 13), "2:0": ("Bangkok", 11, 12), "3:0": ("Rio de Janeiro", 9, 14), "4:0": ("Athens", 8, 8)}
+
+
 def test_diagnostics(spark):
     schema = "asset_id long, created timestamp, media_type int, favorite boolean, latitude double, longitude double, text string, vector array<double>"
     rows = [(1, NOW, 1, True, -17.7, 178.0, None, [1.0, 0.0]), (2, NOW, 2, False, None, None, "x", None), (3, NOW, 1, False, 48.85, 2.35, None, [0.0, 1.0])]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import time
 from datetime import datetime
 from pathlib import Path
 
@@ -184,6 +185,47 @@ def test_names_in_clauses(spark):
     assert got == want and len(want) > 200
 
 
+def naive_whole(said, keys):
+    """All runs of any length; those of more than INSIDE characters have no spaces around."""
+    best = None
+    for n in range(len(said), 1, -1):
+        for at in range(len(said) - n + 1):
+            run = said[at : at + n].lower()
+            if n > places.INSIDE and run != run.strip(" "):
+                continue
+            core = run.strip(" ")
+            hits = [keys[c] for c in {core, re.sub(places.ENDS, "", core)} if c in keys]
+            if hits and (best is None or (-n, at) < best[:2]):
+                best = (-n, at, min(hits))
+        if best:
+            return best[2], best[1] + 1, n
+    return None
+
+
+def test_names_of_any_length_in_clauses(spark):
+    rng = random.Random(6)
+    gazetteer = places.gazetteer(spark, (("Aa", "aab ba", 1.0, 2.0, 3), ("Bb", "b市 xx 特别行 特别行政", 1.0, 2.0, 3), ("Cc", "aa市 city", 1.0, 2.0, 3), ("Long Name Here", "", 0.0, 0.0, 1), ("Name Here City", "", 0.0, 0.0, 1)))
+    keys = {}
+    for r in gazetteer.collect():
+        keys[r.key] = min(keys.get(r.key, "~"), r.place)
+    parts = ["aa", "b", " ", "市", "区", "政区", "特别行政区", "特别行", " city", " city city", "xx", "  ", " county", "İ", "long name here", "Name Here"]
+    said = [(str(i), "".join(rng.choices(parts, k=rng.randrange(0, 8)))) for i in range(800)]
+    got = {r.request_id: (r.place, r.at, r.length) for r in places.longest_exact(spark.createDataFrame(said, "request_id string, clause string"), gazetteer, whole=True).collect()}
+    assert got == {i: w for i, c in said if (w := naive_whole(c, keys))}
+    assert sum(n > places.INSIDE for _, _, n in got.values()) > 200
+
+
+def test_a_chain_of_endings_is_walked_once():
+    import ahocorasick
+
+    names = ahocorasick.Automaton()
+    names.add_word("city", "city")
+    names.make_automaton()
+    start = time.process_time()
+    assert places._longest("a" + " city" * 100_000 + "." * 600_000, names, whole=True) == (3, 499_999, ["city"])
+    assert time.process_time() - start < 20
+
+
 def test_members_of_merged_clusters(spark):
     rng = random.Random(8)
     rows = [(i, rng.choice([rng.uniform(-90, 90), rng.gauss(10, 0.1)]), rng.choice([rng.uniform(-180, 180), rng.gauss(20, 0.1)])) for i in range(500)] + [(900, None, 1.0)]
