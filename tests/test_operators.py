@@ -8,12 +8,15 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
+from shutterlake import catalog
 from shutterlake.functions import dates, geo, text, vectors
 from shutterlake.operators import cleanup, library, metrics, mutations, places, predicates, search, timeline, workspace
 from shutterlake.operators.components import connected_components
 from shutterlake.sources import files
 from shutterlake.streaming import changes
 
+from .conftest import SF
+
 
 def values(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
@@ -108,6 +111,18 @@ def test_similar_compares_the_newest_candidates(spark, monkeypatch):
     assert [r.asset_id for r in search.similar(df, 1).collect()] == [3, 0]  # 0 is the newest; of 2 and 3, of one day, the larger id counts
 
 
+def test_similar_compares_all_assets(spark):
+    n = search.MOST_CANDIDATES + 3
+    older = F.timestamp_add("SECOND", -F.col("asset_id").cast("int"), F.lit("2020-01-01").cast("timestamp"))
+    df = spark.range(n).select(F.col("id").alias("asset_id")).select("asset_id", F.array(F.lit(1.0), F.col("asset_id") / n).alias("vector"), older.alias("created"))
+    assert [r.asset_id for r in search.similar(df, n - 1, 3, whole=True).collect()] == [n - 2, n - 3, n - 4]  # the most alike are the oldest
+
+
+def test_similar_items_has_no_most_candidates(spark, oracle, rows, monkeypatch):
+    monkeypatch.setattr(search, "MOST_CANDIDATES", 2)  # the SQL has 50,000, more than these tables
+    assert rows(catalog.queries()["similar_items"](spark, SF).toPandas()) == rows(oracle.sql(catalog.oracle_sql()["similar_items"]).df())
+
+
 def test_keys_of_near_pairs_are_not_broadcast(spark):
     """The table of classes is small enough for a broadcast; that of its keys, many times as large, has no size that Spark knows."""
     df = spark.createDataFrame([(i, i * 7919, 4.0) for i in range(50)], "rep long, hash long, ratio double")
